@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash_dedup
+from . import packing, rans_tokens, simhash_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +17,18 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_rans_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans_tokens.token_digest(rans_tokens.round_trip(_table(spark, sf_dir, "documents")))
+
+
+def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_digest(packing.pack(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op3_rans_token_blocks": op3_rans_token_blocks,
+    "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
