@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, rans_tokens, simhash_dedup
+from . import packing, rans_tokens, simhash_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op3_rans_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_tokens.token_digest(rans_tokens.round_trip(_table(spark, sf_dir, "documents")))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.pack(_table(spark, sf_dir, "documents")))
 
@@ -28,6 +32,7 @@ def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_rans_token_blocks": op3_rans_token_blocks,
+    "op4_toxicity": op4_toxicity,
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
 }
 
