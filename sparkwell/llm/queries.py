@@ -5,8 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, rans_tokens, simhash_dedup, suffix_dedup, toxicity
+from . import (
+    decontaminate,
+    html_text,
+    packing,
+    quality_rules,
+    rans_tokens,
+    simhash_dedup,
+    suffix_dedup,
+    toxicity,
+    warc_audit,
+)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +28,19 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audits a replica of all pages in which some records are damaged: a byte
+    more (page_id mod 97 = 5), lost (mod 193 = 7) or new (negative ids)."""
+    pages = _table(spark, sf_dir, "pages")
+    key = F.col("page_id")
+    primary = pages.select(key.alias("record_id"), warc_audit.warc_record(key, F.col("url"), F.col("html")).alias("record"))
+    damaged = F.when(F.pmod("record_id", F.lit(97)) == 5, F.concat("record", F.lit(b"!"))).otherwise(F.col("record"))
+    replica = primary.where(F.pmod("record_id", F.lit(193)) != 7).select("record_id", damaged.alias("record"))
+    new = pages.where(F.pmod(key, F.lit(389)) == 11)
+    new = new.select((-key).alias("record_id"), warc_audit.warc_record(-key, F.col("url"), F.lit("")).alias("record"))
+    return warc_audit.audit(primary, replica.unionByName(new))
+
+
 def op3_rans_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans_tokens.token_digest(rans_tokens.round_trip(_table(spark, sf_dir, "documents")))
 
@@ -29,6 +53,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_digest(packing.pack(_table(spark, sf_dir, "documents")))
 
@@ -43,12 +71,39 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_warc_fixity_audit": op2_warc_fixity_audit,
     "op3_rans_token_blocks": op3_rans_token_blocks,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op6_html_main_text": op6_html_main_text,
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc_fixity_audit": """
+WITH rec AS (
+  SELECT page_id AS record_id,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+    || page_id || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html
+    || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+placed AS (
+  SELECT record_id, record, strlen(record)::BIGINT AS length,
+    coalesce(sum(strlen(record)) OVER (ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM rec)
+SELECT record_id, "offset", length, CASE WHEN record_id % 193 = 7 THEN 'missing' ELSE 'changed' END AS fault,
+  sha256(record) AS digest, CASE WHEN record_id % 193 = 7 THEN NULL ELSE sha256(record || '!') END AS replica_digest
+FROM placed WHERE record_id % 97 = 5 OR record_id % 193 = 7
+UNION ALL
+SELECT -page_id, NULL, NULL, 'extra', NULL, sha256(
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+    || (-page_id) || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: 0' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10))
+FROM pages WHERE page_id % 389 = 11
+""",
+}
