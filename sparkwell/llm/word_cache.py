@@ -3,31 +3,66 @@
 Both vocabularies cut a text at white space before they merge anything, so the
 ids of a text are the ids of its chunks one after the other.  Each Python
 worker keeps the ids of the chunks it has met in a bounded table; the library
-sees every other chunk once, in batches.
+sees every other chunk once.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
 
 #: Chunks kept in a worker, and the longest one kept, in characters.
-MOST_CHUNKS, LONGEST_CHUNK = 400_000, 64
+MOST_CHUNKS, LONGEST_CHUNK = 500_000, 64
 #: White space that byte-level splitting treats by what stands next to it.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|\s\Z")
+#: Letters, then marks: chunks whose cuts and lower case need no tables.  Both
+#: vocabularies cut them there and nowhere else.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable
+    Latin-1 signs stand for themselves, the others are numbered from 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-_loaded: dict[tuple[str, str], ChunkedTokenizer] = {}
+
+_BYTE_LETTERS = _byte_letters()
+
+_loaded: dict[str, ChunkedTokenizer] = {}
 
 
 def tokenizer(name: str) -> ChunkedTokenizer:
     """The worker's tokenizer for a vocabulary file of ``public_tokenizers`` (or
     a path); one a process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if (name, "") not in _loaded:
-        _loaded[name, ""] = ChunkedTokenizer(name)
-    return _loaded[name, ""]
+    if name not in _loaded:
+        _loaded[name] = ChunkedTokenizer(name)
+    return _loaded[name]
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("H", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
+class _Known(dict):
+    """Ids of chunks that stand after ``lead``; learns those it lacks."""
+
+    def __init__(self, of: ChunkedTokenizer, lead: str) -> None:
+        super().__init__()
+        self._of, self._lead = of, lead
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._of._encode(chunk, self._lead)
+        if len(self) < MOST_CHUNKS and len(chunk) <= LONGEST_CHUNK:
+            self[chunk] = ids
+        return ids
 
 
 class ChunkedTokenizer:
@@ -43,43 +78,41 @@ class ChunkedTokenizer:
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)["pre_tokenizer"]["type"]
         self._spaced = kind == "ByteLevel"  # a chunk there includes the space before it
-        self._first: dict[str, bytes] = {}
-        self._later: dict[str, bytes] = {} if self._spaced else self._first
-
-    def _encode(self, chunks: list[str]) -> list[bytes]:
-        found = self._library.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(x.ids, "<u2").tobytes() for x in found]
-
-    def _learn(self, known: dict[str, bytes], chunks: set[str], lead: str) -> dict[str, bytes]:
-        """Ids of chunks that ``known`` lacks; short ones are added to it."""
-        missing = [c for c in chunks if c not in known]
-        if not missing:
-            return known
-        found = dict(zip(missing, self._encode([lead + c for c in missing]), strict=True))
-        if len(known) < MOST_CHUNKS:
-            known.update((c, ids) for c, ids in found.items() if len(c) <= LONGEST_CHUNK)
-            if all(len(c) <= LONGEST_CHUNK for c in missing):
-                return known
-        return found | {c: known[c] for c in chunks if c not in found}
+        self._model = self._library.model
+        self._marks: dict[str, list[int]] = {}
+        self._first = _Known(self, "")
+        self._later = _Known(self, " ")
+
+    def _one(self, chunk: str) -> list[int]:
+        return self._library.encode(chunk, add_special_tokens=False).ids
+
+    def _merged(self, letters: str) -> list[int]:
+        """Ids of letters that are not cut any further, by the library's model alone."""
+        shown = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return [t.id for t in self._model.tokenize(shown)]
+
+    def _encode(self, chunk: str, lead: str) -> bytes:
+        if plain := _PLAIN.fullmatch(chunk):
+            letters, marks = plain.groups()
+            ids = self._merged(lead + letters if self._spaced else letters.lower())
+            if marks:
+                if marks not in self._marks:
+                    self._marks[marks] = self._one(marks)
+                ids = ids + self._marks[marks]
+        else:
+            ids = self._one(lead + chunk)
+        return _packed(ids)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 16-bit integers."""
-        return self._by_line(texts) if self._spaced else self._by_space(texts)
-
-    def _by_space(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self._learn(self._first, set().union(*split), "") if split else {}
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-
-    def _by_line(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _UNEVEN.search(t)]
-        lines = [[] if _UNEVEN.search(t) else [x.split(" ") for x in t.split("\n")] for t in texts]
-        first = self._learn(self._first, {x[0] for y in lines for x in y} | {"\n", ""}, "")
-        later = self._learn(self._later, {w for y in lines for x in y for w in x[1:]}, " ")
-        end = first["\n"]
-        out = [
-            end.join([b"".join([first[x[0]], *map(later.__getitem__, x[1:])]) for x in y]) for y in lines
-        ]
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        return out
+        if self._spaced:
+            return [_packed(self._one(t)) if _UNEVEN.search(t) else self._by_line(t) for t in texts]
+        get = self._first.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+
+    def _by_line(self, text: str) -> bytes:
+        first, later, out = self._first, self._later.__getitem__, []
+        for line in text.split("\n"):
+            words = line.split(" ")
+            out.append(first[words[0]] + b"".join(map(later, words[1:])))
+        return first["\n"].join(out)
