@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from . import (
     decontaminate,
     html_text,
+    license_scan,
     packing,
     quality_rules,
     rans_tokens,
@@ -69,6 +70,21 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of all documents as files of a tree: each block of 50 ids is a
+    directory, below its thousand; the first of a block is a licence file, of
+    the block or, where it begins a thousand, of the whole thousand."""
+    key = F.col("doc_id")
+    thousand, block = F.floor(key / 1000).cast("string"), F.floor(key / 50).cast("string")
+    path = (
+        F.when(F.pmod(key, F.lit(1000)) == 0, F.concat(thousand, F.lit("/LICENSE")))
+        .when(F.pmod(key, F.lit(50)) == 0, F.concat(thousand, F.lit("/"), block, F.lit("/LICENSE")))
+        .otherwise(F.concat(thousand, F.lit("/"), block, F.lit("/"), key.cast("string"), F.lit(".txt")))
+    )
+    files = _table(spark, sf_dir, "documents").select(key.alias("file_id"), path.alias("path"), "text")
+    return license_scan.licences(files).withColumnRenamed("file_id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_warc_fixity_audit": op2_warc_fixity_audit,
@@ -78,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_html_main_text": op6_html_main_text,
     "op7_sum_of_squares_packing": op7_sum_of_squares_packing,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_license_scan": op9_license_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
