@@ -103,17 +103,21 @@ def repeated_windows(contexts: list[bytes]) -> list[np.ndarray]:
     for k in range(7):
         key <<= 9
         key[: n - k] += np.where(left[: n - k] > k, signs[k:], 0)
-    order = np.lexsort((np.where(left < 7, owner, -1), key))
-    closed = np.where(left < 7, owner, -1)[order]
-    new = np.concatenate(([0], (key[order][1:] != key[order][:-1]) | (closed[1:] != closed[:-1])))
+    order = np.argsort(key)
+    # closed within the seven signs: equals are told apart by their context
+    closed = np.flatnonzero(left < 7)
+    order[(left < 7)[order]] = closed[np.lexsort((closed, key[closed]))]
+    sorted_key = key[order]
+    new = np.concatenate(([False], (sorted_key[1:] != sorted_key[:-1]) | (left[order[1:]] < 7)))
     rank = np.empty(n, np.int64)
     rank[order] = np.cumsum(new)
     span = 7
-    while new.sum() < n - 1:
+    while np.count_nonzero(new) < n - 1:
         key = rank << 32
         key[: n - span] += np.where(left[: n - span] >= span, rank[span:] + 1, 0)
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], key[order][1:] != key[order][:-1]))
+        order = np.argsort(key)
+        sorted_key = key[order]
+        new[1:] = sorted_key[1:] != sorted_key[:-1]
         rank[order] = np.cumsum(new)
         span *= 2
     # The transform, as runs: the sign before each suffix in suffix order.
