@@ -24,6 +24,10 @@ QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def _c(name: str) -> Column:
+    return F.col(name)
+
+
 def add(name: str, query: Query, sql: str | None = None) -> None:
     QUERIES[name] = query
     if sql:
@@ -47,49 +51,49 @@ c AS (SELECT g, l_discount - mu d, l_quantity w FROM lineitem JOIN m ON l_return
 SELECT g AS l_returnflag, {} FROM c GROUP BY g"""
 
 
-def _by_flag(name: str, stat: Column, sql: str, template: str = _BY, digits: int = 6) -> None:
+def _by_flag(name: str, stat: Callable[[], Column], sql: str, template: str = _BY, digits: int = 6) -> None:
     add(
         name,
-        lambda s, d: rounded(table(s, d, "lineitem").groupBy("l_returnflag").agg(stat.alias("value")), digits),
+        lambda s, d: rounded(table(s, d, "lineitem").groupBy("l_returnflag").agg(stat().alias("value")), digits),
         template.format(f"round({sql}, {digits}) + 0.0::DOUBLE AS value"),
     )
 
 
 _q = "l_quantity"
-_by_flag("mean_arithmetic", descriptive.mean(_q), "avg(l_quantity)")
-_by_flag("mean_geometric", descriptive.geometric_mean(_q), "exp(avg(ln(l_quantity)))")
-_by_flag("mean_harmonic", descriptive.harmonic_mean(_q), "count(*) / sum(1.0::DOUBLE / l_quantity)")
-_by_flag("mean_harmonic_reference", descriptive.harmonic_mean(_q, "reference"), "count(*) / (1 + sum(1.0::DOUBLE / l_quantity))")
-_by_flag("mean_generalized", descriptive.generalized_mean(_q, F.sqrt, lambda m: m * m), "pow(avg(sqrt(l_quantity)), 2)")
-_by_flag("mean_weighted", descriptive.weighted_mean("l_extendedprice", _q), "sum(l_quantity * l_extendedprice) / sum(l_quantity)", digits=3)
-_by_flag("second_moment", descriptive.raw_moment(_q, 2), "avg(l_quantity * l_quantity)")
-_by_flag("variance_population", descriptive.pop_variance(_q), "var_pop(l_quantity)")
-_by_flag("variance_sample", descriptive.smp_variance(_q), "var_samp(l_quantity)")
-_by_flag("cv_population", descriptive.pop_cv(_q), "stddev_pop(l_quantity) / avg(l_quantity)")
-_by_flag("cv_sample", descriptive.smp_cv(_q), "stddev_samp(l_quantity) / avg(l_quantity)")
-_by_flag("third_moment", descriptive.raw_moment(_q, 3), "avg(pow(l_quantity, 3))", digits=3)
-_by_flag("third_central_moment", descriptive.third_central_moment(_q), "avg(pow(d, 3))", _CENTRED, 4)
-_by_flag("skewness", descriptive.skewness(_q), "avg(pow(d, 3)) / pow(avg(d * d), 1.5)", _CENTRED)
-_by_flag("fourth_moment", descriptive.raw_moment(_q, 4), "avg(pow(l_quantity, 4))", digits=1)
-_by_flag("fourth_central_moment", descriptive.fourth_central_moment(_q), "avg(pow(d, 4))", _CENTRED, 3)
-_by_flag("kurtosis", descriptive.kurtosis(_q), "avg(pow(d, 4)) / pow(avg(d * d), 2)", _CENTRED)
-_by_flag("kurtosis_normalized", descriptive.normalized_kurtosis(_q), "avg(pow(d, 4)) / pow(avg(d * d), 2) / 3", _CENTRED)
-_by_flag("minimum_value", descriptive.minimum("l_extendedprice"), "min(l_extendedprice)")
-_by_flag("maximum_value", descriptive.maximum("l_extendedprice"), "max(l_extendedprice)")
-_by_flag("range_value", descriptive.value_range("l_extendedprice"), "max(l_extendedprice) - min(l_extendedprice)")
-_by_flag("weighted_second_moment", descriptive.weighted_raw_moment("l_discount", _q, 2), "sum(l_quantity * pow(l_discount, 2)) / sum(l_quantity)", digits=9)
-_by_flag("weighted_third_moment", descriptive.weighted_raw_moment("l_discount", _q, 3), "sum(l_quantity * pow(l_discount, 3)) / sum(l_quantity)", digits=9)
-_by_flag("weighted_fourth_moment", descriptive.weighted_raw_moment("l_discount", _q, 4), "sum(l_quantity * pow(l_discount, 4)) / sum(l_quantity)", digits=9)
-_by_flag("weighted_variance", descriptive.weighted_variance("l_discount", _q), "sum(w * d * d) / sum(w)", _WEIGHTED, 9)
-_by_flag("weighted_third_central_moment", descriptive.weighted_central_moment("l_discount", _q, 3), "sum(w * pow(d, 3)) / sum(w)", _WEIGHTED, 9)
-_by_flag("weighted_fourth_central_moment", descriptive.weighted_central_moment("l_discount", _q, 4), "sum(w * pow(d, 4)) / sum(w)", _WEIGHTED, 9)
-_by_flag("weighted_skewness", descriptive.weighted_skewness("l_discount", _q), "sum(w * pow(d, 3)) / sum(w) / pow(sum(w * d * d) / sum(w), 1.5)", _WEIGHTED)
-_by_flag("weighted_kurtosis", descriptive.weighted_kurtosis("l_discount", _q), "sum(w * pow(d, 4)) / sum(w) / pow(sum(w * d * d) / sum(w), 2)", _WEIGHTED)
-_by_flag("weighted_kurtosis_normalized", descriptive.weighted_normalized_kurtosis("l_discount", _q), "sum(w * pow(d, 4)) / sum(w) / pow(sum(w * d * d) / sum(w), 2) / 3", _WEIGHTED)
-_by_flag("mgf_univariate", descriptive.mgf(_q, 0.05), "avg(exp(0.05::DOUBLE * l_quantity))")
-_by_flag("mgf_multivariate", descriptive.multivariate_mgf([_q, "l_discount"], [0.02, 1.5]), "avg(exp(0.02::DOUBLE * l_quantity + 1.5::DOUBLE * l_discount))")
-_by_flag("mean_generalized_weighted", descriptive.generalized_weighted_mean("l_discount", F.col("l_quantity") / 1e6, F.sqrt, lambda m: m * m), "pow(sum(l_quantity / 1e6 * sqrt(l_discount)), 2)")
-_by_flag("n_categories", tables.n_categories("l_linenumber").cast("double"), "count(DISTINCT l_linenumber)::DOUBLE")
+_by_flag("mean_arithmetic", lambda: descriptive.mean(_q), "avg(l_quantity)")
+_by_flag("mean_geometric", lambda: descriptive.geometric_mean(_q), "exp(avg(ln(l_quantity)))")
+_by_flag("mean_harmonic", lambda: descriptive.harmonic_mean(_q), "count(*) / sum(1.0::DOUBLE / l_quantity)")
+_by_flag("mean_harmonic_reference", lambda: descriptive.harmonic_mean(_q, "reference"), "count(*) / (1 + sum(1.0::DOUBLE / l_quantity))")
+_by_flag("mean_generalized", lambda: descriptive.generalized_mean(_q, F.sqrt, lambda m: m * m), "pow(avg(sqrt(l_quantity)), 2)")
+_by_flag("mean_weighted", lambda: descriptive.weighted_mean("l_extendedprice", _q), "sum(l_quantity * l_extendedprice) / sum(l_quantity)", digits=3)
+_by_flag("second_moment", lambda: descriptive.raw_moment(_q, 2), "avg(l_quantity * l_quantity)")
+_by_flag("variance_population", lambda: descriptive.pop_variance(_q), "var_pop(l_quantity)")
+_by_flag("variance_sample", lambda: descriptive.smp_variance(_q), "var_samp(l_quantity)")
+_by_flag("cv_population", lambda: descriptive.pop_cv(_q), "stddev_pop(l_quantity) / avg(l_quantity)")
+_by_flag("cv_sample", lambda: descriptive.smp_cv(_q), "stddev_samp(l_quantity) / avg(l_quantity)")
+_by_flag("third_moment", lambda: descriptive.raw_moment(_q, 3), "avg(pow(l_quantity, 3))", digits=3)
+_by_flag("third_central_moment", lambda: descriptive.third_central_moment(_q), "avg(pow(d, 3))", _CENTRED, 4)
+_by_flag("skewness", lambda: descriptive.skewness(_q), "avg(pow(d, 3)) / pow(avg(d * d), 1.5)", _CENTRED)
+_by_flag("fourth_moment", lambda: descriptive.raw_moment(_q, 4), "avg(pow(l_quantity, 4))", digits=1)
+_by_flag("fourth_central_moment", lambda: descriptive.fourth_central_moment(_q), "avg(pow(d, 4))", _CENTRED, 3)
+_by_flag("kurtosis", lambda: descriptive.kurtosis(_q), "avg(pow(d, 4)) / pow(avg(d * d), 2)", _CENTRED)
+_by_flag("kurtosis_normalized", lambda: descriptive.normalized_kurtosis(_q), "avg(pow(d, 4)) / pow(avg(d * d), 2) / 3", _CENTRED)
+_by_flag("minimum_value", lambda: descriptive.minimum("l_extendedprice"), "min(l_extendedprice)")
+_by_flag("maximum_value", lambda: descriptive.maximum("l_extendedprice"), "max(l_extendedprice)")
+_by_flag("range_value", lambda: descriptive.value_range("l_extendedprice"), "max(l_extendedprice) - min(l_extendedprice)")
+_by_flag("weighted_second_moment", lambda: descriptive.weighted_raw_moment("l_discount", _q, 2), "sum(l_quantity * pow(l_discount, 2)) / sum(l_quantity)", digits=9)
+_by_flag("weighted_third_moment", lambda: descriptive.weighted_raw_moment("l_discount", _q, 3), "sum(l_quantity * pow(l_discount, 3)) / sum(l_quantity)", digits=9)
+_by_flag("weighted_fourth_moment", lambda: descriptive.weighted_raw_moment("l_discount", _q, 4), "sum(l_quantity * pow(l_discount, 4)) / sum(l_quantity)", digits=9)
+_by_flag("weighted_variance", lambda: descriptive.weighted_variance("l_discount", _q), "sum(w * d * d) / sum(w)", _WEIGHTED, 9)
+_by_flag("weighted_third_central_moment", lambda: descriptive.weighted_central_moment("l_discount", _q, 3), "sum(w * pow(d, 3)) / sum(w)", _WEIGHTED, 9)
+_by_flag("weighted_fourth_central_moment", lambda: descriptive.weighted_central_moment("l_discount", _q, 4), "sum(w * pow(d, 4)) / sum(w)", _WEIGHTED, 9)
+_by_flag("weighted_skewness", lambda: descriptive.weighted_skewness("l_discount", _q), "sum(w * pow(d, 3)) / sum(w) / pow(sum(w * d * d) / sum(w), 1.5)", _WEIGHTED)
+_by_flag("weighted_kurtosis", lambda: descriptive.weighted_kurtosis("l_discount", _q), "sum(w * pow(d, 4)) / sum(w) / pow(sum(w * d * d) / sum(w), 2)", _WEIGHTED)
+_by_flag("weighted_kurtosis_normalized", lambda: descriptive.weighted_normalized_kurtosis("l_discount", _q), "sum(w * pow(d, 4)) / sum(w) / pow(sum(w * d * d) / sum(w), 2) / 3", _WEIGHTED)
+_by_flag("mgf_univariate", lambda: descriptive.mgf(_q, 0.05), "avg(exp(0.05::DOUBLE * l_quantity))")
+_by_flag("mgf_multivariate", lambda: descriptive.multivariate_mgf([_q, "l_discount"], [0.02, 1.5]), "avg(exp(0.02::DOUBLE * l_quantity + 1.5::DOUBLE * l_discount))")
+_by_flag("mean_generalized_weighted", lambda: descriptive.generalized_weighted_mean("l_discount", F.col("l_quantity") / 1e6, F.sqrt, lambda m: m * m), "pow(sum(l_quantity / 1e6 * sqrt(l_discount)), 2)")
+_by_flag("n_categories", lambda: tables.n_categories("l_linenumber").cast("double"), "count(DISTINCT l_linenumber)::DOUBLE")
 
 add(
     "mean_geometric_product",
@@ -339,7 +343,6 @@ def _sum1(body: str, of: str = "x") -> str:
     return f"list_sum(list_transform({of}, lambda v: {body}))"
 
 
-_x, _y = F.col("x"), F.col("y")
 _SIMPLEX = "list_transform({0}, lambda v: abs(v) / list_sum(list_transform({0}, lambda u: abs(u))))"
 
 
@@ -348,43 +351,43 @@ def _simplex(v: Column) -> Column:
 
 
 for _name, _col, _sql in (
-    ("euclidean", distances.euclidean(_x, _y), f"sqrt({_sum2('pow(t[1] - t[2], 2)')})"),
-    ("manhattan", distances.manhattan(_x, _y), _sum2("abs(t[1] - t[2])")),
-    ("chebyshev", distances.chebyshev(_x, _y), "list_max(list_transform(list_zip(x, y), lambda t: abs(t[1] - t[2])))"),
-    ("chebyshev_reference", distances.chebyshev(_x, _y, "reference"), "list_max(list_transform(list_zip(x[2:], y[2:]), lambda t: abs(t[1] - t[2])))"),
-    ("minkowski", distances.minkowski(_x, _y, 3), f"pow({_sum2('pow(abs(t[1] - t[2]), 3)')}, 1.0::DOUBLE / 3)"),
-    ("canberra", distances.canberra(_x, _y), _sum2("abs(t[1] - t[2]) / (abs(t[1]) + abs(t[2]) + 1e-40)")),
-    ("bray_curtis", distances.bray_curtis(_x, _y), f"{_sum2('abs(t[1] - t[2])')} / {_sum2('abs(t[1]) + abs(t[2])')}"),
-    ("clark", distances.clark(_x, _y), f"sqrt({_sum2('pow((t[1] - t[2]) / (abs(t[1]) + abs(t[2])), 2)')})"),
-    ("soergel", distances.soergel(_x, _y), f"{_sum2('abs(t[1] - t[2])')} / {_sum2('greatest(abs(t[1]), abs(t[2]))')}"),
-    ("hassanat", distances.hassanat(_x, _y), _sum2("abs(t[1] - t[2]) / (1 + greatest(t[1], t[2]) + CASE WHEN least(t[1], t[2]) < 0 THEN abs(least(t[1], t[2])) ELSE 0 END)")),
-    ("cosine", distances.cosine(_x, _y), f"sqrt(greatest(0, 2 - 2 * {_sum2('t[1] * t[2]')} / sqrt({_sum1('v * v')} * {_sum1('v * v', 'y')})))"),
-    ("pearson", distances.pearson(_x, _y), f"1 - ({_sum2('t[1] * t[2]')} - {_sum1('v')} * {_sum1('v', 'y')} / len(x)) / sqrt(({_sum1('v * v')} - pow({_sum1('v')}, 2) / len(x)) * ({_sum1('v * v', 'y')} - pow({_sum1('v', 'y')}, 2) / len(x)))"),
-    ("fuzzy_hamming", distances.fuzzy_hamming(_x, _y), _sum2("greatest(least(least(1, greatest(0, t[1])), 1 - least(1, greatest(0, t[2]))), least(1 - least(1, greatest(0, t[1])), least(1, greatest(0, t[2]))))")),
-    ("mahalanobis", distances.mahalanobis(F.slice(_x, 1, 2), F.slice(_y, 1, 2), np.array([[1.23, -0.5], [-0.5, 3.21]])), "sqrt((3.21 * pow(x[1] - y[1], 2) + (x[1] - y[1]) * (x[2] - y[2]) + 1.23 * pow(x[2] - y[2], 2)) / (1.23::DOUBLE * 3.21 - 0.25))"),
-    ("steinhaus", distances.steinhaus(_x, _y, F.transform(_x, lambda _: F.lit(0.5)), distances.manhattan), f"2 * {_sum2('abs(t[1] - t[2])')} / ({_sum2('abs(t[1] - t[2])')} + {_sum1('abs(v - 0.5)')} + {_sum1('abs(v - 0.5)', 'y')})"),
-    ("l0_norm", distances.l0_norm(_x).cast("double"), "len(list_filter(x, lambda v: abs(v) > 1e-15))::DOUBLE"),
-    ("l1_norm", distances.l1_norm(_x), _sum1("abs(v)")),
-    ("l2_norm", distances.l2_norm(_x), f"sqrt({_sum1('v * v')})"),
-    ("linf_norm", distances.linf_norm(_x), "list_max(list_transform(x, lambda v: abs(v)))"),
-    ("lp_norm", distances.lp_norm(_x, 3), f"pow({_sum1('pow(abs(v), 3)')}, 1.0::DOUBLE / 3)"),
-    ("vector_mean", vectors.mean(_x), f"{_sum1('v')} / len(x)"),
-    ("vector_dot", vectors.dot(_x, _y), _sum2("t[1] * t[2]")),
-    ("vector_normalize", vectors.sum_of(vectors.normalize(_x)), f"{_sum1('v')} / sqrt({_sum1('v * v')})"),
-    ("vector_scalar", vectors.sum_of(vectors.scalar(2.0, vectors.elementwise(_x, _y, lambda a, b: a + b), lambda a, v: a - v)), _sum2("2 - (t[1] + t[2])")),
-    ("vector_outer", vectors.sum_of(vectors.outer_flat(F.slice(_x, 1, 3), F.slice(_y, 1, 3))), "(x[1] + x[2] + x[3]) * (y[1] + y[2] + y[3])"),
-    ("determinant_2x2", vectors.det2(F.slice(_x, 1, 4)), "x[1] * x[4] - x[2] * x[3]"),
-    ("determinant_3x3", vectors.det3(F.slice(_x, 1, 9)), "x[1] * (x[5] * x[9] - x[6] * x[8]) - x[2] * (x[4] * x[9] - x[6] * x[7]) + x[3] * (x[4] * x[8] - x[5] * x[7])"),
-    ("jl_bounds", F.get(special.jl_bounds(0.1, _x, _y), 1), f"1.1::DOUBLE * {_sum2('pow(t[1] - t[2], 2)')}"),
+    ("euclidean", lambda: distances.euclidean(_c("x"), _c("y")), f"sqrt({_sum2('pow(t[1] - t[2], 2)')})"),
+    ("manhattan", lambda: distances.manhattan(_c("x"), _c("y")), _sum2("abs(t[1] - t[2])")),
+    ("chebyshev", lambda: distances.chebyshev(_c("x"), _c("y")), "list_max(list_transform(list_zip(x, y), lambda t: abs(t[1] - t[2])))"),
+    ("chebyshev_reference", lambda: distances.chebyshev(_c("x"), _c("y"), "reference"), "list_max(list_transform(list_zip(x[2:], y[2:]), lambda t: abs(t[1] - t[2])))"),
+    ("minkowski", lambda: distances.minkowski(_c("x"), _c("y"), 3), f"pow({_sum2('pow(abs(t[1] - t[2]), 3)')}, 1.0::DOUBLE / 3)"),
+    ("canberra", lambda: distances.canberra(_c("x"), _c("y")), _sum2("abs(t[1] - t[2]) / (abs(t[1]) + abs(t[2]) + 1e-40)")),
+    ("bray_curtis", lambda: distances.bray_curtis(_c("x"), _c("y")), f"{_sum2('abs(t[1] - t[2])')} / {_sum2('abs(t[1]) + abs(t[2])')}"),
+    ("clark", lambda: distances.clark(_c("x"), _c("y")), f"sqrt({_sum2('pow((t[1] - t[2]) / (abs(t[1]) + abs(t[2])), 2)')})"),
+    ("soergel", lambda: distances.soergel(_c("x"), _c("y")), f"{_sum2('abs(t[1] - t[2])')} / {_sum2('greatest(abs(t[1]), abs(t[2]))')}"),
+    ("hassanat", lambda: distances.hassanat(_c("x"), _c("y")), _sum2("abs(t[1] - t[2]) / (1 + greatest(t[1], t[2]) + CASE WHEN least(t[1], t[2]) < 0 THEN abs(least(t[1], t[2])) ELSE 0 END)")),
+    ("cosine", lambda: distances.cosine(_c("x"), _c("y")), f"sqrt(greatest(0, 2 - 2 * {_sum2('t[1] * t[2]')} / sqrt({_sum1('v * v')} * {_sum1('v * v', 'y')})))"),
+    ("pearson", lambda: distances.pearson(_c("x"), _c("y")), f"1 - ({_sum2('t[1] * t[2]')} - {_sum1('v')} * {_sum1('v', 'y')} / len(x)) / sqrt(({_sum1('v * v')} - pow({_sum1('v')}, 2) / len(x)) * ({_sum1('v * v', 'y')} - pow({_sum1('v', 'y')}, 2) / len(x)))"),
+    ("fuzzy_hamming", lambda: distances.fuzzy_hamming(_c("x"), _c("y")), _sum2("greatest(least(least(1, greatest(0, t[1])), 1 - least(1, greatest(0, t[2]))), least(1 - least(1, greatest(0, t[1])), least(1, greatest(0, t[2]))))")),
+    ("mahalanobis", lambda: distances.mahalanobis(F.slice(_c("x"), 1, 2), F.slice(_c("y"), 1, 2), np.array([[1.23, -0.5], [-0.5, 3.21]])), "sqrt((3.21 * pow(x[1] - y[1], 2) + (x[1] - y[1]) * (x[2] - y[2]) + 1.23 * pow(x[2] - y[2], 2)) / (1.23::DOUBLE * 3.21 - 0.25))"),
+    ("steinhaus", lambda: distances.steinhaus(_c("x"), _c("y"), F.transform(_c("x"), lambda _: F.lit(0.5)), distances.manhattan), f"2 * {_sum2('abs(t[1] - t[2])')} / ({_sum2('abs(t[1] - t[2])')} + {_sum1('abs(v - 0.5)')} + {_sum1('abs(v - 0.5)', 'y')})"),
+    ("l0_norm", lambda: distances.l0_norm(_c("x")).cast("double"), "len(list_filter(x, lambda v: abs(v) > 1e-15))::DOUBLE"),
+    ("l1_norm", lambda: distances.l1_norm(_c("x")), _sum1("abs(v)")),
+    ("l2_norm", lambda: distances.l2_norm(_c("x")), f"sqrt({_sum1('v * v')})"),
+    ("linf_norm", lambda: distances.linf_norm(_c("x")), "list_max(list_transform(x, lambda v: abs(v)))"),
+    ("lp_norm", lambda: distances.lp_norm(_c("x"), 3), f"pow({_sum1('pow(abs(v), 3)')}, 1.0::DOUBLE / 3)"),
+    ("vector_mean", lambda: vectors.mean(_c("x")), f"{_sum1('v')} / len(x)"),
+    ("vector_dot", lambda: vectors.dot(_c("x"), _c("y")), _sum2("t[1] * t[2]")),
+    ("vector_normalize", lambda: vectors.sum_of(vectors.normalize(_c("x"))), f"{_sum1('v')} / sqrt({_sum1('v * v')})"),
+    ("vector_scalar", lambda: vectors.sum_of(vectors.scalar(2.0, vectors.elementwise(_c("x"), _c("y"), lambda a, b: a + b), lambda a, v: a - v)), _sum2("2 - (t[1] + t[2])")),
+    ("vector_outer", lambda: vectors.sum_of(vectors.outer_flat(F.slice(_c("x"), 1, 3), F.slice(_c("y"), 1, 3))), "(x[1] + x[2] + x[3]) * (y[1] + y[2] + y[3])"),
+    ("determinant_2x2", lambda: vectors.det2(F.slice(_c("x"), 1, 4)), "x[1] * x[4] - x[2] * x[3]"),
+    ("determinant_3x3", lambda: vectors.det3(F.slice(_c("x"), 1, 9)), "x[1] * (x[5] * x[9] - x[6] * x[8]) - x[2] * (x[4] * x[9] - x[6] * x[7]) + x[3] * (x[4] * x[8] - x[5] * x[7])"),
+    ("jl_bounds", lambda: F.get(special.jl_bounds(0.1, _c("x"), _c("y")), 1), f"1.1::DOUBLE * {_sum2('pow(t[1] - t[2], 2)')}"),
 ):
     add(
         f"distance_{_name}" if "norm" not in _name and "vector" not in _name and "det" not in _name and "jl" not in _name else _name,
-        lambda s, d, c=_col: rounded(_vectors(s, d).select("vec_id", c.alias("value"))),
+        lambda s, d, c=_col: rounded(_vectors(s, d).select("vec_id", c().alias("value"))),
         _E + f"SELECT vec_id, round({_sql}, 6) + 0.0::DOUBLE AS value FROM e, p",
     )
 add(
     "distance_aitchison",
-    lambda s, d: rounded(_vectors(s, d).select("vec_id", _simplex(_x).alias("x"), _simplex(_y).alias("y")).select("vec_id", distances.aitchison(_x, _y).alias("value")), 5),
+    lambda s, d: rounded(_vectors(s, d).select("vec_id", _simplex(_c("x")).alias("x"), _simplex(_c("y")).alias("y")).select("vec_id", distances.aitchison(_c("x"), _c("y")).alias("value")), 5),
     _E + f", z AS (SELECT vec_id, list_transform(list_zip({_SIMPLEX.format('x')}, {_SIMPLEX.format('y')}), lambda t: ln(t[1]) - ln(t[2])) x FROM e, p) "
     f"SELECT vec_id, round(sqrt(greatest(0, len(x) * {_sum1('v * v')} - pow({_sum1('v')}, 2))), 5) + 0.0::DOUBLE AS value FROM z",
 )
@@ -456,17 +459,22 @@ add(
     )
     + " FROM v",
 )
-_xs = F.array(F.col("x"), F.col("x") / 2)
+
+
+def _pair() -> Column:
+    return F.array(F.col("x"), F.col("x") / 2)
+
+
 add(
     "kernels_multivariate",
     lambda s, d: rounded(
         _grid(s, d).select(
             "q",
-            kernels.spherical(_xs, 2).alias("spherical"),
-            kernels.product_one(_xs, kernels.gaussian).alias("product_one"),
-            kernels.product_each(_xs, [kernels.gaussian, kernels.laplacian]).alias("product_each"),
-            kernels.additive_bounded(_xs, kernels.epanechnikov).alias("additive"),
-            kernels.product_bounded(_xs, [kernels.quartic, kernels.triangular]).alias("product_bounded"),
+            kernels.spherical(_pair(), 2).alias("spherical"),
+            kernels.product_one(_pair(), kernels.gaussian).alias("product_one"),
+            kernels.product_each(_pair(), [kernels.gaussian, kernels.laplacian]).alias("product_each"),
+            kernels.additive_bounded(_pair(), kernels.epanechnikov).alias("additive"),
+            kernels.product_bounded(_pair(), [kernels.quartic, kernels.triangular]).alias("product_bounded"),
         ),
         9,
     ),
@@ -493,32 +501,31 @@ def _scan_sql(term: str, last: int) -> str:
     return f"list_min(list_filter(range(0, {last + 1}), lambda j: list_sum(list_transform(range(0, j + 1), lambda k: {term.format('k')})) >= p - 1e-12))::DOUBLE"
 
 
-_q_, _x_, _p_ = F.col("q"), F.col("x"), F.col("p")
 D = distributions
 for _name, _d, _dsql, _p, _psql, _qq, _qsql in (
-    ("bernoulli", D.dbern(F.pmod(_q_, F.lit(2)), 0.3), "CASE WHEN q % 2 = 1 THEN 0.3 ELSE 0.7 END", D.pbern(_x_, 0.3), "CASE WHEN x < 0 THEN 0 WHEN x < 1 THEN 0.7 ELSE 1 END", D.qbern(_p_, 0.3), "(p > 0.7)::INT"),
-    ("binomial", D.dbinom(_q_, 50, 0.4), _dbin.format("q"), D.pbinom(_q_, 50, 0.4), f"CASE WHEN q >= 50 THEN 1 ELSE {_upto(_dbin)} END", D.qbinom(_p_, 50, 0.4), _scan_sql(_dbin, 50)),
-    ("geometric", D.dgeom(_q_, 0.1), "0.1 * pow(0.9, q)", D.pgeom(_q_, 0.1), "1 - pow(0.9, q + 1)", D.qgeom(_p_, 0.1), "greatest(0, ceil(ln(1 - p) / ln(0.9) - 1 - 1e-12))"),
-    ("hypergeometric", D.dhyper(_q_, 60, 70, 50), _dhyp.format("q"), D.phyper(_q_, 60, 70, 50), f"least(1, {_upto(_dhyp)})", D.qhyper(_p_, 60, 70, 50), _scan_sql(_dhyp, 50)),
-    ("poisson", D.dpois(_q_, 20.0), _dpoi.format("q"), D.ppois(_q_, 20.0), f"least(1, {_upto(_dpoi)})", D.qpois(_p_, 20.0), _scan_sql(_dpoi, 93)),
-    ("uniform", D.dunif(_q_, 5, 30), "CASE WHEN q BETWEEN 5 AND 30 THEN 0.04 ELSE 0 END", D.punif(_q_, 5, 30), "least(1, greatest(0, (q - 5) / 25))", D.qunif(_p_, 5, 30), "5 + 25 * p"),
-    ("exponential", D.dexp(_q_, 0.1), "0.1 * exp(-0.1 * q)", D.pexp(_q_, 0.1), "1 - exp(-0.1 * q)", D.qexp(_p_, 0.1), "-ln(1 - p) / 0.1"),
-    ("laplace", D.dlaplace(_x_, 0.1, 1.5), "exp(-2 * abs(x - 0.1) / 1.5) / 1.5", D.plaplace(_x_, 0.1, 1.5), "CASE WHEN x < 0.1 THEN 0.5 * exp(-2 * abs(x - 0.1) / 1.5) ELSE 1 - 0.5 * exp(-2 * abs(x - 0.1) / 1.5) END", D.qlaplace(_p_, 0.1, 1.5), "0.1 - 0.75 * sign(p - 0.5) * ln(1 - 2 * abs(p - 0.5))"),
-    ("logistic", D.dlogis(_x_, 0.1, 1.5), "exp(-(x - 0.1) / 1.5) / (1.5 * pow(1 + exp(-(x - 0.1) / 1.5), 2))", D.plogis(_x_, 0.1, 1.5), "1 / (1 + exp(-(x - 0.1) / 1.5))", D.qlogis(_p_, 0.1, 1.5), "0.1 + 1.5 * ln(p / (1 - p))"),
-    ("cauchy", D.dcauchy(_x_, 0.1, 1.5), "1 / (pi() * 1.5 * (1 + pow((x - 0.1) / 1.5, 2)))", D.pcauchy(_x_, 0.1, 1.5), "0.5 + atan((x - 0.1) / 1.5) / pi()", D.qcauchy(_p_, 0.1, 1.5), "0.1 + 1.5 * tan(pi() * (p - 0.5))"),
-    ("raised_cosine", D.dcos(_x_, 0.1, 0.4), "CASE WHEN abs((x - 0.1) / 0.4) <= pi() THEN (1 + cos((x - 0.1) / 0.4)) / (2 * pi() * 0.4) ELSE 0 END", D.pcos(_x_, 0.1, 0.4), "CASE WHEN (x - 0.1) / 0.4 < -pi() THEN 0 WHEN (x - 0.1) / 0.4 > pi() THEN 1 ELSE (pi() + (x - 0.1) / 0.4 + sin((x - 0.1) / 0.4)) / (2 * pi()) END", D.pcos(D.qcos(_p_, 0.1, 0.4), 0.1, 0.4), "p"),
-    ("triangular", D.dtriang(_x_, 0.1, 1.5), "greatest(0, (1 - abs(x - 0.1) / 1.5) / 1.5)", D.ptriang(_x_, 0.1, 1.5), "CASE WHEN x <= -1.4 THEN 0 WHEN x >= 1.6 THEN 1 WHEN x < 0.1 THEN pow(1 + (x - 0.1) / 1.5, 2) / 2 ELSE 1 - pow(1 - (x - 0.1) / 1.5, 2) / 2 END", D.qtriang(_p_, 0.1, 1.5), "0.1 + 1.5 * CASE WHEN p < 0.5 THEN sqrt(2 * p) - 1 ELSE 1 - sqrt(2 * (1 - p)) END"),
-    ("normal", D.dnorm(_x_), "exp(-0.5 * x * x) / sqrt(2 * pi())", D.pnorm(_x_), _PNORM, D.pnorm(D.qnorm(_p_)), "p"),
-    ("lognormal", D.dlnorm(F.exp(_x_)), "exp(-0.5 * x * x) / sqrt(2 * pi()) / exp(x)", D.plnorm(F.exp(_x_)), _PNORM, D.plnorm(D.qlnorm(_p_)), "p"),
+    ("bernoulli", lambda: D.dbern(F.pmod(_c("q"), F.lit(2)), 0.3), "CASE WHEN q % 2 = 1 THEN 0.3 ELSE 0.7 END", lambda: D.pbern(_c("x"), 0.3), "CASE WHEN x < 0 THEN 0 WHEN x < 1 THEN 0.7 ELSE 1 END", lambda: D.qbern(_c("p"), 0.3), "(p > 0.7)::INT"),
+    ("binomial", lambda: D.dbinom(_c("q"), 50, 0.4), _dbin.format("q"), lambda: D.pbinom(_c("q"), 50, 0.4), f"CASE WHEN q >= 50 THEN 1 ELSE {_upto(_dbin)} END", lambda: D.qbinom(_c("p"), 50, 0.4), _scan_sql(_dbin, 50)),
+    ("geometric", lambda: D.dgeom(_c("q"), 0.1), "0.1 * pow(0.9, q)", lambda: D.pgeom(_c("q"), 0.1), "1 - pow(0.9, q + 1)", lambda: D.qgeom(_c("p"), 0.1), "greatest(0, ceil(ln(1 - p) / ln(0.9) - 1 - 1e-12))"),
+    ("hypergeometric", lambda: D.dhyper(_c("q"), 60, 70, 50), _dhyp.format("q"), lambda: D.phyper(_c("q"), 60, 70, 50), f"least(1, {_upto(_dhyp)})", lambda: D.qhyper(_c("p"), 60, 70, 50), _scan_sql(_dhyp, 50)),
+    ("poisson", lambda: D.dpois(_c("q"), 20.0), _dpoi.format("q"), lambda: D.ppois(_c("q"), 20.0), f"least(1, {_upto(_dpoi)})", lambda: D.qpois(_c("p"), 20.0), _scan_sql(_dpoi, 93)),
+    ("uniform", lambda: D.dunif(_c("q"), 5, 30), "CASE WHEN q BETWEEN 5 AND 30 THEN 0.04 ELSE 0 END", lambda: D.punif(_c("q"), 5, 30), "least(1, greatest(0, (q - 5) / 25))", lambda: D.qunif(_c("p"), 5, 30), "5 + 25 * p"),
+    ("exponential", lambda: D.dexp(_c("q"), 0.1), "0.1 * exp(-0.1 * q)", lambda: D.pexp(_c("q"), 0.1), "1 - exp(-0.1 * q)", lambda: D.qexp(_c("p"), 0.1), "-ln(1 - p) / 0.1"),
+    ("laplace", lambda: D.dlaplace(_c("x"), 0.1, 1.5), "exp(-2 * abs(x - 0.1) / 1.5) / 1.5", lambda: D.plaplace(_c("x"), 0.1, 1.5), "CASE WHEN x < 0.1 THEN 0.5 * exp(-2 * abs(x - 0.1) / 1.5) ELSE 1 - 0.5 * exp(-2 * abs(x - 0.1) / 1.5) END", lambda: D.qlaplace(_c("p"), 0.1, 1.5), "0.1 - 0.75 * sign(p - 0.5) * ln(1 - 2 * abs(p - 0.5))"),
+    ("logistic", lambda: D.dlogis(_c("x"), 0.1, 1.5), "exp(-(x - 0.1) / 1.5) / (1.5 * pow(1 + exp(-(x - 0.1) / 1.5), 2))", lambda: D.plogis(_c("x"), 0.1, 1.5), "1 / (1 + exp(-(x - 0.1) / 1.5))", lambda: D.qlogis(_c("p"), 0.1, 1.5), "0.1 + 1.5 * ln(p / (1 - p))"),
+    ("cauchy", lambda: D.dcauchy(_c("x"), 0.1, 1.5), "1 / (pi() * 1.5 * (1 + pow((x - 0.1) / 1.5, 2)))", lambda: D.pcauchy(_c("x"), 0.1, 1.5), "0.5 + atan((x - 0.1) / 1.5) / pi()", lambda: D.qcauchy(_c("p"), 0.1, 1.5), "0.1 + 1.5 * tan(pi() * (p - 0.5))"),
+    ("raised_cosine", lambda: D.dcos(_c("x"), 0.1, 0.4), "CASE WHEN abs((x - 0.1) / 0.4) <= pi() THEN (1 + cos((x - 0.1) / 0.4)) / (2 * pi() * 0.4) ELSE 0 END", lambda: D.pcos(_c("x"), 0.1, 0.4), "CASE WHEN (x - 0.1) / 0.4 < -pi() THEN 0 WHEN (x - 0.1) / 0.4 > pi() THEN 1 ELSE (pi() + (x - 0.1) / 0.4 + sin((x - 0.1) / 0.4)) / (2 * pi()) END", lambda: D.pcos(D.qcos(_c("p"), 0.1, 0.4), 0.1, 0.4), "p"),
+    ("triangular", lambda: D.dtriang(_c("x"), 0.1, 1.5), "greatest(0, (1 - abs(x - 0.1) / 1.5) / 1.5)", lambda: D.ptriang(_c("x"), 0.1, 1.5), "CASE WHEN x <= -1.4 THEN 0 WHEN x >= 1.6 THEN 1 WHEN x < 0.1 THEN pow(1 + (x - 0.1) / 1.5, 2) / 2 ELSE 1 - pow(1 - (x - 0.1) / 1.5, 2) / 2 END", lambda: D.qtriang(_c("p"), 0.1, 1.5), "0.1 + 1.5 * CASE WHEN p < 0.5 THEN sqrt(2 * p) - 1 ELSE 1 - sqrt(2 * (1 - p)) END"),
+    ("normal", lambda: D.dnorm(_c("x")), "exp(-0.5 * x * x) / sqrt(2 * pi())", lambda: D.pnorm(_c("x")), _PNORM, lambda: D.pnorm(D.qnorm(_c("p"))), "p"),
+    ("lognormal", lambda: D.dlnorm(F.exp(_c("x"))), "exp(-0.5 * x * x) / sqrt(2 * pi()) / exp(x)", lambda: D.plnorm(F.exp(_c("x"))), _PNORM, lambda: D.plnorm(D.qlnorm(_c("p"))), "p"),
 ):
     add(
         f"distribution_{_name}",
-        lambda s, d, c=(_d, _p, _qq): rounded(_grid(s, d).select("q", c[0].cast("double").alias("density"), c[1].cast("double").alias("probability"), c[2].cast("double").alias("quantile")), 8),
+        lambda s, d, c=(_d, _p, _qq): rounded(_grid(s, d).select("q", c[0]().cast("double").alias("density"), c[1]().cast("double").alias("probability"), c[2]().cast("double").alias("quantile")), 8),
         _Z + f"SELECT q, round(({_dsql})::DOUBLE, 8) + 0.0::DOUBLE AS density, round(({_psql})::DOUBLE, 8) + 0.0::DOUBLE AS probability, round(({_qsql})::DOUBLE, 8) + 0.0::DOUBLE AS quantile FROM v",
     )
 add(
     "distribution_gamma_beta",
-    lambda s, d: rounded(_grid(s, d).select("q", D.dgamma(_q_, 2.5, 4.0).alias("gamma"), D.dbeta(_p_, 2.5, 1.5).alias("beta"), D.ddirichlet(F.array(_p_ / 2, _p_ / 2, 1 - _p_), [1.5, 2.0, 2.5]).alias("dirichlet"), D.dunifsimplex(F.array(_p_, 1 - _p_, F.lit(0.0)), 3).alias("simplex")), 8),
+    lambda s, d: rounded(_grid(s, d).select("q", D.dgamma(_c("q"), 2.5, 4.0).alias("gamma"), D.dbeta(_c("p"), 2.5, 1.5).alias("beta"), D.ddirichlet(F.array(_c("p") / 2, _c("p") / 2, 1 - _c("p")), [1.5, 2.0, 2.5]).alias("dirichlet"), D.dunifsimplex(F.array(_c("p"), 1 - _c("p"), F.lit(0.0)), 3).alias("simplex")), 8),
     _Z + """SELECT q, round(exp(1.5 * ln(q) - q / 4 - 2.5 * ln(4) - lgamma(2.5)), 8) AS gamma, round(exp(1.5 * ln(p) + 0.5 * ln(1 - p) + lgamma(4) - lgamma(2.5) - lgamma(1.5)), 8) AS beta,
 round(exp(lgamma(6) - lgamma(1.5) - lgamma(2) - lgamma(2.5) + 0.5 * ln(p / 2) + ln(p / 2) + 1.5 * ln(1 - p)), 8) AS dirichlet, 2.0::DOUBLE AS simplex FROM v""",
 )
@@ -528,7 +535,7 @@ add(
         _grid(s, d).select(
             "q",
             *[
-                (F.abs(f(_p_) - D.qnorm(_p_)) < tol).alias(n)
+                (F.abs(f(_c("p")) - D.qnorm(_c("p"))) < tol).alias(n)
                 for n, f, tol in (
                     ("acklam", D.qnorm_acklam, 1e-6), ("odeh_evans", D.qnorm_odeh_evans, 1e-6), ("beasley_springer", D.qnorm_beasley_springer, 1e-6),
                     ("hastings_67", D.qnorm_hastings_67, 4e-3), ("hastings_68", D.qnorm_hastings_68, 5e-4), ("hill_davis", D.qnorm_hill_davis, 1e-3),
@@ -560,12 +567,12 @@ add(
     lambda s, d: rounded(
         _grid(s, d).select(
             "q",
-            F.log(special.factorial(_q_)).alias("log_factorial"), (special.stirling(_q_) / special.factorial(_q_)).alias("stirling"), (special.gosper(_q_) / special.factorial(_q_)).alias("gosper"),
-            special.log_beta(_q_, 2.5).alias("log_beta"), F.log(special.binom_coefficient(60, _q_)).alias("log_binom"), log_gamma(_p_).alias("log_gamma"), erf(_x_).alias("erf"),
-            special.deriv1(F.exp, _p_).alias("slope"), special.deriv2(F.exp, _p_, 1e-3).alias("curve"), special.deriv(F.sin, _p_, 3).alias("third"),
-            special.cubic_basis(_x_, 0.3).alias("cubic"), special.bernstein_poly(_p_, lambda t: t * t, 10).alias("bernstein"),
-            special.eval_poly(_p_, F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))).alias("poly"), special.hard_clip(_x_, 0.5).alias("hard"), special.soft_clip(_x_, 0.5).alias("soft"),
-            special.jl_dimension(0.2, _q_ + 1).alias("jl_dim"), special.jl_epsilon(100, _q_ + 1).alias("jl_eps"),
+            F.log(special.factorial(_c("q"))).alias("log_factorial"), (special.stirling(_c("q")) / special.factorial(_c("q"))).alias("stirling"), (special.gosper(_c("q")) / special.factorial(_c("q"))).alias("gosper"),
+            special.log_beta(_c("q"), 2.5).alias("log_beta"), F.log(special.binom_coefficient(60, _c("q"))).alias("log_binom"), log_gamma(_c("p")).alias("log_gamma"), erf(_c("x")).alias("erf"),
+            special.deriv1(F.exp, _c("p")).alias("slope"), special.deriv2(F.exp, _c("p"), 1e-3).alias("curve"), special.deriv(F.sin, _c("p"), 3).alias("third"),
+            special.cubic_basis(_c("x"), 0.3).alias("cubic"), special.bernstein_poly(_c("p"), lambda t: t * t, 10).alias("bernstein"),
+            special.eval_poly(_c("p"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))).alias("poly"), special.hard_clip(_c("x"), 0.5).alias("hard"), special.soft_clip(_c("x"), 0.5).alias("soft"),
+            special.jl_dimension(0.2, _c("q") + 1).alias("jl_dim"), special.jl_epsilon(100, _c("q") + 1).alias("jl_eps"),
         ),
         3,
     ),
@@ -579,11 +586,11 @@ add(
     lambda s, d: rounded(
         _grid(s, d).select(
             "q",
-            special.eval_power_series(_p_, special.maclaurin_coefficients(math.exp, 4)).alias("maclaurin"),
-            special.eval_power_series(_p_, special.taylor_coefficients(math.exp, 4, 0.5), 0.5).alias("taylor"),
-            special.eval_fourier(_x_, special.fourier_coefficients(lambda t: t * t, 5)).alias("fourier"),
-            sum((special.bspline_basis(_p_, i, 4, [0, 0, 0, 0, 0.5, 1, 1, 1, 1]) for i in range(5)), F.lit(0.0)).alias("bspline_unity"),
-            special.bspline_basis(_p_, 0, 2, [0, 0.5, 1]).alias("bspline_linear"),
+            special.eval_power_series(_c("p"), special.maclaurin_coefficients(math.exp, 4)).alias("maclaurin"),
+            special.eval_power_series(_c("p"), special.taylor_coefficients(math.exp, 4, 0.5), 0.5).alias("taylor"),
+            special.eval_fourier(_c("x"), special.fourier_coefficients(lambda t: t * t, 5)).alias("fourier"),
+            sum((special.bspline_basis(_c("p"), i, 4, [0, 0, 0, 0, 0.5, 1, 1, 1, 1]) for i in range(5)), F.lit(0.0)).alias("bspline_unity"),
+            special.bspline_basis(_c("p"), 0, 2, [0, 0.5, 1]).alias("bspline_linear"),
         ),
         3,
     ),
@@ -600,10 +607,23 @@ def _coefficients(s: SparkSession, beta: np.ndarray, digits: int = 6) -> DataFra
     return rounded(s.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "term int, coefficient double"), digits)
 
 
-_ones = F.lit(1.0)
+
+
+def _one() -> Column:
+    return F.lit(1.0)
+
+
+def _step_x() -> Column:
+    return (F.col("l_quantity") - 25) / 25
+
+
+def _step_y() -> Column:
+    return (F.col("l_extendedprice") > 40000).cast("double")
+
+
 add(
     "ols",
-    lambda s, d: _coefficients(s, glm.ols(table(s, d, "lineitem"), "l_extendedprice", [_ones, _q]).coefficients, 3),
+    lambda s, d: _coefficients(s, glm.ols(table(s, d, "lineitem"), "l_extendedprice", [_one(), _q]).coefficients, 3),
     "SELECT 0 AS term, round(regr_intercept(l_extendedprice, l_quantity), 3) AS coefficient FROM lineitem UNION ALL SELECT 1, round(regr_slope(l_extendedprice, l_quantity), 3) FROM lineitem",
 )
 _TWO = "WITH s AS (SELECT sum({w} * l_quantity * l_quantity) a, sum({w} * l_quantity * l_discount) b, sum({w} * l_discount * l_discount) c, sum({w} * l_quantity * l_extendedprice) u, sum({w} * l_discount * l_extendedprice) v FROM lineitem) "
@@ -614,8 +634,8 @@ add("wls", lambda s, d: _coefficients(s, glm.ols(table(s, d, "lineitem"), "l_ext
 
 def _residuals(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "lineitem")
-    fit = glm.ols(rows, "l_extendedprice", [_ones, _q])
-    return rounded(glm.residuals(rows, "l_extendedprice", [_ones, _q], fit).select("l_orderkey", "l_linenumber", "residual"), 3)
+    fit = glm.ols(rows, "l_extendedprice", [_one(), _q])
+    return rounded(glm.residuals(rows, "l_extendedprice", [_one(), _q], fit).select("l_orderkey", "l_linenumber", "residual"), 3)
 
 
 add(
@@ -626,20 +646,18 @@ SELECT l_orderkey, l_linenumber, round(l_extendedprice - a - b * l_quantity, 3)
 )
 add(
     "ols_coefficient_covariance",
-    lambda s, d: rounded(linear.matrix_frame(s, glm.coefficient_covariance(table(s, d, "lineitem"), "l_extendedprice", [_ones, _q])), 3),
+    lambda s, d: rounded(linear.matrix_frame(s, glm.coefficient_covariance(table(s, d, "lineitem"), "l_extendedprice", [_one(), _q])), 3),
     """WITH k AS (SELECT count(*) n, sum(l_quantity) sx, sum(l_quantity * l_quantity) sxx, regr_intercept(l_extendedprice, l_quantity) a, regr_slope(l_extendedprice, l_quantity) b FROM lineitem),
 r AS (SELECT sum(pow(l_extendedprice - a - b * l_quantity, 2)) / (any_value(n) - 2) s2 FROM lineitem, k), d AS (SELECT s2, n, sx, sxx, n * sxx - sx * sx det FROM k, r)
 SELECT 0 AS i, 0 AS j, round(s2 * sxx / det, 3) AS v FROM d UNION ALL SELECT 0, 1, round(-s2 * sx / det, 3) FROM d UNION ALL SELECT 1, 0, round(-s2 * sx / det, 3) FROM d UNION ALL SELECT 1, 1, round(s2 * n / det, 3) FROM d""",
 )
-_STEP = {"x": (F.col("l_quantity") - 25) / 25, "y": (F.col("l_extendedprice") > 40000).cast("double")}
-_xc = [_ones, _STEP["x"]]
-add("logit", lambda s, d: _coefficients(s, glm.logit(table(s, d, "lineitem"), _STEP["y"], _xc, 10).coefficients, 5))
+add("logit", lambda s, d: _coefficients(s, glm.logit(table(s, d, "lineitem"), _step_y(), [_one(), _step_x()], 10).coefficients, 5))
 for _family in ("poisson", "gamma", "negative_binomial", "inverse_gaussian"):
-    add(f"log_link_{_family}", lambda s, d, f=_family: _coefficients(s, glm.log_link(table(s, d, "lineitem"), F.col("l_extendedprice") / 40000 + 0.5, [_ones, F.col("l_quantity") / 50], f, 30).coefficients, 5))
-add("least_absolute", lambda s, d: _coefficients(s, glm.least_absolute(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, _xc, None, 10).coefficients, 3))
-add("least_absolute_weighted", lambda s, d: _coefficients(s, glm.least_absolute(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, _xc, F.col("l_tax") + 0.5, 10).coefficients, 3))
-add("forward_stagewise", lambda s, d: _coefficients(s, glm.forward_stagewise(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_STEP["x"], "l_discount", "l_tax"], 30.0).coefficients, 5))
-add("forward_stagewise_bic", lambda s, d: _coefficients(s, glm.forward_stagewise(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_STEP["x"], "l_discount", "l_tax"]).coefficients, 5))
+    add(f"log_link_{_family}", lambda s, d, f=_family: _coefficients(s, glm.log_link(table(s, d, "lineitem"), F.col("l_extendedprice") / 40000 + 0.5, [_one(), F.col("l_quantity") / 50], f, 30).coefficients, 5))
+add("least_absolute", lambda s, d: _coefficients(s, glm.least_absolute(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_one(), _step_x()], None, 10).coefficients, 3))
+add("least_absolute_weighted", lambda s, d: _coefficients(s, glm.least_absolute(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_one(), _step_x()], F.col("l_tax") + 0.5, 10).coefficients, 3))
+add("forward_stagewise", lambda s, d: _coefficients(s, glm.forward_stagewise(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_step_x(), "l_discount", "l_tax"], 30.0).coefficients, 5))
+add("forward_stagewise_bic", lambda s, d: _coefficients(s, glm.forward_stagewise(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_step_x(), "l_discount", "l_tax"]).coefficients, 5))
 
 
 def _capture(n_lists: int) -> Query:
@@ -647,7 +665,7 @@ def _capture(n_lists: int) -> Query:
         rows = table(s, d, "customer").select(
             ((F.col("c_acctbal") - 4500) / 5500).alias("x"), *[(F.pmod(F.xxhash64("c_custkey", F.lit(i)), F.lit(10)) < 6 - i).cast("double").alias(f"y{i}") for i in range(n_lists)]
         )
-        lists = [(f"y{i}", [_ones, F.col("x")]) for i in range(n_lists)]
+        lists = [(f"y{i}", [_one(), F.col("x")]) for i in range(n_lists)]
         betas = glm.capture_recapture(rows, lists, 40, 0.05)
         out = glm.population_size(rows, lists, betas)
         return rounded(out, 3)
@@ -934,11 +952,10 @@ add("self_projection_smoother", lambda s, d: rounded(networks.self_projection_sm
 
 # Samples and resampling.
 
-_PIK = (F.col("c_acctbal") + 1500) / 40000
 
 
 def _units(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "customer").select("c_custkey", "c_acctbal", _PIK.alias("pik"))
+    return table(s, d, "customer").select("c_custkey", "c_acctbal", ((F.col("c_acctbal") + 1500) / 40000).alias("pik"))
 
 
 add("sample_with_replacement", lambda s, d: sampling.simple_with_replacement(_units(s, d), "c_custkey", 100, 1))
