@@ -39,12 +39,12 @@ from .store import dropped, staged
 from .word_cache import tokenizer
 
 SCALE, LOW = 20, np.uint64(1 << 31)
-LANES, BLOCK_TOKENS, CHECKPOINT_TOKENS = 1024, 1 << 18, 1 << 17
+LANES, BLOCK_TOKENS, CHECKPOINT_TOKENS = 2048, 1 << 18, 1 << 17
 MAGIC, VERSION = b"RTOK", 1
 #: Stands in a block for a null document id.
 NO_ID = -(1 << 63)
 _HEAD = struct.Struct("<4sII5IQ")
-_WORD = np.uint64(32)
+_WORD, _LOW_WORD = np.uint64(32), np.uint64(0xFFFFFFFF)
 _SLOT = np.uint64((1 << SCALE) - 1)
 
 
@@ -69,23 +69,26 @@ class Frequencies:
                 spare += take
                 if spare == 0:
                     break
-        self.f = scaled.astype(np.uint64)
-        self.c = np.concatenate(([0], np.cumsum(scaled)[:-1])).astype(np.uint64)
+        self._set(scaled.astype(np.uint64))
+
+    def _set(self, f: np.ndarray) -> None:
+        self.f = f
+        self.c = np.concatenate(([0], np.cumsum(f)[:-1])).astype(np.uint64)
+        self.both = (self.f << np.uint64(32)) | self.c  # one lookup instead of two
         self._slots: np.ndarray | None = None
 
     @property
     def slots(self) -> np.ndarray:
         if self._slots is None:
-            self._slots = np.repeat(np.arange(len(self.f), dtype=np.uint32), self.f.astype(np.int64))
+            ids = np.arange(len(self.f), dtype=np.uint16 if len(self.f) <= 1 << 16 else np.uint32)
+            self._slots = np.repeat(ids, self.f.astype(np.int64))
         return self._slots
 
     def __getstate__(self) -> dict:
         return {"f": self.f.astype(np.uint32)}
 
     def __setstate__(self, state: dict) -> None:
-        self.f = state["f"].astype(np.uint64)
-        self.c = np.concatenate(([0], np.cumsum(self.f)[:-1])).astype(np.uint64)
-        self._slots = None
+        self._set(state["f"].astype(np.uint64))
 
 
 def encode_ids(ids: np.ndarray, table: Frequencies) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
@@ -99,10 +102,11 @@ def encode_ids(ids: np.ndarray, table: Frequencies) -> tuple[list[tuple[int, np.
     marks: list[tuple[int, np.ndarray]] = []
     for step in range(steps - 1, -1, -1):
         part = ids[step * LANES : (step + 1) * LANES]
-        x, f, c = state[: len(part)], table.f[part], table.c[part]
+        x, both = state[: len(part)], table.both[part]
+        f, c = both >> _WORD, both & _LOW_WORD
         full = x >= (f << np.uint64(63 - SCALE))
         if full.any():
-            words.append((x[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
+            words.append((x[full] & _LOW_WORD).astype("<u4"))
             written += len(words[-1])
             x = np.where(full, x >> _WORD, x)
         q = x // f
@@ -122,7 +126,8 @@ def decode_ids(n: int, mark: tuple[int, np.ndarray], payload: np.ndarray, table:
         slot = x & _SLOT
         got = table.slots[slot.astype(np.int64)]
         out[first : first + len(x)] = got
-        x = table.f[got] * (x >> np.uint64(SCALE)) + slot - table.c[got]
+        both = table.both[got]
+        x = (both >> _WORD) * (x >> np.uint64(SCALE)) + slot - (both & _LOW_WORD)
         low = x < LOW
         need = int(np.count_nonzero(low))
         if need:
@@ -164,36 +169,45 @@ def decode_block(block: bytes, table: Frequencies) -> tuple[np.ndarray, np.ndarr
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``ids`` (little-endian unsigned 16-bit integers, ``end_id``
-    last).  Null text counts as empty."""
+    last) and ``counts``.  Null text counts as empty.  Each task's last row holds
+    no document but, in ``counts``, how often it wrote each id: pairs of an id
+    and a count as unsigned 64-bit integers.  A task that runs again writes both
+    anew, so counts always match the documents."""
+    names, kinds = ["doc_id", "ids", "counts"], [pa.int64(), pa.binary(), pa.binary()]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, end = tokenizer(vocabulary), np.array([end_id], "<u2").tobytes()
+        total = np.zeros(1 << 16, np.uint64)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                ids = coder.ids([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x + end for x in ids], pa.binary())], ["doc_id", "ids"]
-                )
+                ids = [x + end for x in coder.ids([t or "" for t in part.column(1).to_pylist()])]
+                total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), minlength=1 << 16).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, kinds[1]), pa.nulls(len(ids), kinds[2])], names)
+        seen = np.nonzero(total)[0]
+        counts = np.column_stack([seen.astype("<u8"), total[seen].astype("<u8")]).tobytes()
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([None], [None], [counts]), kinds, strict=True)], names)
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    return chosen.mapInArrow(rows, "doc_id long, ids binary")
+    return chosen.mapInArrow(rows, "doc_id long, ids binary, counts binary")
 
 
 def count_ids(tokens: DataFrame) -> Frequencies:
-    """Counts of all ids, added up in each task before they are shuffled; the
-    result has one row for each id of the vocabulary at most."""
+    """Counts of all ids from a staged ``token_table``; only its ``counts`` are
+    read, and added up in each task before they are shuffled.  The result has
+    one row for each id of the vocabulary at most."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                joined = b"".join(batch.column(0).slice(at, 512).to_pylist())
-                total += np.bincount(np.frombuffer(joined, "<u2"), minlength=1 << 16)
+            for raw in batch.column(0).to_pylist():
+                pairs = np.frombuffer(raw, "<u8").reshape(-1, 2).astype(np.int64)
+                total[pairs[:, 0]] += pairs[:, 1]
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["id", "n"])
 
-    totals = tokens.select("ids").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = tokens.select("counts").where("counts IS NOT NULL")
+    totals = rows.mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = totals.toPandas().sort_values("id")
     return Frequencies(got["id"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
 
@@ -229,7 +243,8 @@ def write_blocks(tokens: DataFrame, table: Frequencies) -> DataFrame:
             yield block()
 
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = tokens.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
+    rows = tokens.where("ids IS NOT NULL").select("doc_id", "ids")
+    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
     return staged(ordered.mapInArrow(blocks, "part int, seq int, n_tokens long, block binary"), "rans-blocks")
 
 

@@ -14,12 +14,12 @@ import sys
 from array import array
 
 #: Chunks kept in a worker, and the longest one kept, in characters.
-MOST_CHUNKS, LONGEST_CHUNK = 500_000, 64
+MOST_CHUNKS, LONGEST_CHUNK = 1_000_000, 64
 #: White space that byte-level splitting treats by what stands next to it.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|\s\Z")
-#: Letters, then marks: chunks whose cuts and lower case need no tables.  Both
-#: vocabularies cut them there and nowhere else.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
+#: Letters, then marks (all of ASCII but the apostrophe): chunks whose cuts and
+#: lower case need no tables.  Both vocabularies cut them there and nowhere else.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,14 +52,15 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Known(dict):
-    """Ids of chunks that stand after ``lead``; learns those it lacks."""
+    """Ids of chunks that stand after ``lead``; learns those it lacks while there
+    is room."""
 
     def __init__(self, of: ChunkedTokenizer, lead: str) -> None:
         super().__init__()
-        self._of, self._lead = of, lead
+        self._of, self.lead = of, lead
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self._of._encode(chunk, self._lead)
+        ids = self._of._encode(chunk, self)
         if len(self) < MOST_CHUNKS and len(chunk) <= LONGEST_CHUNK:
             self[chunk] = ids
         return ids
@@ -79,29 +80,37 @@ class ChunkedTokenizer:
             kind = json.load(f)["pre_tokenizer"]["type"]
         self._spaced = kind == "ByteLevel"  # a chunk there includes the space before it
         self._model = self._library.model
-        self._marks: dict[str, list[int]] = {}
+        self._marks: dict[str, bytes] = {}
         self._first = _Known(self, "")
         self._later = _Known(self, " ")
 
     def _one(self, chunk: str) -> list[int]:
         return self._library.encode(chunk, add_special_tokens=False).ids
 
-    def _merged(self, letters: str) -> list[int]:
+    def _merged(self, letters: str, lead: str) -> bytes:
         """Ids of letters that are not cut any further, by the library's model alone."""
-        shown = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        return [t.id for t in self._model.tokenize(shown)]
-
-    def _encode(self, chunk: str, lead: str) -> bytes:
-        if plain := _PLAIN.fullmatch(chunk):
-            letters, marks = plain.groups()
-            ids = self._merged(lead + letters if self._spaced else letters.lower())
-            if marks:
-                if marks not in self._marks:
-                    self._marks[marks] = self._one(marks)
-                ids = ids + self._marks[marks]
+        if self._spaced:
+            letters = lead + letters
+        else:
+            letters = letters.lower()
+        if letters.isascii():
+            shown = letters.replace(" ", _BYTE_LETTERS[0x20])  # ASCII letters stand for themselves
         else:
-            ids = self._one(lead + chunk)
-        return _packed(ids)
+            shown = letters.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return _packed([t.id for t in self._model.tokenize(shown)])
+
+    def _encode(self, chunk: str, known: _Known) -> bytes:
+        if chunk.isascii() and chunk.isalpha():
+            return self._merged(chunk, known.lead)
+        plain = _PLAIN.fullmatch(chunk)
+        if not plain:
+            return _packed(self._one(known.lead + chunk))
+        letters, marks = plain.groups()
+        if not marks:
+            return self._merged(letters, known.lead)
+        if marks not in self._marks:
+            self._marks[marks] = _packed(self._one(marks))
+        return known[letters] + self._marks[marks]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 16-bit integers."""
