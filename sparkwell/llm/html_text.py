@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import narrow_batches
+
 # Element names of the HTML standard, and words that mark
 # elements which are not part of an article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -223,6 +225,7 @@ def extract(pages: DataFrame, most_pages: int = 2000) -> DataFrame:
     Repeated rows give equal rows; rows without a ``page_id`` are read like
     others.  An empty table gives no rows.  Other columns are ignored.
     """
+    narrow_batches(pages.sparkSession)
     weights = learn_weights(pages, most_pages)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import dropped, staged
+from .store import dropped, narrow_batches, staged
 from .word_cache import tokenizer
 
 SCALE, LOW = 20, np.uint64(1 << 31)
@@ -188,6 +188,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "do
         counts = np.column_stack([seen.astype("<u8"), total[seen].astype("<u8")]).tobytes()
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([None], [None], [counts]), kinds, strict=True)], names)
 
+    narrow_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return chosen.mapInArrow(rows, "doc_id long, ids binary, counts binary")
 

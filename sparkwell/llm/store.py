@@ -19,6 +19,16 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{tempfile.gettempdir()}/sparkwell-shared"
 
 
+def narrow_batches(spark: SparkSession, rows: int = 1000, size: int = 1 << 24) -> None:
+    """Lower the session's Arrow batches to ``rows`` rows and ``size`` bytes, where
+    they are larger, so that batches of long texts fit in memory on both sides."""
+    for key, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key).lower().rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, most)
+
+
 def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 

@@ -13,8 +13,12 @@ import re
 import sys
 from array import array
 
+from xxhash import xxh3_128_digest
+
 #: Chunks kept in a worker, and the longest one kept, in characters.
-MOST_CHUNKS, LONGEST_CHUNK = 1_000_000, 64
+MOST_CHUNKS, LONGEST_CHUNK = 800_000, 64
+#: Characters of the shortest text, and bytes of ids, that are kept for copies.
+SHORTEST_COPY, MOST_COPIED = 200, 1 << 25
 #: White space that byte-level splitting treats by what stands next to it.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|\s\Z")
 #: Letters, then marks (all of ASCII but the apostrophe): chunks whose cuts and
@@ -35,12 +39,12 @@ _BYTE_LETTERS = _byte_letters()
 _loaded: dict[str, ChunkedTokenizer] = {}
 
 
-def tokenizer(name: str) -> ChunkedTokenizer:
+def tokenizer(name: str, most_chunks: int = MOST_CHUNKS) -> ChunkedTokenizer:
     """The worker's tokenizer for a vocabulary file of ``public_tokenizers`` (or
     a path); one a process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if name not in _loaded:
-        _loaded[name] = ChunkedTokenizer(name)
+        _loaded[name] = ChunkedTokenizer(name, most_chunks)
     return _loaded[name]
 
 
@@ -61,13 +65,14 @@ class _Known(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         ids = self._of._encode(chunk, self)
-        if len(self) < MOST_CHUNKS and len(chunk) <= LONGEST_CHUNK:
+        if len(self) < self._of.most_chunks and len(chunk) <= LONGEST_CHUNK:
             self[chunk] = ids
         return ids
 
 
 class ChunkedTokenizer:
-    def __init__(self, name: str) -> None:
+    def __init__(self, name: str, most_chunks: int = MOST_CHUNKS) -> None:
+        self.most_chunks = most_chunks
         import json
 
         import public_tokenizers
@@ -81,6 +86,8 @@ class ChunkedTokenizer:
         self._spaced = kind == "ByteLevel"  # a chunk there includes the space before it
         self._model = self._library.model
         self._marks: dict[str, bytes] = {}
+        self._copies: dict[bytes, bytes] = {}
+        self._held = 0
         self._first = _Known(self, "")
         self._later = _Known(self, " ")
 
@@ -114,10 +121,27 @@ class ChunkedTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 16-bit integers."""
-        if self._spaced:
-            return [_packed(self._one(t)) if _UNEVEN.search(t) else self._by_line(t) for t in texts]
-        get = self._first.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").split(" "))) for t in texts]
+        return [self._text(t) for t in texts]
+
+    def _text(self, text: str) -> bytes:
+        """Ids of a text; copies of a text met lately are not read again."""
+        if len(text) < SHORTEST_COPY:
+            return self._read(text)
+        key = xxh3_128_digest(text.encode("utf-8", "surrogatepass"))
+        ids = self._copies.get(key)
+        if ids is None:
+            ids = self._read(text)
+            self._held += len(ids)
+            if self._held > MOST_COPIED:
+                self._copies.clear()
+                self._held = len(ids)
+            self._copies[key] = ids
+        return ids
+
+    def _read(self, text: str) -> bytes:
+        if not self._spaced:
+            return b"".join(map(self._first.__getitem__, text.replace("\n", " ").split(" ")))
+        return _packed(self._one(text)) if _UNEVEN.search(text) else self._by_line(text)
 
     def _by_line(self, text: str) -> bytes:
         first, later, out = self._first, self._later.__getitem__, []
