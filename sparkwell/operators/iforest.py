@@ -56,10 +56,9 @@ class Forest:
             return x @ rule[1]
         if rule[0] == "prototype":
             return l2(x, rule[1])
-        # Steinhaus transform: two prototypes, one as the pivot
-        a, b = l2(x, rule[1]), l2(x, rule[2])
+        # Steinhaus transform of two prototypes with the row as the pivot
         d = l2(rule[1], rule[2])
-        return 2 * a / np.maximum(a + b + d, 1e-300)
+        return 2 * d / np.maximum(d + l2(x, rule[1]) + l2(x, rule[2]), 1e-300)
 
     def depths(self, node: Node, x: np.ndarray, depth: int = 0) -> np.ndarray:
         if not node.rule:
@@ -88,7 +87,7 @@ def _net(layers: list[np.ndarray], x: np.ndarray) -> np.ndarray:
     for w in layers:
         z = z @ w
         size = np.abs(z)
-        z = z * np.tanh(size) / np.maximum(size, 1e-12)
+        z = z * np.log1p(size) / np.maximum(size, 1e-12)
     return np.concatenate([z.real, z.imag], axis=1)
 
 
@@ -126,8 +125,8 @@ def grow(forest: Forest, x: np.ndarray, limit: int, rng: np.random.Generator) ->
 
 def isolation_forest(df: DataFrame, key: str, x: str, trees: int = 100, psi: int = 64, kind: str = "projection", limit: int | None = None, seed: int = 1, most: int = 100_000) -> Forest:
     """``kind``: ``projection`` (random direction, uniform cut), ``gap`` (cut inside
-    the largest gap), ``prototype`` (distance from one row), ``steinhaus`` (nearer to
-    which of two rows) or ``deep`` (projections of a random complex net)."""
+    the largest gap), ``prototype`` (distance from one row), ``steinhaus`` (far from
+    two rows, by their distance) or ``deep`` (projections of a random complex net)."""
     n = max(1, df.count())
     share = min(1.0, min(most, trees * psi) / n * 1.2)
     rows = df.where(uniform(seed, key) <= share).select(x).where(F.col(x).isNotNull()).collect()
