@@ -6,6 +6,7 @@ depend on partitioning and a task that runs again draws the same.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -83,15 +84,23 @@ def multinomial(df: DataFrame, key: str, pik: str, n: int, seed: int) -> DataFra
 Statistic = Callable[[Column], Column]
 
 
+def _poisson_one(u: Column) -> Column:
+    """A Poisson number with mean one from a uniform one: how many steps of the
+    distribution function lie at or below it."""
+    out, step, below = F.lit(0), math.exp(-1), 0.0
+    for k in range(1, 18):
+        below += step
+        step /= k
+        out = out + F.when(u >= below, 1).otherwise(0)
+    return out
+
+
 def bootstrap(df: DataFrame, key: str, x: str, replicates: int, statistic: Statistic, seed: int) -> DataFrame:
     """``b``, ``value``: the statistic of resamples with replacement.  Each row's
     number of copies is drawn (Poisson with mean one), so a replicate needs no
     shuffle of rows; ``statistic`` maps a column to an aggregate."""
-    from ..functions.distributions import qpois
-
     rows = df.select(key, clean(x).alias("_x")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    copies = qpois(uniform(seed, key, "b"), 1.0).cast("int")
-    drawn = rows.withColumn("_n", copies).where("_n > 0").select("b", F.explode(F.array_repeat("_x", F.col("_n"))).alias("_x"))
+    drawn = rows.withColumn("_n", _poisson_one(uniform(seed, key, "b"))).where("_n > 0").select("b", F.explode(F.array_repeat("_x", F.col("_n"))).alias("_x"))
     return drawn.groupBy("b").agg(statistic(F.col("_x")).alias("value"))
 
 
