@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import narrow_batches
+from .store import narrow_batches, tidy
 
 # Element names of the HTML standard, and words that mark
 # elements which are not part of an article.
@@ -204,7 +204,7 @@ def learn_weights(pages: DataFrame, most_pages: int = 2000) -> dict[str, float]:
             ["kind", "inside", "outside"],
         )
 
-    sums = chosen.mapInArrow(counted, "kind string, inside long, outside long").groupBy("kind")
+    sums = chosen.mapInArrow(tidy(counted), "kind string, inside long, outside long").groupBy("kind")
     rows = sums.agg(F.sum("inside").alias("a"), F.sum("outside").alias("b")).orderBy(F.desc("a"), "kind").limit(1000).collect()
     out: dict[str, float] = {}
     for words in (True, False):
@@ -237,4 +237,4 @@ def extract(pages: DataFrame, most_pages: int = 2000) -> DataFrame:
             )
 
     chosen = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    return chosen.mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return chosen.mapInArrow(tidy(read), "page_id long, url string, text string, n_chars long")

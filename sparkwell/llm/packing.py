@@ -9,9 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import narrow_batches, tidy
 from .word_cache import tokenizer
 
 WINDOW = 4096
+#: Chunks of text whose ids a worker remembers.
+MOST_CHUNKS = 200_000
 #: Open windows that a task holds before it closes them by cutting.
 MOST_OPEN = 2048
 
@@ -127,7 +130,7 @@ def pack(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, end = tokenizer(vocabulary), np.array([end_id], "<u2").tobytes()
+        coder, end = tokenizer(vocabulary, MOST_CHUNKS), np.array([end_id], "<u2").tobytes()
         packer = SumOfSquares(window)
         sequence = TaskContext.get().partitionId() << 32
         about: dict[int, list[int | None]] = {}  # of documents with pieces in open windows: id, tokens, tokens to come
@@ -166,9 +169,10 @@ def pack(
         if done := packer.finish():
             yield table(done)
 
+    narrow_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
     return chosen.mapInArrow(
-        rows, "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
+        tidy(rows), "doc_id long, start long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
 

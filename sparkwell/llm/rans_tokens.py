@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import dropped, narrow_batches, staged
+from .store import dropped, narrow_batches, staged, tidy
 from .word_cache import tokenizer
 
 SCALE, LOW = 20, np.uint64(1 << 31)
@@ -190,7 +190,7 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int, id_col: str = "do
 
     narrow_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
-    return chosen.mapInArrow(rows, "doc_id long, ids binary, counts binary")
+    return chosen.mapInArrow(tidy(rows), "doc_id long, ids binary, counts binary")
 
 
 def count_ids(tokens: DataFrame) -> Frequencies:
@@ -208,7 +208,7 @@ def count_ids(tokens: DataFrame) -> Frequencies:
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array(total[seen])], ["id", "n"])
 
     rows = tokens.select("counts").where("counts IS NOT NULL")
-    totals = rows.mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    totals = rows.mapInArrow(tidy(counted), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     got = totals.toPandas().sort_values("id")
     return Frequencies(got["id"].to_numpy(np.int64), got["n"].to_numpy(np.int64))
 
@@ -246,7 +246,7 @@ def write_blocks(tokens: DataFrame, table: Frequencies) -> DataFrame:
     parts = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = tokens.where("ids IS NOT NULL").select("doc_id", "ids")
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "ids")
-    return staged(ordered.mapInArrow(blocks, "part int, seq int, n_tokens long, block binary"), "rans-blocks")
+    return staged(ordered.mapInArrow(tidy(blocks), "part int, seq int, n_tokens long, block binary"), "rans-blocks")
 
 
 def read_blocks(blocks: DataFrame, table: Frequencies) -> DataFrame:
@@ -278,7 +278,7 @@ def read_blocks(blocks: DataFrame, table: Frequencies) -> DataFrame:
                     ["doc_id", "start", "ids"],
                 )
 
-    return blocks.select("part", "block").mapInArrow(pieces, "doc_id long, start long, ids binary")
+    return blocks.select("part", "block").mapInArrow(tidy(pieces), "doc_id long, start long, ids binary")
 
 
 def token_digest(pieces: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .store import narrow_batches, staged
+from .store import narrow_batches, staged, tidy
 
 BITS = 64
 #: Shingles whose bits are counted at once; longer texts are counted in turns.
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     narrow_batches(docs.sparkSession)
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return chosen.mapInArrow(rows, "doc_id long, fp long")
+    return chosen.mapInArrow(tidy(rows), "doc_id long, fp long")
 
 
 def _blocks(n: int) -> list[int]:

@@ -34,10 +34,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import dropped, staged
+from .store import dropped, narrow_batches, staged, tidy
 
 LENGTH, GRAM = 200, 32
-BATCH, MOST_CONTEXTS = 1 << 20, 2048
+BATCH, MOST_CONTEXTS = 1 << 19, 2048
 #: Bytes of a text that are looked at together; a power of two below 2**24.
 CHUNK = 1 << 22
 _POSITION = np.uint64((1 << 24) - 1)
@@ -154,6 +154,7 @@ def _intervals(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id``, ``h``, ``t`` (bytes).  ``h`` tells rows of one id apart; rows
     that agree in both are alike and have the same result."""
+    narrow_batches(docs.sparkSession)
     t = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(t).alias("h"), t.alias("t"))
 
@@ -199,7 +200,7 @@ def find_anchors(rows: DataFrame) -> DataFrame:
                     names,
                 )
 
-    return rows.mapInArrow(found, "doc_id long, h long, anchor long, ctx long, a long, b long, d long")
+    return rows.mapInArrow(tidy(found), "doc_id long, h long, anchor long, ctx long, a long, b long, d long")
 
 
 def _indexed(contexts: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def _indexed(contexts: DataFrame) -> DataFrame:
             yield from result()
 
     grouped = contexts.select("anchor", "doc_id", "h", "a", "bytes").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "h", "a")
-    return grouped.mapInArrow(found, "doc_id long, h long, s long, e long")
+    return grouped.mapInArrow(tidy(found), "doc_id long, h long, s long, e long")
 
 
 def _halved(contexts: DataFrame) -> DataFrame:
@@ -351,7 +352,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 made = [pa.array(c, k) for c, k in zip(zip(*out), kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], names)
 
-    return marked.mapInArrow(cut, "doc_id long, h long, kept binary, n_bytes long, n_removed long, n_spans long")
+    return marked.mapInArrow(tidy(cut), "doc_id long, h long, kept binary, n_bytes long, n_removed long, n_spans long")
 
 
 def repeat_digest(cut: DataFrame) -> DataFrame:
@@ -371,7 +372,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
             )
 
     cut = without_repeats(docs).where("n_removed > 0").select("doc_id", "h", "kept")
-    changed = cut.mapInArrow(decoded, "id long, h long, new_text string").dropDuplicates(["id", "h"])
+    changed = cut.mapInArrow(tidy(decoded), "id long, h long, new_text string").dropDuplicates(["id", "h"])
     texts = docs.select(
         F.col("doc_id").cast("long").alias("id"),
         F.xxhash64(F.coalesce(F.col("text").cast("binary"), F.lit(b""))).alias("h"),

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import narrow_batches, staged, tidy
 
 # Closed-class words of English, German, French and Spanish.
 TARGETS = """you your yours yourself he him she her they them people everyone those these
@@ -60,7 +60,7 @@ NEGATION_SCOPE = 3
 #: Letters of the prefixes tried as lexicon arcs.
 PREFIXES = range(4, 8)
 #: Words whose class a worker remembers.
-MOST_WORDS = 400_000
+MOST_WORDS = 100_000
 
 
 class Transducer:
@@ -212,7 +212,9 @@ class Model:
 
     def probability(self, events: list[float]) -> float:
         z = self.weights[-1] + sum(w * math.log1p(e) for w, e in zip(self.weights, events, strict=False))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        if abs(z) > 500:
+            return float(z > 0)
+        return 1 / (1 + math.exp(-z))
 
 
 def patterns(text: str) -> set[str]:
@@ -267,7 +269,7 @@ def learn_lexicon(rows: DataFrame, least: int = 5, lift: float = 3.0, chance: fl
                     [pa.array(found, pa.string()), pa.array([group] * len(found), pa.int64())], ["pattern", "grp"]
                 )
 
-    groups = rows.where("label > 0").select("text").mapInArrow(positive, "pattern string, grp long").distinct()
+    groups = rows.where("label > 0").select("text").mapInArrow(tidy(positive), "pattern string, grp long").distinct()
     counts = groups.groupBy("pattern").agg(F.count("*").alias("n")).where(f"n >= {least} OR pattern = ''")
     top = counts.orderBy(F.desc("n"), "pattern").limit(most).collect()
     pos = {r["pattern"]: r["n"] for r in top}
@@ -280,7 +282,7 @@ def learn_lexicon(rows: DataFrame, least: int = 5, lift: float = 3.0, chance: fl
                 n[""] += 1
         yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["pattern", "n"])
 
-    sums = rows.where("label <= 0").select("text").mapInArrow(negative, "pattern string, n long").groupBy("pattern")
+    sums = rows.where("label <= 0").select("text").mapInArrow(tidy(negative), "pattern string, n long").groupBy("pattern")
     neg = {r["pattern"]: r["n"] for r in sums.agg(F.sum("n").alias("n")).collect()}
     n_pos, n_neg = pos.pop("", 0), neg.pop("", 0)
     if not n_pos or not n_neg:
@@ -328,6 +330,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Model:
     """Lexicon and event weights from at most about ``most_rows`` labelled rows
     outside fold 0.  Without labels of both kinds every score is the share of
     positive labels (0 if there are none)."""
+    narrow_batches(docs.sparkSession)
     rows = staged(training_rows(docs, labels, most_rows), "training")
     lexicon = learn_lexicon(rows)
 
@@ -337,26 +340,27 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Model:
             found = [reader.events(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
-    got = rows.select("text", F.col("label").cast("double")).mapInArrow(events, "x array<double>, y double").toPandas()
+    got = rows.select("text", F.col("label").cast("double")).mapInArrow(tidy(events), "x array<double>, y double").toPandas()
     if got.empty or got["y"].min() > 0:
-        return Model(lexicon, [0.0] * len(EVENTS) + [500.0 if len(got) else -500.0])
+        return Model(lexicon, [0.0] * len(EVENTS) + [math.inf if len(got) else -math.inf])
     if got["y"].max() <= 0:
-        return Model(lexicon, [0.0] * len(EVENTS) + [-500.0])
+        return Model(lexicon, [0.0] * len(EVENTS) + [-math.inf])
     return Model(lexicon, fit_events(np.array(got["x"].tolist()), (got["y"] > 0).to_numpy(float)))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``toxicity`` (0 to 1) added; null text counts as empty.  One
-    narrow pass: the text goes to Python once, ids and scores come back."""
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """``docs`` with column ``name`` (0 to 1) added; null text counts as empty.  One
+    narrow pass; nothing is shuffled."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model.lexicon)
         for batch in batches:
             found = [model.probability(reader.events(t or "")) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
 
+    narrow_batches(docs.sparkSession)
     kind = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
-    return docs.mapInArrow(rows, f"{kind}, toxicity double")
+    return docs.mapInArrow(tidy(rows), f"{kind}, `{name}` double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
@@ -379,4 +383,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Dat
 
 def without_toxic(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, with their columns."""
-    return score(docs, train(docs, labels, most_rows)).where("toxicity < 0.5").select(*docs.columns)
+    name = "toxicity"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return score(docs, train(docs, labels, most_rows), name).where(F.col(name) < 0.5).select(*docs.columns)

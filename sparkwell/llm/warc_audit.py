@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import staged
+from .store import staged, tidy
 
 #: Children of a node, as a power of two.
 FAN_BITS = 6
@@ -65,7 +65,7 @@ def manifest(hashed: DataFrame) -> DataFrame:
     parts = int(hashed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = hashed.repartitionByRange(parts, "record_id").sortWithinPartitions("record_id", "digest")
     columns = "part int, pos long, offset long, record_id long, length long, digest string"
-    rows = staged(ordered.select("record_id", "length", "digest").mapInArrow(placed, columns), "manifest")
+    rows = staged(ordered.select("record_id", "length", "digest").mapInArrow(tidy(placed), columns), "manifest")
     sums = {r["part"]: (r["n"], r["size"]) for r in rows.groupBy("part").agg(F.count("*").alias("n"), F.sum("length").alias("size")).collect()}
     base, n, size = [], 0, 0
     for part in range(max(sums, default=-1) + 1):

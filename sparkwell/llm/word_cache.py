@@ -18,7 +18,7 @@ from xxhash import xxh3_128_digest
 #: Chunks kept in a worker, and the longest one kept, in characters.
 MOST_CHUNKS, LONGEST_CHUNK = 800_000, 64
 #: Characters of the shortest text, and bytes of ids, that are kept for copies.
-SHORTEST_COPY, MOST_COPIED = 200, 1 << 25
+SHORTEST_COPY, MOST_COPIED = 200, 1 << 24
 #: White space that byte-level splitting treats by what stands next to it.
 _UNEVEN = re.compile(r"\s\s|[^\S \n]|\s\Z")
 #: Letters, then marks (all of ASCII but the apostrophe): chunks whose cuts and

@@ -55,6 +55,9 @@ def test_held_out_accuracy(labelled):
     right = out.agg(F.avg((F.col("predicted") == F.col("toxic")).cast("double")), F.count("*")).first()
     assert right[0] > 0.97 and right[1] > 100
     assert T.without_toxic(docs, labels).columns == docs.columns
+    clash = docs.withColumn("Toxicity", F.lit("x")).withColumn("label", F.lit(1))
+    assert T.without_toxic(clash, labels).columns == clash.columns
+    assert T.without_toxic(clash, labels).count() == T.without_toxic(docs, labels).count()
 
 
 def test_scores_use_nothing_but_text(labelled):
