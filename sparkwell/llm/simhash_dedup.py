@@ -129,6 +129,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = named.groupBy("root").agg(F.min("least").alias("linked"))
     linked = named.join(first, "root").select("fp", "linked")
     of_value = values.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
+    of_value = staged(of_value, "components")  # so that Spark can split the join at a very common value
     return held.join(of_value, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )

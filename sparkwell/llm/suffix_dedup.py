@@ -281,7 +281,9 @@ def repeats(rows: DataFrame) -> DataFrame:
     shared = found.groupBy("anchor").agg(
         F.count("*").alias("n"), (F.min("ctx") < F.max("ctx")).alias("several")
     ).where("n > 1")
-    again = staged(found.join(shared.select("anchor", "several"), "anchor"), "shared-anchors")
+    # a table of its own: Spark can then split the join where an anchor is very common
+    shared = staged(shared.select("anchor", "several"), "anchor-counts")
+    again = staged(found.join(shared, "anchor"), "shared-anchors")
     dropped(found)
     covered = ["doc_id", "h", F.col("a").alias("s"), (F.col("b") + LENGTH).alias("e")]
     alike = again.where("NOT several").select(*covered)
