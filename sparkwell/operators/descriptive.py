@@ -239,3 +239,32 @@ def grouped_udf(statistic: Callable[[pd.Series], float]):
         return float(statistic(x))
 
     return run
+
+
+def empirical_likelihood(df: DataFrame, x: str, mean: float, steps: int = 60) -> tuple[float, float]:
+    """Multiplier and log ratio of the empirical likelihood of a mean: weights are
+    ``1 / (n (1 + multiplier (x - mean)))``.  Newton steps, one job each, kept
+    where all weights are positive; the mean must lie inside the data."""
+    z = clean(x) - mean
+    low, high = df.agg(F.min(z), F.max(z)).first()
+    if low is None or not low < 0 < high:
+        raise ValueError("the mean must lie between the least and the greatest value")
+    at, down, up = 0.0, -1 / high, -1 / low
+    for _ in range(steps):
+        w = 1 / (1 + at * z)
+        g, h = df.agg(F.sum(z * w), F.sum(z * z * w * w)).first()
+        # the sum falls as the multiplier grows, so the root is bracketed
+        down, up = (at, up) if g > 0 else (down, at)
+        step = g / h
+        following = at + step
+        if not down < following < up:
+            following = (down + up) / 2
+        done, at = abs(following - at) <= 1e-12 * max(1.0, abs(at)), following
+        if done:
+            break
+    return at, -float(df.agg(F.sum(F.log1p(at * z))).first()[0])
+
+
+def empirical_weights(df: DataFrame, x: str, mean: float, multiplier: float, name: str = "weight") -> DataFrame:
+    """``df`` with each row's weight times the number of rows; small for outliers."""
+    return df.withColumn(name, 1 / (1 + multiplier * (clean(x) - mean)))

@@ -145,3 +145,13 @@ def dominant_eigenvector(a: np.ndarray, power_steps: int = 50, steps: int = 20)
         if done:
             break
     return v * np.sign(v[np.argmax(np.abs(v))])
+
+
+def inner_upper(r: np.ndarray) -> np.ndarray:
+    """``R' R`` of an upper triangular matrix."""
+    return np.triu(r).T @ np.triu(r)
+
+
+def outer_upper(r: np.ndarray) -> np.ndarray:
+    """``R R'`` of an upper triangular matrix."""
+    return np.triu(r) @ np.triu(r).T

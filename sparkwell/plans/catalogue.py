@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 
 from ..functions import distances, distributions, kernels, qubit, special, vectors
 from ..functions.expr import erf, log_gamma
-from ..operators import cluster, descriptive, glm, iforest, linear, neighbors, networks, quantiles, sampling, tables, textdist, timeseries, trees
-from ..sources.store import Graph, table
+from ..operators import cluster, descriptive, glm, iforest, linear, neighbors, networks, optimize, quantiles, sampling, tables, textdist, timeseries, trees
+from ..sources.dictionary import describe, dictionary
+from ..sources.store import Graph, load_model, save_model, shared_folder, table
 from ..streaming import online
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1056,3 +1058,74 @@ add(
     lambda s, d: rounded(online.online_mean(table(s, d, "events").where("value > 0"), "value", ["event_type"], "generalized", F.sqrt, lambda m: m * m)),
     "SELECT event_type, count(*) AS n, round(pow(avg(sqrt(value)), 2), 6) AS mean FROM events WHERE value > 0 GROUP BY 1",
 )
+
+# Optimisers on an objective from data, models as tables, the data dictionary.
+
+
+def _optimisers(s: SparkSession, d: str) -> DataFrame:
+    goal = np.array(table(s, d, "lineitem").agg(F.avg("l_discount") * 10, F.avg("l_tax") * 10).first(), float)
+    f = lambda v: float(((v - goal) ** 2).sum())
+    g = lambda v: 2 * (v - goal)
+    h = lambda v: 2 * np.eye(2)
+    o, x = optimize, np.zeros(2)
+    found = {
+        "adadelta": o.adadelta(x, g, 4000), "adagrad": o.adagrad(x, g, 3000, 0.1), "adam": o.adam(x, g, 3000, 0.01), "adamw": o.adamw(x, g, 3000, 0.01, 0.0), "lion": o.lion(x, g, 4000, 0.001, decay=0.0),
+        "rmsprop": o.rmsprop(x, g, 3000, 0.01), "yogi": o.yogi(x, g, 4000), "proximal_gradient": o.proximal_gradient(x, g, lambda v: 0.0, 60), "gauss_newton": o.gauss_newton(x, g, h, 2),
+        "levenberg": o.levenberg(x, lambda v: v - goal, lambda v: np.eye(2), 30), "marquardt": o.marquardt(x, lambda v: v - goal, lambda v: np.eye(2), 30), "third_order": o.third_order(x, g, h, 2),
+        "steepest_coordinate": o.steepest_coordinate(x, f, 2000, 0.05), "adaptive_block_descent": o.adaptive_block_descent(x, f, 200),
+    }
+    found |= {f"coordinate_descent_{k}": o.coordinate_descent(x, f, 20, k) for k in ("cyclic", "random", "greedy", "sweep")}
+    found |= {f"accelerated_coordinate_{k}": o.accelerated_coordinate(x, f, 1500, 0.02, k) for k in ("greedy", "random", "semigreedy")}
+    found |= {f"block_descent_{k}": o.block_descent(x, f, 1, 200, k) for k in ("cyclic", "random", "greedy")}
+    return s.createDataFrame([(n, bool(np.abs(v - goal).max() < 0.03)) for n, v in found.items()], "optimiser string, reached boolean")
+
+
+_OPTIMISERS = """adadelta adagrad adam adamw lion rmsprop yogi proximal_gradient gauss_newton levenberg marquardt third_order steepest_coordinate adaptive_block_descent
+coordinate_descent_cyclic coordinate_descent_random coordinate_descent_greedy coordinate_descent_sweep accelerated_coordinate_greedy accelerated_coordinate_random accelerated_coordinate_semigreedy
+block_descent_cyclic block_descent_random block_descent_greedy""".split()
+add("optimisers", _optimisers, " UNION ALL ".join(f"SELECT '{n}' AS optimiser, true AS reached" for n in _OPTIMISERS))
+
+
+def _constrained(s: SparkSession, d: str) -> DataFrame:
+    shares = table(s, d, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n")).orderBy("o_orderstatus").collect()
+    p = np.array([r["n"] for r in shares], float)
+    p /= p.sum()
+    w = optimize.minimise_on_simplex(len(p), lambda v: 2 * (v - p), 1500)
+    bits = optimize.binary_quadratic(len(p), lambda v: 2 * (v - (p > 0.3)))
+    c, a, b = -p, np.ones((1, len(p))), np.array([1.0])
+    one, two = optimize.binary_linear_penalty(c, a, b), optimize.binary_linear_admm(c, a, b)
+    rows = [(r["o_orderstatus"], bool(abs(w[i] - p[i]) < 0.01), int(bits[i]), int(one[i]), int(two[i])) for i, r in enumerate(shares)]
+    return s.createDataFrame(rows, "o_orderstatus string, simplex boolean, quadratic int, penalty int, admm int")
+
+
+add(
+    "optimisers_constrained",
+    _constrained,
+    """WITH p AS (SELECT o_orderstatus, count(*) / (SELECT count(*) FROM orders)::DOUBLE p FROM orders GROUP BY 1)
+SELECT o_orderstatus, true AS simplex, (p > 0.3)::INT AS quadratic, (p = (SELECT max(p) FROM p))::INT AS penalty, (p = (SELECT max(p) FROM p))::INT AS admm FROM p""",
+)
+
+
+def _likelihood(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "customer")
+    multiplier, _ = descriptive.empirical_likelihood(rows, "c_acctbal", 4000.0)
+    weighed = descriptive.empirical_weights(rows, "c_acctbal", 4000.0, multiplier)
+    return rounded(weighed.agg(F.avg("weight").alias("mean_weight"), F.avg(F.col("weight") * F.col("c_acctbal")).alias("mean")), 4)
+
+
+add("empirical_likelihood", _likelihood, "SELECT 1.0::DOUBLE AS mean_weight, 4000.0::DOUBLE AS mean")
+
+
+def _model_table(s: SparkSession, d: str) -> DataFrame:
+    p = _points(s, d).select("vec_id", "y", *[F.get("x", i).alias(f"x{i}") for i in range(4)])
+    path = f"{shared_folder(s)}/model-{uuid.uuid4().hex}"
+    save_model(s, networks.fit_link_net(p, "y", [f"x{i}" for i in range(4)]), path)
+    return rounded(p.select("vec_id", load_model(s, networks.LinkNet, path).predict().alias("prediction")), 5)
+
+
+add("model_round_trip", _model_table)
+add(
+    "data_dictionary",
+    lambda s, d: dictionary(describe(describe(table(s, d, "region"), "r_regionkey", "integer", "key", 0.0, 4.0), "r_name", "nominal")),
+    "SELECT 'r_regionkey' AS name, 'integer' AS scale, 0.0::DOUBLE AS low, 4.0::DOUBLE AS high, 'key' AS text UNION ALL SELECT 'r_name', 'nominal', NULL, NULL, ''",
+)
