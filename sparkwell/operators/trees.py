@@ -146,6 +146,27 @@ def grow_tree(df: DataFrame, y: str, features: list[str], depth: int = 4, bins:
     return tree
 
 
+def grow_model_forest(df: DataFrame, key: str, y: str, features: list[str], trees: int = 5, share: float = 0.63, seed: int = 1, **kw) -> list[Tree]:
+    """Trees on random parts of the rows (``share``, by hashed keys) and random pairs
+    of features; with ``rules`` of constants and lines, a forest of linear model
+    trees.  Each level of each tree is one aggregation over all its rows."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for t in range(trees):
+        chosen = sorted(rng.choice(len(features), min(len(features), max(2, len(features) // 2)), replace=False))
+        part = df.where(uniform(seed, key, F.lit(t)) < share)
+        out.append(grow_tree(part, y, [features[i] for i in chosen], **kw))
+    return out
+
+
+def model_forest_predict(forest: list[Tree]) -> Column:
+    """Mean prediction, one expression."""
+    total = forest[0].predict()
+    for t in forest[1:]:
+        total = total + t.predict()
+    return total / len(forest)
+
+
 # Forests of random trees on arrays.
 
 

@@ -926,6 +926,15 @@ for _name, _kind, _n, _how in (("forest_random", "random", 10, "variance"), ("tr
 
     add(_name, _forest)
 
+for _name, _rules in (("forest_model_constant", ("constant",)), ("forest_model_linear", ("constant", "linear", "lines"))):
+
+    def _model_forest(s: SparkSession, d: str, rules: tuple = _rules) -> DataFrame:
+        rows = table(s, d, "lineitem").withColumn("key", F.col("l_orderkey") * 16 + F.col("l_linenumber"))
+        f = trees.grow_model_forest(rows, "key", "l_extendedprice", _TREE, 3, depth=2, bins=16, rules=rules)
+        return rounded(rows.select("l_orderkey", "l_linenumber", trees.model_forest_predict(f).alias("prediction")), 2)
+
+    add(_name, _model_forest)
+
 
 def _link_net(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d).select("vec_id", "y", *[F.get("x", i).alias(f"x{i}") for i in range(4)])
