@@ -245,22 +245,24 @@ def _halved(contexts: DataFrame) -> DataFrame:
     parts = contexts.select("anchor", "doc_id", "h", "a", "d", "bytes")
     done = None
     for k in range(7, -1, -1):
-        n = F.length("bytes") - LENGTH + 1  # windows
-        first = F.shiftleft(F.shiftright("d", k), k)
-        split = F.col("d") - n + 1 < first
-        n_far = F.when(split, F.col("d") - first + 1).otherwise(n)
-        far = F.struct("a", "d", F.substr("bytes", F.lit(1), n_far + LENGTH - 1).alias("bytes"))
+        # each step is a column of its own, so that the generated code stays small
+        cut = parts.withColumn("n", F.length("bytes") - LENGTH + 1)  # windows
+        cut = cut.withColumn("first", F.shiftleft(F.shiftright("d", k), k))
+        cut = cut.withColumn("n_far", F.least(F.col("d") - F.col("first") + 1, F.col("n")))
+        far = F.struct("a", "d", F.substr("bytes", F.lit(1), F.col("n_far") + LENGTH - 1).alias("bytes"))
         near = F.struct(
-            (F.col("a") + n_far).alias("a"),
-            (F.col("d") - n_far).alias("d"),
-            F.substr("bytes", n_far + 1, F.length("bytes")).alias("bytes"),
+            (F.col("a") + F.col("n_far")).alias("a"),
+            (F.col("d") - F.col("n_far")).alias("d"),
+            F.substr("bytes", F.col("n_far") + 1, F.length("bytes")).alias("bytes"),
         )
-        parts = parts.select(
-            "anchor", "doc_id", "h", F.explode(F.when(split, F.array(far, near)).otherwise(F.array(far))).alias("p")
-        ).select("anchor", "doc_id", "h", "p.a", "p.d", "p.bytes")
-        size = LENGTH - F.least(F.lit((1 << k) - 1), LENGTH - GRAM - first)
-        core_bytes = F.substr("bytes", F.col("d") - first + 1, size)
-        parts = parts.withColumn("x", F.xxhash64("bytes", "d")).withColumn("y", F.xxhash64(core_bytes, first))
+        halves = F.when(F.col("n_far") < F.col("n"), F.array(far, near)).otherwise(F.array(far))
+        parts = cut.select("anchor", "doc_id", "h", F.explode(halves).alias("p"))
+        parts = parts.select("anchor", "doc_id", "h", "p.a", "p.d", "p.bytes")
+        parts = parts.withColumn("first", F.shiftleft(F.shiftright("d", k), k))
+        size = LENGTH - F.least(F.lit((1 << k) - 1), LENGTH - GRAM - F.col("first"))
+        parts = parts.withColumn("core", F.substr("bytes", F.col("d") - F.col("first") + 1, size))
+        parts = parts.withColumn("x", F.xxhash64("bytes", "d")).withColumn("y", F.xxhash64("core", "first"))
+        parts = parts.drop("core", "first")
         whole = parts.groupBy("anchor", "x").agg(F.count("*").alias("nx"))
         core = parts.groupBy("anchor", "y").agg(F.count("*").alias("ny")).where("ny > 1")
         counted = staged(parts.join(core, ["anchor", "y"]).join(whole, ["anchor", "x"]), "halves")
