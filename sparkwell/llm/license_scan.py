@@ -9,8 +9,6 @@ nearest ancestor directory, by joining directories, not files, along paths.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,24 +39,21 @@ TEMPLATES = [
 ]
 
 THRESHOLD = 0.8
-TOKEN = r"[^a-z0-9.+-]+"
+#: Between words; one match takes a whole run of signs.
+BETWEEN = r"(?<![.+-])[.+-]*+[^a-z0-9.+-][^a-z0-9]*"
 
 
 def _tokens(text: Column) -> Column:
-    """Lower-case words; full stops at their ends go."""
-    return F.filter(F.transform(F.split(F.lower(text), TOKEN), lambda w: F.regexp_replace(w, r"^[.+-]+|[.+-]+$", "")), lambda w: w != "")
-
-
-def _vocabulary(templates: list[tuple[str, str]]) -> list[str]:
-    words = {re.sub(r"^[.+-]+|[.+-]+$", "", w) for _, t in templates for w in re.split(TOKEN, t.lower())}
-    return sorted(words - {""})
+    """Lower-case words; full stops, plus and minus signs at their ends go."""
+    return F.filter(F.split(F.btrim(F.lower(text), F.lit(".+-")), BETWEEN), lambda w: w != "")
 
 
-def template_vectors(spark: SparkSession, idf: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """``template``, ``licence``, ``word``, ``weight``, of length one."""
+def template_vectors(spark: SparkSession, idf: DataFrame, n: int, templates: list[tuple[str, str]]) -> DataFrame:
+    """``template``, ``licence``, ``word``, ``weight``, of length one.  ``n``: the
+    number of files, for words that none of them has."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, licence string, t string")
     counts = rows.select("template", "licence", F.explode(_tokens(F.col("t"))).alias("word")).groupBy("template", "licence", "word").count()
-    weighted = counts.join(idf, "word").withColumn("x", F.col("count") * F.col("idf"))
+    weighted = counts.join(idf, "word", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1))
     norm = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return weighted.join(norm, "template").select("template", "licence", "word", (F.col("x") / F.col("norm")).alias("weight"))
 
@@ -85,35 +80,26 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """``file_id``, ``licence``, ``similarity`` of files with a line whose cosine to
     a template is ``threshold`` or more; the best, and of equals the first by name.
 
-    Words outside the templates' vocabulary have the inverse frequency of a word
-    seen once; the vocabulary and the templates are fixed lists, whose size
-    bounds what is sent to the executors.
+    Document frequencies of all words are counted over all files.  The templates
+    are a fixed list, whose size bounds what is sent to the executors.
     """
     spark = files.sparkSession
-    vocabulary = _vocabulary(templates)
-    words = F.array(*[F.lit(w) for w in vocabulary])
     n = files.count()
-    lines = files.select("file_id", F.split(F.coalesce(F.col("text"), F.lit("")), "\n").alias("lines"))
-    df = (
-        files.select(F.explode(F.array_intersect(_tokens(F.coalesce(F.col("text"), F.lit(""))), words)).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("df"))
-    )
-    every = spark.createDataFrame([(w,) for w in vocabulary], "word string").join(df, "word", "left").fillna(0)
-    rarest = F.log(F.lit((n + 1) / 2)) + 1
-    idf = staged(every.select("word", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
-    vectors = staged(template_vectors(spark, idf, templates), "templates")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    lines = files.select("file_id", F.split(text, "\n").alias("lines"))
+    df = files.select(F.explode(F.array_distinct(_tokens(text))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    idf = staged(df.select("word", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
+    vectors = staged(template_vectors(spark, idf, n, templates), "templates")
     keys = F.array(*[F.lit(w) for w in key_words(vectors.collect(), threshold)])
 
     # generated code splits and looks for key words; the few lines left are weighed
     each = lines.select("file_id", F.posexplode("lines").alias("line", "text")).select("file_id", "line", _tokens(F.col("text")).alias("w"))
     near = each.where(F.arrays_overlap("w", keys))
     counts = near.select("file_id", "line", F.explode("w").alias("word")).groupBy("file_id", "line", "word").count()
-    weighted = counts.join(F.broadcast(idf), "word", "left").withColumn("x", F.col("count") * F.coalesce("idf", rarest))
+    weighted = counts.join(idf, "word").withColumn("x", F.col("count") * F.col("idf"))
     norm = weighted.groupBy("file_id", "line").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
     dots = (
-        weighted.where("idf IS NOT NULL")
-        .join(F.broadcast(vectors), "word")
+        weighted.join(F.broadcast(vectors), "word")
         .groupBy("file_id", "line", "template", "licence")
         .agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     )

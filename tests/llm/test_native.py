@@ -173,3 +173,30 @@ def test_licences(spark):
     root = df.union(df.sparkSession.createDataFrame([(20, "LICENSE", "Licensed under CC BY-NC 4.0.", "clash")], df.schema))
     assert {r["file_id"]: r["licence"] for r in LS.licences(root).collect()}[6] == "CC-BY-NC-4.0"
     assert LS.licences(df.limit(0)).count() == 0
+
+
+def plain_words(text):
+    words = (re.sub(r"^[.+-]+|[.+-]+$", "", w) for w in re.split(r"[^a-z0-9.+-]+", text.lower()))
+    return [w for w in words if w]
+
+
+def test_licence_words(spark):
+    r = random.Random(18)
+    texts = ["".join(r.choice("ab1.+- ,\n*") for _ in range(r.randrange(40))) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("t", LS._tokens(LS.F.col("t")).alias("w"))
+    assert all(r["w"] == plain_words(r["t"]) for r in df.collect())
+
+
+def own(spark, texts, path="a/x.py", corpus=200):
+    """Own licences of texts among files of words that all of them share."""
+    r = random.Random(20)
+    rows = [(i, path, t) for i, t in enumerate(texts)]
+    rows += [(1000 + i, "b/y.txt", f"{sentence(r, 30)}\nThis file is part of the project, see the module and this is of the") for i in range(corpus)]
+    got = {x["file_id"]: x["own_licence"] for x in LS.licences(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert all(got[i] is None for i in got if i >= 1000)
+    return [got[i] for i in range(len(texts))]
+
+
+def test_licence_document_frequencies_of_all_words(spark):
+    texts = ["This file is licensed under the MIT License.", "This project is part of the file licensed under the MIT License"]
+    assert own(spark, texts) == ["MIT", "MIT"]
