@@ -1,14 +1,17 @@
 """Licences of files: TF-IDF cosine to templates, then inheritance along paths.
 
-All of it is DataFrame functions.  Every line of every file is a possible
-header.  Lines and templates are sparse TF-IDF vectors over words; document
-frequencies are counted over the whole corpus.  A file's own licence is that of
-its most similar line.  A file without one inherits from the licence file of its
+All of it is DataFrame functions.  Every line and run of adjoining lines of every
+file is a possible header; licence files are also compared as a whole, with full
+texts.  Parts and templates are sparse TF-IDF vectors over words; document
+frequencies of all words are counted over the whole corpus.  A file's own licence
+is that of its most similar part.  A file without one inherits from the licence file of its
 nearest ancestor directory, by joining directories, not files, along paths.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,11 +39,22 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright. CC0 1.0 Universal, public domain dedication."),
     ("proprietary", "All rights reserved."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    *[(f"{short}GPL-{v}.0", f"{t} is free software: you can redistribute it and/or modify it under the terms of the GNU {long}General Public License as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version.")
+      for short, long, v, t in (("", "", 2, "This program"), ("", "", 3, "This program"), ("L", "Lesser ", 3, "This library"), ("A", "Affero ", 3, "This program"))],
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
 ]
 
 THRESHOLD = 0.8
 #: Between words; one match takes a whole run of signs.
 BETWEEN = r"(?<![.+-])[.+-]*+[^a-z0-9.+-][^a-z0-9]*"
+#: Between blocks: lines without words.
+BREAK = r"\n[^a-z0-9]*\n"
+HOLDER = r"^(LICEN[SC]E|COPYING)(\..*)?$"
 
 
 def _tokens(text: Column) -> Column:
@@ -48,18 +62,25 @@ def _tokens(text: Column) -> Column:
     return F.filter(F.split(F.btrim(F.lower(text), F.lit(".+-")), BETWEEN), lambda w: w != "")
 
 
-def template_vectors(spark: SparkSession, idf: DataFrame, n: int, templates: list[tuple[str, str]]) -> DataFrame:
-    """``template``, ``licence``, ``word``, ``weight``, of length one.  ``n``: the
-    number of files, for words that none of them has."""
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, licence string, t string")
-    counts = rows.select("template", "licence", F.explode(_tokens(F.col("t"))).alias("word")).groupBy("template", "licence", "word").count()
+def full_texts() -> list[tuple[str, str]]:
+    """Full texts of licences, by name."""
+    return [(p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))]
+
+
+def template_vectors(spark: SparkSession, idf: DataFrame, n: int, templates: list[tuple[str, str]], full: list[tuple[str, str]]) -> DataFrame:
+    """``template``, ``full``, ``licence``, ``word``, ``weight``, of length one.
+    ``n``: the number of files, for words that none of them has."""
+    texts = [(i, i >= len(templates), name, text) for i, (name, text) in enumerate([*templates, *full])]
+    rows = spark.createDataFrame(texts, "template int, full boolean, licence string, t string")
+    of = ["template", "full", "licence"]
+    counts = rows.select(*of, F.explode(_tokens(F.col("t"))).alias("word")).groupBy(*of, "word").count()
     weighted = counts.join(idf, "word", "left").withColumn("x", F.col("count") * F.coalesce("idf", F.log(F.lit(n + 1.0)) + 1))
     norm = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return weighted.join(norm, "template").select("template", "licence", "word", (F.col("x") / F.col("norm")).alias("weight"))
+    return weighted.join(norm, "template").select(*of, "word", (F.col("x") / F.col("norm")).alias("weight"))
 
 
 def key_words(vectors: list, threshold: float) -> list[str]:
-    """Words of which a line must have one to come near a template.  A line
+    """Words of which a text must have one to come near a template.  A text
     without them shares only what is left of a template, whose length bounds
     the cosine."""
     by: dict[int, list] = {}
@@ -76,40 +97,82 @@ def key_words(vectors: list, threshold: float) -> list[str]:
     return sorted(keys)
 
 
-def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``file_id``, ``licence``, ``similarity`` of files with a line whose cosine to
+def _runs(lines: Column, keys: Column, most: int) -> Column:
+    """Of a block's lines (word arrays): each run of adjoining lines, single lines
+    included, that has a key word and at most ``most`` words, or one line."""
+    none = F.array().cast("array<array<string>>")
+
+    def longer(s: Column, w: Column) -> Column:
+        now = F.concat(s["now"], w)
+        fits = ~s["over"] & ((F.size(now) <= most) | (F.size(s["now"]) == 0))
+        return F.struct(
+            F.when(fits, now).otherwise(s["now"]).alias("now"),
+            F.when(fits, F.concat(s["runs"], F.array(now))).otherwise(s["runs"]).alias("runs"),
+            (~fits).alias("over"),
+        )
+
+    start = F.struct(F.array().cast("array<string>").alias("now"), none.alias("runs"), F.lit(False).alias("over"))
+    return F.filter(F.aggregate(lines, start, longer, lambda s: s["runs"]), lambda w: F.arrays_overlap(w, keys))
+
+
+def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, full: list[tuple[str, str]] | None = None) -> DataFrame:
+    """``file_id``, ``licence``, ``similarity`` of files with a part whose cosine to
     a template is ``threshold`` or more; the best, and of equals the first by name.
 
-    Document frequencies of all words are counted over all files.  The templates
-    are a fixed list, whose size bounds what is sent to the executors.
+    Parts are lines, runs of adjoining lines and whole blocks (lines up to one
+    without words), which are compared with ``templates``, and, if there is a
+    ``path``, whole licence files, which are compared with the ``full`` texts too.
+    Runs have up to twice the words of the longest template; a longer one that is
+    near it has a shorter one nearer, unless it repeats the template's words.
+    The templates are fixed lists, whose size bounds what is sent to executors.
     """
     spark = files.sparkSession
+    full = full_texts() if full is None else full
     n = files.count()
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = files.select("file_id", F.split(text, "\n").alias("lines"))
     df = files.select(F.explode(F.array_distinct(_tokens(text))).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     idf = staged(df.select("word", (F.log((n + 1) / (F.col("df") + 1)) + 1).alias("idf")), "idf")
-    vectors = staged(template_vectors(spark, idf, n, templates), "templates")
-    keys = F.array(*[F.lit(w) for w in key_words(vectors.collect(), threshold)])
-
-    # generated code splits and looks for key words; the few lines left are weighed
-    each = lines.select("file_id", F.posexplode("lines").alias("line", "text")).select("file_id", "line", _tokens(F.col("text")).alias("w"))
-    near = each.where(F.arrays_overlap("w", keys))
-    counts = near.select("file_id", "line", F.explode("w").alias("word")).groupBy("file_id", "line", "word").count()
+    vectors = staged(template_vectors(spark, idf, n, templates, full), "templates")
+    notices = vectors.where("NOT full").collect()  # the words of a fixed list
+    keys = F.array(*[F.lit(w) for w in key_words(notices, threshold)])
+    most = 2 * max((len(t.split()) for _, t in templates), default=0)
+
+    # generated code splits blocks and looks for key words; the few left are cut into runs
+    of = ["file_id", "h", "block", "first", "run"]
+    key = ["file_id", F.xxhash64("text").alias("h")]
+    blocks = files.select(*key, F.posexplode(F.split(F.lower(text), BREAK)).alias("block", "text"))
+    blocks = blocks.withColumn("w", _tokens(F.col("text"))).where(F.arrays_overlap("w", keys))
+    lines = F.transform(F.split("text", "\n"), lambda x: _tokens(x))
+    lines = staged(blocks.select("file_id", "h", "block", F.filter(lines, lambda x: F.size(x) > 0).alias("lines")), "blocks")
+    starts = lines.select("file_id", "h", "block", F.posexplode(F.transform("lines", lambda _, i: F.slice("lines", i + 1, most))).alias("first", "from"))
+    runs = starts.select("file_id", "h", "block", "first", F.posexplode(_runs(F.col("from"), keys, most)).alias("run", "w"))
+    whole = lines.where(F.size("lines") > 1).select("file_id", "h", "block", F.lit(-1).alias("first"), F.lit(0).alias("run"), F.flatten("lines").alias("w")).where(F.size("w") > most)
+    parts = runs.unionByName(whole).withColumn("entire", F.lit(False))
+    if "path" in files.columns:
+        holders = files.where(_name(F.col("path")).rlike(HOLDER)).select(*key, _tokens(text).alias("w"))
+        parts = parts.unionByName(holders.select("*", F.lit(-1).alias("block"), F.lit(-1).alias("first"), F.lit(0).alias("run"), F.lit(True).alias("entire")))
+    counts = parts.select(*of, "entire", F.explode("w").alias("word")).groupBy(*of, "entire", "word").count()
     weighted = counts.join(idf, "word").withColumn("x", F.col("count") * F.col("idf"))
-    norm = weighted.groupBy("file_id", "line").agg(F.sum(F.col("x") * F.col("x")).alias("square"))
+    weighted = staged(weighted.drop("count", "idf"), "weighted")
+    norm = weighted.groupBy(*of).agg(F.sum(F.col("x") * F.col("x")).alias("square"))
     dots = (
         weighted.join(F.broadcast(vectors), "word")
-        .groupBy("file_id", "line", "template", "licence")
+        .where(F.col("entire") | ~F.col("full"))
+        .groupBy(*of, "template", "licence")
         .agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     )
-    cosine = dots.join(norm, ["file_id", "line"]).withColumn("similarity", F.round(F.col("dot") / F.sqrt("square"), 9))
+    same = [dots[c].eqNullSafe(norm[c]) for c in of]
+    cosine = dots.join(norm, same).select(dots["file_id"], "licence", F.round(F.col("dot") / F.sqrt("square"), 9).alias("similarity"))
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("m")
     return cosine.where(F.col("similarity") >= threshold).groupBy("file_id").agg(best).select(
         "file_id", "m.licence", (-F.col("m.s")).alias("similarity")
     )
 
 
+def _name(path: Column) -> Column:
+    return F.upper(F.regexp_extract(path, r"([^/]*)$", 1))
+
+
 def _parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/?[^/]*$", "")
 
@@ -129,8 +192,7 @@ def licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thr
     """
     own = staged(own_licences(files, templates, threshold), "own-licences")
     rows = files.select("file_id", "path", _parent(F.col("path")).alias("dir"))
-    names = F.upper(F.regexp_extract("path", r"([^/]*)$", 1))
-    holders = rows.where(names.rlike(r"^(LICEN[SC]E|COPYING)(\..*)?$")).join(own, "file_id")
+    holders = rows.where(_name(F.col("path")).rlike(HOLDER)).join(own, "file_id")
     best = F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("m")
     speaks = staged(holders.groupBy("dir").agg(best).select(F.col("dir").alias("ancestor"), F.col("m.licence").alias("inherited")), "directories")
     # Each directory once, whatever the number of its files, with its ancestors.

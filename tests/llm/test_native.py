@@ -200,3 +200,23 @@ def own(spark, texts, path="a/x.py", corpus=200):
 def test_licence_document_frequencies_of_all_words(spark):
     texts = ["This file is licensed under the MIT License.", "This project is part of the file licensed under the MIT License"]
     assert own(spark, texts) == ["MIT", "MIT"]
+
+
+def test_licence_headers_over_lines(spark):
+    r = random.Random(21)
+    bsd = "# Copyright (c) 2020 The Authors\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n"
+    gpl = (
+        "/*\n * Frobnicator of things\n *\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+        " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\n"
+    )
+    texts = [bsd + sentence(r, 50), gpl + sentence(r, 50), sentence(r, 200) + "\n" + bsd, "Apache License\nVersion 2.0, January 2004\n\n" + sentence(r, 20)]
+    assert own(spark, texts) == ["BSD-3-Clause", "GPL-3.0", "BSD-3-Clause", "Apache-2.0"]
+
+
+def test_whole_licence_files(spark):
+    texts = dict(LS.full_texts())
+    names = sorted(texts)
+    assert own(spark, [texts[n] for n in names], "c/LICENSE.md") == names
+    # without title and notices only the whole text is near
+    bare = texts["MPL-2.0"].split("Exhibit A -")[0].split("1. Definitions")[1]
+    assert own(spark, [bare], "c/COPYING") == ["MPL-2.0"] and own(spark, [bare], "c/other.txt") == [None]
