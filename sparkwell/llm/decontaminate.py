@@ -103,6 +103,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     reported under null.  An empty table gives no rows.  Other columns are
     ignored.
     """
+    return _most_similar(_text_leaks(docs, benchmark), "doc_id", "item_id")
+
+
+def _most_similar(found: DataFrame, *keys: str) -> DataFrame:
+    best = F.max(F.struct("similarity", (-F.col("window_start")).alias("s"), (-F.col("distance")).alias("d"))).alias("m")
+    return found.groupBy(*keys).agg(best).select(*keys, "m.similarity", (-F.col("m.s")).alias("window_start"), (-F.col("m.d")).alias("distance"))
+
+
+def _text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``leaks`` of each text under an id, with ``h``, the text's hash."""
     known = staged(items(benchmark), "items")
     size = known.agg(F.max(F.size("shingles")), F.sum(F.size("shingles"))).first()
     longest, n_shingles = size[0] or 0, size[1] or 0
@@ -134,10 +144,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         texts = texts.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left_semi")
     there = wanted.select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), "places")
     texts = texts.hint("merge").join(there, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")))
-    texts = texts.select("doc_id", word_array(F.lower("text")).alias("w"), "places")
-    hashed = texts.select("doc_id", _hashes(F.col("w")).alias("all"), "places")
-    windows = hashed.select("doc_id", "all", F.explode("places").alias("p")).select(
+    texts = texts.select("doc_id", "h", word_array(F.lower("text")).alias("w"), "places")
+    hashed = texts.select("doc_id", "h", _hashes(F.col("w")).alias("all"), "places")
+    windows = hashed.select("doc_id", "h", "all", F.explode("places").alias("p")).select(
         "doc_id",
+        "h",
         F.col("p.n").alias("n"),
         F.col("p.start").alias("window_start"),
         F.slice("all", F.col("p.start") + 1, F.col("p.n") - WIDTH + 1).alias("shingles"),
@@ -160,18 +171,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     pairs = keyed.join(index, ["n", "block", "value"]).where(distance <= RADIUS).where(first == F.col("block"))
     shared = pairs.withColumn("both", _overlap(F.col("shingles"), F.col("item"))).withColumn("distance", distance)
     similar = F.col("both") / (F.size("shingles") + F.size("item") - F.col("both"))
-    return (
-        shared.withColumn("similarity", similar)
-        .where(F.col("similarity") >= SIMILARITY)
-        .groupBy("doc_id", "item_id")
-        .agg(
-            F.max(F.struct("similarity", (-F.col("window_start")).alias("s"), (-F.col("distance")).alias("d"))).alias("m")
-        )
-        .select("doc_id", "item_id", "m.similarity", (-F.col("m.s")).alias("window_start"), (-F.col("m.d")).alias("distance"))
-    )
+    found = shared.withColumn("similarity", similar).where(F.col("similarity") >= SIMILARITY)
+    return _most_similar(found, "doc_id", "h", "item_id")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    hit = leaks(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The rows of ``docs`` that hold no benchmark item.  A row is its id, or none,
+    and its text: other texts under the id of a row that goes stay."""
+    hit = _text_leaks(docs, benchmark).select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("hit_id")) & (F.xxhash64(docs["text"]) == F.col("hit_h")), "left_anti")

@@ -48,18 +48,19 @@ def fingerprint(text: bytes | None, width: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row.  One
-    narrow Arrow pass over two columns; no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, hashed: bool = False) -> DataFrame:
+    """``doc_id`` and ``fp`` (the 64 bits as a signed long) of every row, and if
+    ``hashed`` also ``h``, a hash of the text.  One narrow Arrow pass over two columns; no shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]], names)
 
+    names = ["doc_id", "fp", "h"][: 3 if hashed else 2]
     narrow_batches(docs.sparkSession)
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    return chosen.mapInArrow(tidy(rows), "doc_id long, fp long")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"), *[F.xxhash64(text_col).alias("h")] * hashed)
+    return chosen.mapInArrow(tidy(rows), ", ".join(f"{c} long" for c in names))
 
 
 def _blocks(n: int) -> list[int]:
@@ -121,28 +122,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     group's smallest id, or null if the group has none.  Repeated rows stay.
     Other columns are ignored.
     """
-    held = staged(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    groups = _grouped(docs, id_col, text_col, width, False)
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, hashed: bool) -> DataFrame:
+    """``doc_id``, ``fp``, ``component_id`` of every row, and if ``hashed`` also ``h``
+    and ``group``, which differs between groups that share their smallest id."""
+    held = staged(fingerprints(docs, id_col, text_col, width, hashed), "fingerprints")
     values = staged(held.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
     roots = components(near_links(values.select("fp")))
     members = roots.union(roots.select("root", "root").distinct()).toDF("fp", "root")
     named = members.join(values, "fp")
     first = named.groupBy("root").agg(F.min("least").alias("linked"))
-    linked = named.join(first, "root").select("fp", "linked")
-    of_value = values.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"))
+    linked = named.join(first, "root").select("fp", "root", "linked")
+    group = [F.coalesce("root", "fp").alias("group")] * hashed
+    of_value = values.join(linked, "fp", "left").select("fp", F.coalesce("linked", "least").alias("component_id"), *group)
     of_value = staged(of_value, "components")  # so that Spark can split the join at a very common value
-    return held.join(of_value, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    return held.join(of_value, "fp")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its near-duplicate
-    group.  A repeated ``doc_id`` counts once; rows without an id stay."""
-    groups = near_duplicates(docs)
-    kept = groups.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
-    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL")
+    """Of each near-duplicate group the row with the smallest ``doc_id``; of several
+    texts with that id, the one with the smallest hash.  A row is its id and its
+    text: other texts under the same id stay, equal rows count once.  Rows without
+    an id stay."""
+    groups = _grouped(docs, "doc_id", "text", 3, True).where("doc_id = component_id")
+    kept = groups.groupBy("group").agg(F.min(F.struct("doc_id", "h")).alias("m")).select(F.col("m.doc_id").alias("kept_id"), F.col("m.h").alias("kept_h"))
+    h = F.xxhash64("text")
+    same = (F.col("doc_id") == F.col("kept_id")) & (h == F.col("kept_h"))
+    rows = docs.join(kept, same, "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    named = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("kept_id"), h.alias("kept_h"))
+    repeated = staged(named.count().where("count > 1"), "repeated")
     if repeated.isEmpty():
         return rows
-    once = rows.join(repeated.select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return rows.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(once)
+    once = rows.join(repeated, same, "left_semi").withColumn("_hash", h).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return rows.join(repeated, same, "left_anti").unionByName(once)

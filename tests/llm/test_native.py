@@ -141,6 +141,16 @@ def test_leaks_odd_rows(spark, odd_docs, no_docs):
     assert D.clean(odd_docs, bench.limit(0)).columns == odd_docs.columns
 
 
+def test_clean_keeps_other_texts_under_an_id(spark):
+    r = random.Random(22)
+    item, texts = sentence(r, 30), [sentence(r, 60) for _ in range(6)]
+    rows = [(None, texts[0]), (None, f"{texts[1]} {item}"), (None, None), (4, f"{item} {texts[2]}"), (4, texts[3]), (5, texts[4])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {tuple(x) for x in D.clean(df, bench).collect()} == {rows[0], rows[2], rows[4], rows[5]}
+    assert {(x["doc_id"], x["item_id"]) for x in D.leaks(df, bench).collect()} == {(None, 1), (4, 1)}
+
+
 def test_every_block_pair_within_the_radius_is_found():
     near = set(D._near_values())
     r = random.Random(16)

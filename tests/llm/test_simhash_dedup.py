@@ -102,6 +102,14 @@ def test_odd_rows(odd_docs, no_docs):
     assert S.near_duplicates(no_docs).count() == 0 and S.one_of_each(no_docs).count() == 0
 
 
+def test_one_of_each_keeps_other_texts_under_an_id(spark):
+    r = random.Random(23)
+    a, b, c = (sentence(r, 80) for _ in range(3))
+    rows = [(1, a), (1, b), (1, a), (2, a), (3, b), (3, c), (None, a)]
+    kept = S.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, a), (1, b), (3, c), (None, a)], key=repr)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = spark.range(1, 200).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
     star = spark.range(1001, 1300).select(F.col("id").alias("u"), F.lit(1000).cast("long").alias("v"))
