@@ -26,25 +26,39 @@ RADIUS, BLOCKS, BLOCK_BITS = 23, 8, 8
 #: Shingles of a benchmark, or ids, up to which they are sent to all executors;
 #: more are joined by a shuffle.
 MOST_SENT = 1_000_000
-#: Most shingles of an item: counts of set bits have 16 bits each.
-LONGEST_ITEM = 60_000
 
 
 def _hashes(words: Column) -> Column:
-    """Shingle hashes of a word array; with fewer than ``WIDTH`` words, none."""
-    n = F.size(words)
-    return F.when(
-        n >= WIDTH,
-        F.transform(F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0))), lambda i: shingle_hash(words, i, WIDTH)),
-    ).otherwise(F.array().cast("array<bigint>"))
-
-
-def _simhash(hashes: Column, wide: bool) -> Column:
-    """Bits set in more than half of the hashes.  One long counts several bits at
-    once, each in a lane of 8 bits (16 if ``wide``).  Higher-order functions keep
+    """Shingle hashes of a word array; with fewer than ``WIDTH`` words, none.  The
+    array is bound to a variable, else it is made anew for every shingle."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        return F.when(
+            n >= WIDTH,
+            F.transform(F.sequence(F.lit(0), F.greatest(n - WIDTH, F.lit(0))), lambda i: shingle_hash(w, i, WIDTH)),
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    return F.get(F.transform(F.array(words), of), 0)
+
+
+def _simhash(hashes: Column, longest: int) -> Column:
+    """Bits set in more than half of the hashes, of which there are up to
+    ``longest``.  Arrays that 8-bit counts cannot hold have wider ones."""
+    narrow = _counted(hashes, 8)
+    if longest < 1 << 8:
+        return narrow
+    wide = _counted(hashes, 16)
+    if longest >= 1 << 16:
+        wide = F.when(F.size(hashes) < 1 << 16, wide).otherwise(_counted(hashes, 32))
+    return F.when(F.size(hashes) < 1 << 8, narrow).otherwise(wide)
+
+
+def _counted(hashes: Column, lane: int) -> Column:
+    """One long counts several bits at once, each in a lane of ``lane`` bits; an
+    array has fewer hashes than a lane can count.  Higher-order functions keep
     the expression small; spelled out for 64 bits it would take the compiler
     hundreds of megabytes."""
-    lane = 16 if wide else 8
     mask = sum(1 << k for k in range(0, 64, lane))
     zero = F.lit(0).cast("long")
 
@@ -86,9 +100,7 @@ def _overlap(a: Column, b: Column) -> Column:
 def items(benchmark: DataFrame) -> DataFrame:
     """``item_id``, ``n`` (words), ``shingles`` of items that have any."""
     words = benchmark.select("item_id", word_array(F.lower("text")).alias("w"))
-    return words.select("item_id", F.size("w").alias("n"), _hashes(F.col("w")).alias("shingles")).where(
-        (F.size("shingles") > 0) & (F.size("shingles") <= LONGEST_ITEM)
-    )
+    return words.select("item_id", F.size("w").alias("n"), _hashes(F.col("w")).alias("shingles")).where(F.size("shingles") > 0)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -116,7 +128,6 @@ def _text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     known = staged(items(benchmark), "items")
     size = known.agg(F.max(F.size("shingles")), F.sum(F.size("shingles"))).first()
     longest, n_shingles = size[0] or 0, size[1] or 0
-    wide = longest > 255
     maybe_sent = F.broadcast if n_shingles <= MOST_SENT else (lambda x: x)
 
     marks = known.select(F.explode("shingles").alias("shingle"), "n").distinct()
@@ -153,11 +164,11 @@ def _text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("p.start").alias("window_start"),
         F.slice("all", F.col("p.start") + 1, F.col("p.n") - WIDTH + 1).alias("shingles"),
     )
-    prints = windows.withColumn("fp", _simhash(F.col("shingles"), wide))
+    prints = windows.withColumn("fp", _simhash(F.col("shingles"), longest))
     keyed = prints.select("*", F.posexplode(F.array(*[_block(F.col("fp"), i) for i in range(BLOCKS)])).alias("block", "value"))
 
     index = (
-        known.select("item_id", "n", F.col("shingles").alias("item"), _simhash(F.col("shingles"), wide).alias("item_fp"))
+        known.select("item_id", "n", F.col("shingles").alias("item"), _simhash(F.col("shingles"), longest).alias("item_fp"))
         .select("*", F.posexplode(F.array(*[_block(F.col("item_fp"), i) for i in range(BLOCKS)])).alias("block", "v"))
         .select("item_id", "n", "item", "item_fp", "block", F.explode(F.array(*[F.lit(x) for x in _near_values()])).alias("flip"), "v")
         .select("item_id", "n", "item_fp", "item", "block", F.col("v").bitwiseXOR(F.col("flip").cast("long")).alias("value"))

@@ -151,6 +151,15 @@ def test_clean_keeps_other_texts_under_an_id(spark):
     assert {(x["doc_id"], x["item_id"]) for x in D.leaks(df, bench).collect()} == {(None, 1), (4, 1)}
 
 
+def test_items_as_long_as_books(spark):
+    book = " ".join(f"w{i}" for i in range(70_000))
+    bench = spark.createDataFrame([(1, book), (2, "one item of six short words")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"two more {book}"), (2, "nothing of it is in here"), (3, "and one item of six short words")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["similarity"], r["window_start"]) for r in D.leaks(docs, bench).collect()}
+    assert got == {(1, 1, 1.0, 2), (3, 2, 1.0, 1)}
+    assert [r["doc_id"] for r in D.clean(docs, bench).collect()] == [2]
+
+
 def test_every_block_pair_within_the_radius_is_found():
     near = set(D._near_values())
     r = random.Random(16)
