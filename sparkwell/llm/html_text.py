@@ -1,4 +1,11 @@
-"""Main text of web pages as a maximum-scoring stretch of words and tags."""
+"""Main text of web pages as a maximum-scoring stretch of words and tags.
+
+A page is read as a line of events: words and tags.  Words score by the element
+that holds them, tags score below zero, both by weights learned from pages that
+mark their article.  One linear scan finds the contiguous stretch with the
+greatest sum; that stretch, less the elements inside it that weigh below ``CUT``
+(an advert between two paragraphs), is the text.
+"""
 
 from __future__ import annotations
 
@@ -14,8 +21,7 @@ from pyspark.sql import functions as F
 
 from .store import narrow_batches, tidy
 
-# Element names of the HTML standard, and words that mark
-# elements which are not part of an article.
+# Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCKS = frozenset(
@@ -23,128 +29,208 @@ BLOCKS = frozenset(
     form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td
     tfoot th thead tr ul""".split()
 )
-DROPPED = frozenset(
-    """head nav aside footer form script style noscript template title button select textarea svg canvas object iframe
-    noembed noframes xmp dialog menu audio video datalist math""".split()
+#: Elements of running text and the page itself; their names are no sign of what
+#: part of the page they are.
+PLAIN = frozenset(
+    """html body article main div span p a b i u em strong small big sub sup font code pre blockquote h1 h2 h3 h4 h5 h6
+    ul ol li dl dt dd table caption tbody thead tfoot tr td th br hr img figure figcaption details summary center abbr
+    cite q s del ins mark time var kbd samp tt label picture""".split()
+)
+# What is known of parts of a page before any page is read, as names
+# of elements (first) and words of class, id and role attributes.  Each is worth
+# PRIOR words seen outside articles.
+KNOWN = frozenset(
+    """head nav aside footer form noscript template button select svg canvas object dialog menu audio video datalist
+    math""".split()
 )
 MARKS = frozenset(
-    """ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios
-    commentaires consent cookie cookies copyright disqus footer kommentare legal login menu modal nav navbar navigation
-    newsletter notice notices pagination pager popup promo promoted promotion recommended related replies respond share
-    sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets""".split()
+    """ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments
+    comentarios commentaires complementary consent contentinfo cookie cookies copyright dialog disqus footer form
+    kommentare legal login menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup
+    promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor
+    sponsored subscribe subscription toolbar topbar widget widgets""".split()
 )
-ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
-_TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""",
-    re.S,
-)
+_NAME = re.compile(r"/?[a-zA-Z][^\s/><]*")
+_STOP = re.compile(r"""[<>]|"[^"<]*"|'[^'<]*'|["']""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NOT_WORD = re.compile(r"[^a-z0-9]+")
+_HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 #: Elements that a start tag of the same kind, or of a block, ends.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-
-#: Of words of a kind never met, the least of any tag, and the bounds of weights.
-WORD, TAG, LOWEST, HIGHEST = 0.5, -0.01, -3.0, 3.0
-
-#: An event: its kind, words in it, text (None for tags), and whether it ends a block.
-Event = tuple[str, int, str | None, bool]
-
-
-def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
-
-
-def _is_dropped(name: str, raw: str, inside: bool) -> bool:
-    """Whether an element with all it holds is no part of the text.  ``inside``:
-    it is part of an article, whose own header belongs to it."""
-    if name in DROPPED or name == "header" and not inside:
-        return True
-    if "=" not in raw and "hidden" not in raw:
-        return False
-    a = _attributes(raw)
-    if "hidden" in a or a.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-        return True
-    if a.get("role", "").lower() in ROLES:
-        return True
-    if name in ("html", "body", "article", "main"):
-        return False
-    words = set(_NOT_WORD.split(f"{a.get('class', '')} {a.get('id', '')}".lower()))
-    return bool(words & MARKS) or ("header" in words and not inside)
-
-
-def events(page: str) -> tuple[list[Event], list[bool]]:
-    """The page as words and tags in order, and for each event whether it lies in
-    an ``article`` (or ``main``) element.
-
-    Comments, scripts and other raw text, and elements that ``_is_dropped``
-    names, are one event each, without text.  Tags that nothing closes end with
-    the element around them.
+_HOLDERS = frozenset("a li td th h1 h2 h3 h4 h5 h6 p pre blockquote figcaption".split())
+
+#: Of words of a kind never met, of tags never met, the best that a tag can have,
+#: and the bounds of weights.
+WORD, TAG, MILD, LOWEST, HIGHEST = 0.5, -0.25, -0.01, -3.0, 3.0
+#: Pseudo-words of ``KNOWN`` and ``MARKS``; weight below which a part is no text;
+#: least words that a learned weight rests on.
+PRIOR, CUT, LEAST = 100, -4.0, 20
+
+#: An event: kind, words in it, text (None for tags), whether it ends a block,
+#: whether it is in an article element, and whether in a part that is no text.
+Event = tuple[str, int, str | None, bool, bool, bool]
+
+
+def _unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond all characters give U+FFFD."""
+    return html.unescape(_HUGE.sub("�", text)) if "&" in text else text
+
+
+def signs(name: str, raw: str, inside: bool) -> tuple[set[str], bool]:
+    """What may tell which part of the page an element is: its name and, with a dot
+    before, the words of its class, id and role; and whether it is hidden.
+    ``inside``: it is part of an article, whose own header belongs to it."""
+    found = set() if name in PLAIN else {name}
+    hidden = False
+    if "=" in raw or "hidden" in raw.lower():
+        a = {m[1].lower(): _unescaped(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(raw)}
+        hidden = "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I))
+        if name not in ("html", "body", "article", "main"):
+            words = _NOT_WORD.split(f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".lower())
+            found.update(f".{w}" for w in words if w and not w.isdigit())
+    if inside:
+        found -= {"header", ".header"}
+    return found, hidden
+
+
+def prior(sign: str) -> float:
+    """The weight of a sign of which no page says anything."""
+    known = sign in KNOWN or sign in ("header", ".header") or sign[0] == "." and sign[1:] in MARKS
+    return -math.log(PRIOR + 1) if known else 0.0
+
+
+class Parts:
+    """Counts words in and out of articles under each sign, for learning."""
+
+    def __init__(self) -> None:
+        self.counts: dict[str, list[int]] = {}
+        self.total = [0, 0]
+        self._open: dict[str, list[int]] = {}
+
+    def opened(self, found: set[str]) -> None:
+        for s in found:
+            depth = self._open.setdefault(s, [0, 0, 0])
+            if not depth[0]:
+                depth[1:] = self.total
+            depth[0] += 1
+
+    def closed(self, found: set[str]) -> None:
+        for s in found:
+            depth = self._open[s]
+            depth[0] -= 1
+            if not depth[0]:
+                n = self.counts.setdefault(s, [0, 0])
+                n[0] += self.total[0] - depth[1]
+                n[1] += self.total[1] - depth[2]
+
+
+def events(page: str, weights: dict[str, float] | None = None, parts: Parts | None = None) -> list[Event]:
+    """The page as words and tags in order, in one pass.
+
+    A part is no text if a sign of it weighs below ``CUT`` or it is hidden.  Raw
+    elements (scripts, styles) are tags without words.  A tag ends at the first
+    ``>`` outside quotes, or, if quotes or the next ``<`` do not allow that, at
+    the first ``>``; without any to come all else is text.  Elements that
+    nothing closes end with the element around them.  Each step moves on, or
+    takes off the stack what an earlier one put there, so time grows with the
+    length of the page whatever it holds.
     """
+    weights = weights or {}
     out: list[Event] = []
-    marked: list[bool] = []
-    stack: list[str] = []
-    articles, dropped_at, at = 0, -1, 0
-    end = len(page)
+    # of each open element: name, kind of words, part no text, signs
+    stack: list[tuple[str, str, bool, set[str]]] = []
+    count: Counter[str] = Counter()
+    articles, at, end = 0, 0, len(page)
+    last = page.rfind(">")
 
-    def kind() -> str:
-        for name in reversed(stack):
-            if name in ("a", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "blockquote", "figcaption"):
-                return "word:" + ("h" if name[0] == "h" else name)
-        return "word:other"
+    def add(what: str, n: int, text: str | None, ends: bool, cut: bool) -> None:
+        out.append((what, n, text, ends, articles > 0, cut))
+        if parts:
+            parts.total[articles <= 0 or cut] += n
 
-    def add(what: str, n: int, text: str | None, ends: bool) -> None:
-        out.append((what, n, text, ends))
-        marked.append(articles > 0)
+    def is_cut() -> bool:
+        return bool(stack) and stack[-1][2]
 
-    def close(depth: int) -> None:
-        nonlocal articles, dropped_at
-        articles -= sum(x in ("article", "main") for x in stack[depth:])
-        del stack[depth:]
-        if dropped_at >= depth:
-            dropped_at = -1
-            add("dropped", 0, None, True)
+    def words(text: str) -> None:
+        if text := _unescaped(text):
+            add("word:" + (stack[-1][1] if stack else "other"), len(text.split()), text, False, is_cut())
 
+    def close(depth: int) -> None:
+        nonlocal articles
+        while len(stack) > depth:
+            name, _, _, found = stack.pop()
+            count[name] -= 1
+            articles -= name in ("article", "main")
+            if parts:
+                parts.closed(found)
+
+    held = 0  # where text not yet written begins
     while at < end:
-        m = _TAG.search(page, at)
-        start = m.start() if m else end
-        if start > at and dropped_at < 0:
-            text = html.unescape(page[at:start])
-            if text:
-                add(kind(), len(text.split()), text, False)
-        if not m:
+        start = page.find("<", at)
+        if start > last:  # no tag ends any more; an open comment may still begin
+            start = page.find("<!--", start)
+        if start < 0:
             break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
-        if not name:
+        after = page[start + 1 : start + 2]
+        if after in ("!", "?"):
+            words(page[held:start])
+            if page.startswith("<!--", start):
+                stop = page.find("-->", start + 4)
+                at = held = end if stop < 0 else stop + 3
+            else:
+                at = held = page.find(">", start) + 1
             continue
-        if m[1] or m[4]:
-            if name in stack:
-                depth = len(stack) - 1 - stack[::-1].index(name)
-                close(depth)
-            if dropped_at < 0:
-                add("/" + name, 0, None, name in BLOCKS)
+        m = _NAME.match(page, start + 1)
+        if not m:
+            at = start + 1
             continue
-        raw = m[3] or m[6] or ""
-        if name in _ENDS and stack and stack[-1] in _ENDS[name]:
-            close(len(stack) - 1)
-        elif name in BLOCKS and stack and stack[-1] == "p":
+        words(page[held:start])
+        stop = m.end()
+        while True:
+            found = _STOP.search(page, stop)
+            if found is None or found[0] in ("<", '"', "'"):
+                stop = page.find(">", m.end())
+                break
+            if found[0] == ">":
+                stop = found.start()
+                break
+            stop = found.end()
+        raw = page[m.end() : stop]
+        at = held = stop + 1
+        name = m[0].lower()
+        if name[0] == "/":
+            name = name[1:]
+            cut = is_cut()
+            if count[name] > 0:
+                depth = len(stack)
+                while stack[depth - 1][0] != name:
+                    depth -= 1
+                cut = stack[depth - 1][2]
+                close(depth - 1)
+            add("/" + name, 0, None, name in BLOCKS, cut)
+            continue
+        if name in _ENDS and stack and stack[-1][0] in _ENDS[name] or name in BLOCKS and stack and stack[-1][0] == "p":
             close(len(stack) - 1)
         if name in RAW:
-            found = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
-            at = found.start() if found else end
-            if dropped_at < 0:
-                add("dropped", 0, None, name in BLOCKS)
+            gone = re.compile(rf"</{re.escape(name)}\b", re.I).search(page, at)
+            at = held = gone.start() if gone else end
+            add(name, 0, None, name in BLOCKS, True)
             continue
-        if dropped_at < 0:
-            add(name, 0, " " if name == "br" else None, name in BLOCKS)
+        here, hidden = signs(name, raw, articles > 0)
+        cut = is_cut() or hidden or any(weights.get(s, prior(s)) < CUT for s in here)
+        add(name, 0, " " if name == "br" else None, name in BLOCKS, cut)
         if name in VOID or raw.endswith("/") and name not in BLOCKS:
             continue
-        stack.append(name)
+        kind = ("h" if name[0] == "h" else name) if name in _HOLDERS else stack[-1][1] if stack else "other"
+        stack.append((name, kind, cut, here))
+        count[name] += 1
         articles += name in ("article", "main")
-        if dropped_at < 0 and _is_dropped(name, raw, articles > 0):
-            dropped_at = len(stack) - 1
-    return out, marked
+        if parts:
+            parts.opened(here)
+    words(page[held:])
+    close(0)
+    return out
 
 
 def best_stretch(scores: list[float]) -> tuple[int, int]:
@@ -161,30 +247,80 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
     return begin, end
 
 
-def main_text(page: str, weights: dict[str, float]) -> str:
-    """Blocks of the best stretch, white space made one space, joined by one."""
-    seen, _ = events(page)
-    score = [n * weights.get(k, WORD) if k.startswith("word:") else min(TAG, weights.get(k, TAG)) for k, n, _, _ in seen]
-    begin, end = best_stretch(score)
+def scores(seen: list[Event], weights: dict[str, float]) -> list[float]:
+    """A score for each event.
+
+    Words score the weight of their kind, tags theirs, zero at most.  A part
+    that is no text costs one tag, whatever its length, so that an advert does
+    not part an article.  On a page that marks an article the mark counts too:
+    words in it score ``HIGHEST`` and its tags ``MILD``; words outside it score
+    nothing.
+    """
+    marked = any(article and n and not cut for _, n, _, _, article, cut in seen)
+    out: list[float] = []
+    was_cut = False
+    for kind, n, text, _, article, cut in seen:
+        if cut:
+            x = 0.0 if was_cut else TAG
+        elif kind.startswith("word:"):
+            x = n * ((HIGHEST if article else 0.0) if marked else weights.get(kind, WORD))
+        else:
+            x = MILD if article else min(MILD, weights.get("<" + kind, TAG))
+        out.append(x)
+        was_cut = cut
+    return out
+
+
+def main_text(page: str, weights: dict[str, float], inner: bool = True) -> str:
+    """Blocks of the best stretch, white space made one space, joined by one.
+    Without ``inner`` parts of the stretch that are no text stay too."""
+    seen = events(page, weights)
+    begin, end = best_stretch(scores(seen, weights))
     blocks: list[str] = []
     part: list[str] = []
-    for _, _, text, ends in seen[begin:end]:
+    for _, _, text, ends, _, cut in seen[begin:end]:
         if ends:
             blocks.append("".join(part))
             part = []
-        if text:
+        if text and not (cut and inner):
             part.append(text)
     blocks.append("".join(part))
     return " ".join(x for b in blocks if (x := " ".join(b.split())))
 
 
-def learn_weights(pages: DataFrame, most_pages: int = 2000) -> dict[str, float]:
-    """Log-odds of words by the element that holds them, and of tags.
+def _odds(rows: list[tuple[str, int, int]]) -> dict[str, float]:
+    a, b = sum(r[1] for r in rows), sum(r[2] for r in rows)
+    of = ((k, math.log((x + 1) / (a + len(rows))) - math.log((y + 1) / (b + len(rows)))) for k, x, y in rows)
+    return {k: max(LOWEST, min(HIGHEST, w)) for k, w in of}
 
-    Labelled are pages that mark their article with an element of that name:
-    what lies in it is inside.  Of at most about ``most_pages`` pages, those
-    with the smallest hashes.  Words score zero or more unless they mostly lie
-    outside; tags score less than zero.
+
+def weights_of(counts: list[tuple[str, int, int]]) -> dict[str, float]:
+    """Weights from rows of a kind (``word:`` and a holder, ``<`` and a tag, or a
+    sign), how much of it lies in articles, and how much outside.
+
+    Words and tags have the log-odds of their kind; words that do not mostly
+    lie outside have ``WORD`` at least.  A sign has the log-odds of the words
+    under it, known ones from ``PRIOR`` on.
+    """
+    tags = [r for r in counts if r[0].startswith("<")]
+    held = [r for r in counts if r[0].startswith("word:")]
+    out = _odds(tags) | {k: max(WORD, w) if a >= b else w for (k, a, b), w in zip(held, _odds(held).values(), strict=True)}
+    for k, a, b in counts:
+        if not k.startswith(("<", "word:")):
+            out[k] = prior(k) + math.log((a + 1) / (b + 1))
+    return out
+
+
+def learn_weights(pages: DataFrame, most_pages: int = 2000) -> dict[str, float]:
+    """Weights from pages that mark their article with an element of that name:
+    the words in it, but for parts known to be no text, are inside.  The mark
+    itself, and what lies in such parts, teaches nothing else, so the weights
+    serve pages without marks.
+
+    Of at most about ``most_pages`` pages, those with the smallest hashes.
+    Kinds with fewer than ``LEAST`` words or tags are left out, which bounds
+    what reaches the driver by the words of those pages.  Null pages and pages
+    without a mark are passed over; no pages give no weights.
     """
     share = min(1.0, most_pages / max(1, pages.count()))
     chosen = pages.where(F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20))).select("html")
@@ -193,11 +329,18 @@ def learn_weights(pages: DataFrame, most_pages: int = 2000) -> dict[str, float]:
         n: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for page in batch.column(0).to_pylist():
-                seen, marked = events(page or "")
-                if not any(marked):
+                parts = Parts()
+                seen = events(page or "", None, parts)
+                if not any(x[4] and x[1] for x in seen):
                     continue
-                for (kind, words, _, _), inside in zip(seen, marked, strict=True):
-                    n[inside][kind] += words if kind.startswith("word:") else 1
+                for kind, words, _, _, article, cut in seen:
+                    if kind.startswith("word:"):
+                        n[article][kind] += 0 if cut else words
+                    elif not cut and kind.strip("/") not in ("article", "main"):
+                        n[article]["<" + kind] += 1
+                for sign, (a, b) in parts.counts.items():
+                    n[1][sign] += a
+                    n[0][sign] += b
         keys = sorted(n[0].keys() | n[1].keys())
         yield pa.RecordBatch.from_arrays(
             [pa.array(keys, pa.string()), pa.array([n[1][k] for k in keys], pa.int64()), pa.array([n[0][k] for k in keys], pa.int64())],
@@ -205,17 +348,8 @@ def learn_weights(pages: DataFrame, most_pages: int = 2000) -> dict[str, float]:
         )
 
     sums = chosen.mapInArrow(tidy(counted), "kind string, inside long, outside long").groupBy("kind")
-    rows = sums.agg(F.sum("inside").alias("a"), F.sum("outside").alias("b")).orderBy(F.desc("a"), "kind").limit(1000).collect()
-    out: dict[str, float] = {}
-    for words in (True, False):
-        part = [r for r in rows if r["kind"].startswith("word:") == words]
-        a, b = sum(r["a"] for r in part), sum(r["b"] for r in part)
-        for r in part:
-            odds = math.log((r["a"] + 1) / (a + len(part))) - math.log((r["b"] + 1) / (b + len(part)))
-            out[r["kind"]] = max(LOWEST, min(HIGHEST, odds))
-            if words and r["a"] >= r["b"]:
-                out[r["kind"]] = max(WORD, out[r["kind"]])
-    return out
+    rows = sums.agg(F.sum("inside").alias("a"), F.sum("outside").alias("b")).where(F.col("a") + F.col("b") >= LEAST).orderBy("kind")
+    return weights_of([(r["kind"], r["a"], r["b"]) for r in rows.collect()])
 
 
 def extract(pages: DataFrame, most_pages: int = 2000) -> DataFrame:
@@ -223,7 +357,8 @@ def extract(pages: DataFrame, most_pages: int = 2000) -> DataFrame:
 
     Null and empty pages, and pages without words, have the empty text.
     Repeated rows give equal rows; rows without a ``page_id`` are read like
-    others.  An empty table gives no rows.  Other columns are ignored.
+    others.  An empty table gives no rows.  Very long and broken pages are read
+    in time that grows with their length.  Other columns are ignored.
     """
     narrow_batches(pages.sparkSession)
     weights = learn_weights(pages, most_pages)
