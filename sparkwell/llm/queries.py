@@ -113,14 +113,14 @@ placed AS (
     coalesce(sum(strlen(record)) OVER (ORDER BY record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
   FROM rec)
 SELECT record_id, "offset", length, CASE WHEN record_id % 193 = 7 THEN 'missing' ELSE 'changed' END AS fault,
-  sha256(record) AS digest, CASE WHEN record_id % 193 = 7 THEN NULL ELSE sha256(record || '!') END AS replica_digest
+  sha256(record) AS digest, CASE WHEN record_id % 193 = 7 THEN NULL ELSE sha256(record || '!') END AS replica_digest, 1::BIGINT AS copies
 FROM placed WHERE record_id % 97 = 5 OR record_id % 193 = 7
 UNION ALL
 SELECT -page_id, NULL, NULL, 'extra', NULL, sha256(
     'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
     || (-page_id) || '>' || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
-    || 'Content-Length: 0' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10))
+    || 'Content-Length: 0' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10)), 1
 FROM pages WHERE page_id % 389 = 11
 """,
 }

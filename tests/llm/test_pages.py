@@ -161,11 +161,50 @@ def test_audit_finds_every_fault(spark):
     assert W.audit(records(spark, good), records(spark, good)).count() == 0
 
 
+def test_agreeing_branches_are_not_read(spark):
+    good = [(i, b"x" * (i % 9)) for i in range(4096)]
+    rows = W.leaves(records(spark, good), records(spark, [x for x in good if x[0] != 70]))
+    shape = W.levels(rows)
+    found = W.mismatches(W.tree(rows, shape), shape)
+    # one id of 4096 is lost: the leaves of its range alone, for the others' hashes do not shift
+    assert found.where("side = 0").count() == 64 and found.where("side = 1").count() == 63
+    assert "GreaterThanOrEqual(id,64)" in found._jdf.queryExecution().toString()
+
+
+def test_audit_counts_repeated_and_nameless_records(spark):
+    a = [(1, b"x"), (1, b"x"), (1, b"y"), (None, b"n"), (None, b"m"), (2, b"z"), (3, None), *[(7, b"%d" % i) for i in range(300)]]
+    b = [(1, b"x"), (1, b"y"), (1, b"w"), (None, b"n"), (None, b"M"), (2, b"z"), (2, b"z"), (3, b""), *[(7, b"%d" % i) for i in range(1, 301)]]
+    got = sorted((str(r["record_id"]), r["fault"], r["copies"], r["digest"] is None, r["replica_digest"] is None) for r in W.audit(records(spark, a), records(spark, b)).collect())
+    assert got == [("1", "changed", 1, False, False), ("2", "extra", 1, True, False), ("3", "changed", 1, False, False), ("7", "changed", 1, False, False), ("None", "changed", 1, False, False)]
+    more = W.audit(records(spark, a), records(spark, a[3:])).collect()
+    assert sorted((r["fault"], r["copies"]) for r in more) == [("missing", 1), ("missing", 2)]
+
+
+def test_audit_finds_a_replica_in_another_order(spark):
+    rows = [(i, b"r%03d" % i) for i in range(500)]
+
+    def placed(order):
+        at = {i: 4 * k for k, i in enumerate(order)}
+        return spark.createDataFrame([(i, r, at[i]) for i, r in rows if i in at], "record_id long, record binary, offset long")
+
+    same = list(range(500))
+    swapped = [*same[:10], 11, 10, *same[12:]]
+    assert {(r["record_id"], r["fault"]) for r in W.audit(placed(same), placed(swapped)).collect()} >= {(10, "moved"), (11, "moved")}
+    far = [i for i in same if i != 33] + [33]
+    got = [(r["record_id"], r["fault"]) for r in W.audit(placed(same), placed(far)).collect()]
+    assert (33, "moved") in got and len(got) < 4
+    assert W.audit(placed(swapped), placed(swapped)).count() == 0
+    lost = [i for i in same if i != 200]
+    assert [(r["record_id"], r["offset"], r["fault"]) for r in W.audit(placed(same), placed(lost)).collect()] == [(200, 800, "missing")]
+
+
 def test_audit_odd_archives(spark):
     none = records(spark, [])
     one = records(spark, [(1, b"x"), (1, b"x"), (None, b"y")])
     assert W.audit(none, none).count() == 0 and W.audit(one, one).count() == 0
-    assert [r["fault"] for r in W.audit(one, none).collect()] == ["missing"]
-    assert [r["fault"] for r in W.audit(none, one).collect()] == ["extra"]
+    assert sorted((r["fault"], r["copies"]) for r in W.audit(one, none).collect()) == [("missing", 1), ("missing", 2)]
+    assert sorted(r["fault"] for r in W.audit(none, one).collect()) == ["extra", "extra"]
+    clash = records(spark, [(-9, b"x"), (1 << 62, b"z" * 3_000_000)]).selectExpr("*", "1 AS id", "2 AS p", "3 AS n", "4 AS digest")
+    assert [r["offset"] for r in W.audit(clash, clash.where("record_id < 0")).collect()] == [1]
     nulls = spark.range(1).select(W.warc_record(F.lit(None).cast("long"), F.lit(None).cast("string"), F.lit(None).cast("string")).alias("r")).first()[0]
     assert bytes(nulls).startswith(b"WARC/1.1\r\n") and b"Content-Length: 0" in bytes(nulls)
