@@ -1,7 +1,8 @@
 """Token ids by the tokenizers library, remembered chunk by chunk.
 
 Both vocabularies cut a text at white space before they merge anything, so the
-ids of a text are the ids of its chunks one after the other.  Each Python
+ids of a text are the ids of its chunks one after the other.  Texts with the
+string of an added token go to the library as a whole.  Each Python
 worker keeps the ids of the chunks it has met in a bounded table; the library
 sees every other chunk once.
 """
@@ -80,10 +81,11 @@ class ChunkedTokenizer:
 
         path = name if os.path.isabs(name) else public_tokenizers.path(name)
         self._library = Tokenizer.from_file(path)
-        self._library.encode_special_tokens = True  # their strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
-            kind = json.load(f)["pre_tokenizer"]["type"]
-        self._spaced = kind == "ByteLevel"  # a chunk there includes the space before it
+            told = json.load(f)
+        self._spaced = told["pre_tokenizer"]["type"] == "ByteLevel"  # a chunk there includes the space before it
+        added = [re.escape(t["content"]) for t in told["added_tokens"]]
+        self._added = re.compile("|".join(added) or r"(?!)", re.I)
         self._model = self._library.model
         self._marks: dict[str, bytes] = {}
         self._copies: dict[bytes, bytes] = {}
@@ -139,6 +141,8 @@ class ChunkedTokenizer:
         return ids
 
     def _read(self, text: str) -> bytes:
+        if self._added.search(text):  # the library cuts such texts there first
+            return _packed(self._one(text))
         if not self._spaced:
             return b"".join(map(self._first.__getitem__, text.replace("\n", " ").split(" ")))
         return _packed(self._one(text)) if _UNEVEN.search(text) else self._by_line(text)

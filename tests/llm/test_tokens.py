@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import functools
 import random
 import zlib
 
@@ -18,12 +19,11 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
 
+@functools.cache
 def library(name):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.fixture(scope="module")
@@ -46,10 +46,26 @@ def test_chunks_give_the_library_ids(libraries, name):
 def test_any_text_gives_the_library_ids(text):
     for name in FILES:
         got = ids(word_cache.tokenizer(name).ids([text])[0])
-        cache = test_any_text_gives_the_library_ids.__dict__.setdefault(name, library(name))
+        cache = library(name)
         assert got == cache.encode(text, add_special_tokens=False).ids
 
 
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", "\r\n", "\u0301", "\u200d", "\u00a0", "\u2028", "\x1c", "\x85", "\u1100\u1161", "\u0345", "ſ", "K", "ﬁ", "'ll", "’s"]
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=6), st.sampled_from(SPECIAL), st.text(alphabet=st.characters(min_codepoint=0x20, max_codepoint=0x2FF), max_size=8), st.sampled_from([" ", "\n", "'", "a"])), max_size=12).map("".join))
+def test_all_of_unicode_gives_the_library_ids(text):
+    for name in FILES:
+        cache = library(name)
+        assert ids(word_cache.tokenizer(name).ids([text])[0]) == cache.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_in_a_text(libraries):
+    text = "a <|endoftext|> b" * 30
+    assert 50256 in ids(word_cache.tokenizer(FILES[0]).ids([text])[0]) and 49407 in ids(word_cache.tokenizer(FILES[1]).ids([text])[0])
+
+
 @pytest.mark.parametrize("n", [1, 5, 2048, 2049, 140_000, 300_000])
 def test_blocks_round_trip(n):
     rng = np.random.default_rng(n)
