@@ -15,8 +15,9 @@ from .word_cache import tokenizer
 WINDOW = 4096
 #: Chunks of text whose ids a worker remembers.
 MOST_CHUNKS = 200_000
-#: Open windows that a task holds before it closes them by cutting.
-MOST_OPEN = 2048
+#: Windows that a task may hold open in all, and closed windows for each of them.
+MOST_OPEN, CLOSED_PER_OPEN = 2048, 32
+_NEVER = np.iinfo(np.int64).max
 
 #: A piece: document number of the task, start, ids.
 Piece = tuple[int, int, np.ndarray]
@@ -31,58 +32,83 @@ class SumOfSquares:
     tie).  That spreads the open windows over many levels, so that most pieces
     find one that they fill.
 
+    Windows may be open up to one for every ``closed_per_open`` closed so far,
+    two more, and ``most_open`` in all.  When that many are open a piece opens
+    no new one: it takes the best level that has room for it or, if none has,
+    it is cut where it fills a window, the one whose level and whose rest's
+    level give the smallest sum, and the rest is placed like a piece.  So what
+    is open at the end is a small share of what a task packed, and memory is
+    bounded, by the same rule at every size.
+
     ``finish`` joins what is left of the open windows and cuts it into full
     ones; the tail becomes windows whose lengths are powers of two, which need
-    no padding.  It also runs when more than ``most_open`` windows are open,
-    so memory stays bounded whatever the lengths.
+    no padding.
     """
 
-    def __init__(self, size: int = WINDOW, most_open: int = MOST_OPEN) -> None:
-        self.size, self.most_open, self.n_open = size, most_open, 0
+    def __init__(self, size: int = WINDOW, most_open: int = MOST_OPEN, closed_per_open: int = CLOSED_PER_OPEN) -> None:
+        self.size, self.most_open, self.closed_per_open = size, most_open, closed_per_open
+        self.n_open = self.n_closed = 0
         self.count = np.zeros(size + 1, np.int64)
         self._open: list[list[list[Piece]]] = [[] for _ in range(size + 1)]
 
-    def level(self, n: int) -> int:
-        """The level that a piece of ``n`` tokens goes to."""
+    def may_open(self) -> bool:
+        return self.n_open < min(self.most_open, 2 + self.n_closed // self.closed_per_open)
+
+    def level(self, n: int, new: bool = True) -> int:
+        """The level that a piece of ``n`` tokens goes to as a whole; zero is a new
+        window, or, without ``new``, says that no open one has room."""
         here = self.count[: self.size - n + 1]
         change = 2 * self.count[n:] - 2 * here + 2
         change[-1] = 1 - 2 * here[-1]  # the window becomes full and leaves the sum
-        change[0] = 2 * self.count[n] + 1 if n < self.size else 0
-        change[1:][here[1:] == 0] = np.iinfo(np.int64).max
-        return len(change) - 1 - int(np.argmin(change[::-1]))
+        change[1:][here[1:] == 0] = _NEVER
+        change[0] = (2 * self.count[n] + 1 if n < self.size else 0) if new else _NEVER
+        best = len(change) - 1 - int(np.argmin(change[::-1]))
+        return best if change[best] < _NEVER else 0
+
+    def cut_level(self, n: int) -> int:
+        """The level of the window that a piece too long for every open one fills;
+        its rest counts as opened."""
+        here = self.count[self.size - n + 1 : self.size]
+        change = 2 * self.count[1:n] - 2 * here + 2
+        change[here == 0] = _NEVER
+        return self.size - 1 - int(np.argmin(change[::-1]))
+
+    def _taken(self, level: int) -> list[Piece]:
+        self.count[level] -= 1
+        self.n_open -= 1
+        return self._open[level].pop()
 
     def place(self, piece: Piece) -> list[list[Piece]]:
         """Windows that are complete once ``piece`` (at most ``size`` ids) is placed."""
-        n = len(piece[2])
-        at = self.level(n)
-        if at:
-            window = self._open[at].pop()
-            self.count[at] -= 1
-            self.n_open -= 1
-        else:
-            window = []
-        window.append(piece)
+        out: list[list[Piece]] = []
+        while True:
+            n, new = len(piece[2]), self.may_open()
+            at = self.level(n, new)
+            if at or new:
+                break
+            at = self.cut_level(n)
+            number, start, ids = piece
+            room = self.size - at
+            out.append([*self._taken(at), (number, start, ids[:room])])
+            self.n_closed += 1
+            piece = (number, start + room, ids[room:])
+        window = [*(self._taken(at) if at else ()), piece]
         if at + n == self.size:
-            return [window]
+            self.n_closed += 1
+            return [*out, window]
         self._open[at + n].append(window)
         self.count[at + n] += 1
         self.n_open += 1
-        return self.finish(tail=False) if self.n_open > self.most_open else []
+        return out
 
-    def finish(self, tail: bool = True) -> list[list[Piece]]:
-        """Full windows cut from all open ones; the rest stays open, or with
-        ``tail`` leaves in windows of power-of-two lengths."""
+    def finish(self) -> list[list[Piece]]:
+        """Windows cut from all open ones."""
         pieces = [p for level in reversed(self._open) for w in level for p in w]
         self._open = [[] for _ in range(self.size + 1)]
         self.count[:] = 0
         self.n_open = 0
-        left = sum(len(p[2]) for p in pieces)
-        full, rest = divmod(left, self.size)
-        sizes = [self.size] * full
-        if rest and tail:
-            sizes += [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-        elif rest:
-            sizes.append(rest)
+        full, rest = divmod(sum(len(p[2]) for p in pieces), self.size)
+        sizes = [self.size] * full + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
         out: list[list[Piece]] = []
         queue = iter(pieces)
         piece: Piece | None = None
@@ -94,10 +120,6 @@ class SumOfSquares:
                 piece = (number, start + size, ids[size:]) if len(ids) > size else None
                 size -= len(window[-1][2])
             out.append(window)
-        if rest and not tail:
-            self._open[rest].append(out.pop())
-            self.count[rest] += 1
-            self.n_open = 1
         return out
 
 

@@ -162,24 +162,46 @@ def test_packing_odd_rows(odd_docs, no_docs):
 
 
 def test_sum_of_squares_choice():
-    """Each piece goes where the sum of squared level counts becomes smallest."""
+    """Each piece goes where the sum of squared level counts becomes smallest; cuts
+    too, when no window more may be opened and none has room."""
     r = random.Random(6)
-    p = P.SumOfSquares(16)
-    for i in range(400):
-        n = r.randrange(1, 17)
-        counts = p.count.copy()
+    p = P.SumOfSquares(16, most_open=20, closed_per_open=3)
+    cuts = news = 0
+    for i in range(2000):
+        n = r.choice((1, 2, 7, 9, 9, 11, 13, 16)) if i % 400 > 200 else r.randrange(1, 17)
+        counts, new = p.count.copy(), p.may_open()
 
-        def after(h, n=n, counts=counts):
+        def after(*steps, counts=counts):
             c = counts.copy()
-            if h:
-                c[h] -= 1
-            if h + n < 16:
-                c[h + n] += 1
-            return int((c[1:16] ** 2).sum())
-
-        levels = [h for h in range(16 - n + 1) if h == 0 or counts[h]]
-        assert after(p.level(n)) == min(map(after, levels))
+            for level, step in steps:
+                if 0 < level < 16:
+                    c[level] += step
+            return int((c**2).sum())
+
+        whole = {h: after((h, -1), (h + n, 1)) for h in range(16 - n + 1) if counts[h] or h == 0 and new}
+        if whole:
+            assert whole[p.level(n, new)] == min(whole.values())
+            news += p.level(n, new) == 0
+        else:
+            cuts += 1
+            cut = {h: after((h, -1), (h + n - 16, 1)) for h in range(16 - n + 1, 16) if counts[h]}
+            assert cut[p.cut_level(n)] == min(cut.values())
         p.place((i, 0, np.arange(n)))
+        assert p.n_open == p.count.sum() <= 20
+    assert cuts > 10 and news > 10
+
+
+@pytest.mark.parametrize("n_docs", [40, 400, 4000])
+def test_little_is_left_for_the_end(n_docs):
+    r = np.random.default_rng(n_docs)
+    p = P.SumOfSquares(256)
+    lengths = np.minimum(256, r.lognormal(4, 1, n_docs).astype(int) + 1)
+    out = []
+    for i, n in enumerate(lengths):
+        out += p.place((i, 0, np.arange(n)))
+    assert all(sum(len(x[2]) for x in w) == 256 for w in out)
+    left = sum(len(x[2]) for w in p.finish() for x in w)
+    assert left <= (2 + len(out) // P.CLOSED_PER_OPEN) * 256 and left + 256 * len(out) == lengths.sum()
 
 
 def test_bounded_open_windows():
@@ -187,7 +209,7 @@ def test_bounded_open_windows():
     out = []
     for i in range(100):
         out += p.place((i, 0, np.arange(9)))
-        assert p.n_open <= 6
+        assert p.n_open <= 5
     out += p.finish()
     assert sum(len(x[2]) for w in out for x in w) == 900
     sizes = [sum(len(x[2]) for x in w) for w in out]
