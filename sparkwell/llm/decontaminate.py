@@ -4,9 +4,16 @@ All of it is DataFrame functions.  A window is as long as a benchmark item, in
 words.  Its SimHash is looked up in an index of the items' fingerprints: both
 are cut into blocks, items are filed under every block value within
 ``RADIUS // BLOCKS`` bits, and two fingerprints at most ``RADIUS`` bits apart
-have such a block, so no pair within the radius is missed.  Pairs within it are
+have such a block, so no pair within the radius is missed.  A block value of a
+random window meets one item in 26, all blocks together one in seven, of which
+one in 1,200 is within the radius.  Each different fingerprint is looked up
+once, however many copies of a text there are.  Pairs within the radius are
 verified by the weighted Jaccard similarity of their shingles, with counts.
 
+Pairs at a similarity of exactly ``SIMILARITY`` differ in 9.7 bits on average,
+with a deviation of 2.9; of 90,000 drawn pairs of 15 to 59 words 18 were beyond the radius, of
+more similar pairs fewer, of equal ones none.
+
 A window that shares no shingle with an item cannot be similar to it, so only
 windows around shingles of the benchmark are formed; this leaves out nothing.
 """
@@ -22,7 +29,7 @@ from .store import staged
 from .words import shingle_hash, word_array
 
 WIDTH, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS, BLOCK_BITS = 23, 8, 8
+RADIUS, BLOCKS, BLOCK_BITS = 19, 4, 16
 #: Shingles of a benchmark, or ids, up to which they are sent to all executors;
 #: more are joined by a shuffle.
 MOST_SENT = 1_000_000
@@ -155,8 +162,11 @@ def _text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         texts = texts.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left_semi")
     there = wanted.select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), "places")
     texts = texts.hint("merge").join(there, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")))
+    # few documents with much work: as many tasks as the session has partitions
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = texts.repartition(parts, "doc_id", "h")
     texts = texts.select("doc_id", "h", word_array(F.lower("text")).alias("w"), "places")
-    hashed = texts.select("doc_id", "h", _hashes(F.col("w")).alias("all"), "places")
+    hashed = staged(texts.select("doc_id", "h", _hashes(F.col("w")).alias("all"), "places"), "shingles")
     windows = hashed.select("doc_id", "h", "all", F.explode("places").alias("p")).select(
         "doc_id",
         "h",
@@ -164,14 +174,35 @@ def _text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.col("p.start").alias("window_start"),
         F.slice("all", F.col("p.start") + 1, F.col("p.n") - WIDTH + 1).alias("shingles"),
     )
-    prints = windows.withColumn("fp", _simhash(F.col("shingles"), longest))
-    keyed = prints.select("*", F.posexplode(F.array(*[_block(F.col("fp"), i) for i in range(BLOCKS)])).alias("block", "value"))
+    prints = windows.withColumn("fp", _simhash(F.col("shingles"), longest)).drop("shingles")
+    prints = staged(prints, "window-prints")
+    pairs = staged(near_items(prints.select("n", "fp").distinct(), known, longest), "candidates")
+    near = prints.join(pairs, ["n", "fp"]).groupBy("doc_id", "h").agg(F.collect_list(F.struct("item_id", "n", "window_start", "distance")).alias("near"))
+    near = near.select(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h"), "near")
+    again = hashed.join(near, F.col("doc_id").eqNullSafe(F.col("near_id")) & (F.col("h") == F.col("near_h")))
+    again = again.select("doc_id", "h", "all", F.explode("near").alias("c")).select(
+        "doc_id", "h", "c.*", F.slice("all", F.col("c.window_start") + 1, F.col("c.n") - WIDTH + 1).alias("shingles")
+    )
+    # a benchmark may repeat an item, or its number
+    wanted_items = known.select(F.col("item_id").alias("known_id"), F.col("n").alias("known_n"), F.col("shingles").alias("item")).distinct()
+    shared = again.join(maybe_sent(wanted_items), F.col("item_id").eqNullSafe(F.col("known_id")) & (F.col("n") == F.col("known_n")))
+    shared = shared.withColumn("both", _overlap(F.col("shingles"), F.col("item")))
+    similar = F.col("both") / (F.size("shingles") + F.size("item") - F.col("both"))
+    found = shared.withColumn("similarity", similar).where(F.col("similarity") >= SIMILARITY)
+    return _most_similar(found, "doc_id", "h", "item_id")
 
+
+def near_items(prints: DataFrame, known: DataFrame, longest: int) -> DataFrame:
+    """``n``, ``fp``, ``item_id``, ``distance`` of all pairs of a window's
+    fingerprint and an item's of the same number of words within ``RADIUS``
+    bits.  ``prints``: distinct ``n`` and ``fp``; ``known``: ``items``."""
+    keyed = prints.select("*", F.posexplode(F.array(*[_block(F.col("fp"), i) for i in range(BLOCKS)])).alias("block", "value"))
+    flips = F.expr(f"array({', '.join(map(str, _near_values()))})")  # one constant
     index = (
-        known.select("item_id", "n", F.col("shingles").alias("item"), _simhash(F.col("shingles"), longest).alias("item_fp"))
+        known.select("item_id", "n", _simhash(F.col("shingles"), longest).alias("item_fp")).distinct()
         .select("*", F.posexplode(F.array(*[_block(F.col("item_fp"), i) for i in range(BLOCKS)])).alias("block", "v"))
-        .select("item_id", "n", "item", "item_fp", "block", F.explode(F.array(*[F.lit(x) for x in _near_values()])).alias("flip"), "v")
-        .select("item_id", "n", "item_fp", "item", "block", F.col("v").bitwiseXOR(F.col("flip").cast("long")).alias("value"))
+        .select("item_id", "n", "item_fp", "block", F.explode(flips).alias("flip"), "v")
+        .select("item_id", "n", "item_fp", "block", F.col("v").bitwiseXOR(F.col("flip").cast("long")).alias("value"))
     )
     distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     # a pair is found once for each block that is near; the first one counts
@@ -180,10 +211,7 @@ def _text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ]
     first = F.array_position(F.array(*near), True) - 1
     pairs = keyed.join(index, ["n", "block", "value"]).where(distance <= RADIUS).where(first == F.col("block"))
-    shared = pairs.withColumn("both", _overlap(F.col("shingles"), F.col("item"))).withColumn("distance", distance)
-    similar = F.col("both") / (F.size("shingles") + F.size("item") - F.col("both"))
-    found = shared.withColumn("similarity", similar).where(F.col("similarity") >= SIMILARITY)
-    return _most_similar(found, "doc_id", "h", "item_id")
+    return pairs.select("n", "fp", "item_id", distance.alias("distance")).groupBy("n", "fp", "item_id").agg(F.min("distance").alias("distance"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

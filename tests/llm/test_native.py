@@ -166,7 +166,7 @@ def test_every_block_pair_within_the_radius_is_found():
     for _ in range(2000):
         bits = r.sample(range(64), r.randrange(0, D.RADIUS + 1))
         x = sum(1 << b for b in bits)
-        assert any((x >> (8 * i) & 255) in near for i in range(D.BLOCKS))
+        assert any((x >> (D.BLOCK_BITS * i) & ((1 << D.BLOCK_BITS) - 1)) in near for i in range(D.BLOCKS))
 
 
 def test_licences(spark):
