@@ -294,7 +294,10 @@ def repeats(rows: DataFrame) -> DataFrame:
     one = F.min(F.struct("doc_id", "h", "a", "b", "d")).alias("at")
     kinds = several.groupBy("anchor", "ctx").agg(F.count("*").alias("n"), one).select("anchor", "ctx", "n", "at.*")
     kinds = staged(kinds, "contexts")
-    copied = several.join(kinds.where("n > 1").select("anchor", "ctx"), ["anchor", "ctx"]).select(*covered)
+    # a sort-merge join of two tables that is written as it is: Spark can then split
+    # the rows of a very common context, as of a passage that many documents share
+    twice = kinds.where("n > 1").select("anchor", "ctx")
+    copied = staged(several.hint("merge").join(twice, ["anchor", "ctx"]).select(*covered), "copied")
 
     many = kinds.groupBy("anchor").agg(F.count("*").alias("n_ctx")).where(F.col("n_ctx") > MOST_CONTEXTS)
     wanted = kinds.groupBy("doc_id", "h").agg(F.collect_list(F.struct("anchor", "a", "b", "d")).alias("at"))
