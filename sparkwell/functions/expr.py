@@ -85,9 +85,10 @@ def erf(x: Column | float) -> Column:
 
 def uniform(seed: int, *keys: Column | str) -> Column:
     """A uniform number in [0, 1) that depends on the keys and the seed only, not
-    on how rows are partitioned."""
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[col(k) for k in keys]), 11)
-    return bits.cast("double") / float(1 << 53)
+    on how rows are partitioned: the first 52 bits of the MD5 digest of seed and
+    keys as text, so that any SQL engine draws the same.  A null key is left out."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
 def normal(seed: int, *keys: Column | str) -> Column:

@@ -35,17 +35,18 @@ def poisson(df: DataFrame, key: str, pik: str, seed: int) -> DataFrame:
     return df.where(uniform(seed, key) < clean(pik))
 
 
-def conditional_poisson(df: DataFrame, key: str, pik: str, n: int, seed: int, tries: int = 64) -> DataFrame:
-    """The first of ``tries`` Poisson samples that has ``n`` rows; their sizes are
-    counted in one job.  If none has, the closest one, filled up or cut by the
-    smallest numbers."""
-    draws = [uniform(seed * 4099 + t, key) < clean(pik) for t in range(tries)]
-    sizes = df.agg(*[F.coalesce(F.sum(d.cast("int")), F.lit(0)).alias(f"s{t}") for t, d in enumerate(draws)]).first()
-    t = min(range(tries), key=lambda i: (abs(sizes[i] - n), i))
-    if sizes[t] == n:
-        return df.where(draws[t])
-    u = uniform(seed * 4099 + t, key)
-    return df.withColumn("_u", u / F.nullif(clean(pik), F.lit(0.0))).where("_u IS NOT NULL").orderBy("_u", key).limit(n).drop("_u")
+def conditional_poisson(df: DataFrame, key: str, pik: str, n: int, seed: int, tries: int = 64, rounds: int = 32) -> DataFrame:
+    """A Poisson sample given that it has ``n`` rows, by rejection: the first of
+    the samples drawn in turn that has that size.  The sizes of ``tries`` samples
+    are counted in one job; if none fits, the next ``tries`` are drawn.  The
+    shares should add up to about ``n``; ValueError if no sample in ``rounds``
+    jobs fits."""
+    for first in range(0, tries * rounds, tries):
+        draws = [uniform(seed * 4099 + t, key) < clean(pik) for t in range(first, first + tries)]
+        sizes = list(df.agg(*[F.coalesce(F.sum(d.cast("int")), F.lit(0)).alias(f"s{t}") for t, d in enumerate(draws)]).first())
+        if n in sizes:
+            return df.where(draws[sizes.index(n)])
+    raise ValueError(f"no sample of {n} rows among {tries * rounds}")
 
 
 def pareto(df: DataFrame, key: str, pik: str, n: int, seed: int) -> DataFrame:

@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distances, distributions, kernels, qubit, special, vectors
-from ..functions.expr import erf, log_gamma
+from ..functions.expr import erf, log_gamma, uniform
 from ..operators import cluster, descriptive, glm, iforest, linear, neighbors, networks, optimize, quantiles, sampling, tables, textdist, timeseries, trees
 from ..sources.dictionary import describe, dictionary
 from ..sources.store import Graph, load_model, save_model, shared_folder, table
 from ..streaming import online
+from . import fits_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -290,7 +291,14 @@ add(
 c AS (SELECT bins, least(floor(z * bins), bins - 1) i, count(*) c, any_value(n) n FROM v, range(1, 31) t(bins) GROUP BY 1, 2)
 SELECT bins, round(sum(c * ln(c * bins / n)) - (bins - 1 + pow(ln(bins), 2.5)), 3) + 0.0::DOUBLE AS likelihood FROM c GROUP BY bins""",
 )
-add("histogram_best", lambda s, d: rounded(tables.best_histogram(table(s, d, "lineitem"), "l_quantity", 30)))
+add(
+    "histogram_best",
+    lambda s, d: rounded(tables.best_histogram(table(s, d, "lineitem"), "l_quantity", 30)),
+    """WITH k AS (SELECT min(l_quantity) a, max(l_quantity) b, count(*)::DOUBLE n FROM lineitem), v AS (SELECT l_quantity q, (l_quantity - a) / (b - a) z, a, b, n FROM lineitem, k),
+c AS (SELECT bins, least(floor(z * bins), bins - 1) i, count(*) c, any_value(n) n FROM v, range(1, 31) t(bins) GROUP BY 1, 2),
+l AS (SELECT bins, sum(c * ln(c * bins / n)) - (bins - 1 + pow(ln(bins), 2.5)) l FROM c GROUP BY bins), m AS (SELECT bins FROM l ORDER BY l DESC, bins LIMIT 1)
+SELECT least(floor((q - a) / ((b - a) / bins)), bins - 1)::BIGINT AS bin, count(*) AS count, round(count(*) / (any_value(n) * any_value((b - a) / bins)), 6) AS density FROM v, m GROUP BY 1""",
+)
 add(
     "pack_unpack_bits",
     lambda s, d: table(s, d, "part").select("p_partkey", special.pack_bits(special.unpack_bits(F.col("p_partkey"), 64)).alias("packed"), F.concat_ws("", special.unpack_bits(F.col("p_size"), 8)).alias("bits8"), F.concat_ws("", special.unpack_bits(F.col("p_size"), 16)).alias("bits16"), F.concat_ws("", special.unpack_bits(F.col("p_partkey"), 32)).alias("bits32")),
@@ -653,11 +661,27 @@ add(
 r AS (SELECT sum(pow(l_extendedprice - a - b * l_quantity, 2)) / (any_value(n) - 2) s2 FROM lineitem, k), d AS (SELECT s2, n, sx, sxx, n * sxx - sx * sx det FROM k, r)
 SELECT 0 AS i, 0 AS j, round(s2 * sxx / det, 3) AS v FROM d UNION ALL SELECT 0, 1, round(-s2 * sx / det, 3) FROM d UNION ALL SELECT 1, 0, round(-s2 * sx / det, 3) FROM d UNION ALL SELECT 1, 1, round(s2 * n / det, 3) FROM d""",
 )
-add("logit", lambda s, d: _coefficients(s, glm.logit(table(s, d, "lineitem"), _step_y(), [_one(), _step_x()], 10).coefficients, 5))
-for _family in ("poisson", "gamma", "negative_binomial", "inverse_gaussian"):
-    add(f"log_link_{_family}", lambda s, d, f=_family: _coefficients(s, glm.log_link(table(s, d, "lineitem"), F.col("l_extendedprice") / 40000 + 0.5, [_one(), F.col("l_quantity") / 50], f, 30).coefficients, 5))
-add("least_absolute", lambda s, d: _coefficients(s, glm.least_absolute(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_one(), _step_x()], None, 10).coefficients, 3))
-add("least_absolute_weighted", lambda s, d: _coefficients(s, glm.least_absolute(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_one(), _step_x()], F.col("l_tax") + 0.5, 10).coefficients, 3))
+add(
+    "logit",
+    lambda s, d: _coefficients(s, glm.logit(table(s, d, "lineitem"), _step_y(), [_one(), _step_x()], 10).coefficients, 5),
+    fits_sql.newton("SELECT (l_quantity - 25) / 25 x, (l_extendedprice > 40000)::INT::DOUBLE y FROM lineitem", "4 * y - 2", "1 / (1 + exp(-e_))", "m * (1 - m)", 10),
+)
+for _family, _curve in (("poisson", "m"), ("gamma", "m * m"), ("negative_binomial", "m + m * m"), ("inverse_gaussian", "m * m * m")):
+    add(
+        f"log_link_{_family}",
+        lambda s, d, f=_family: _coefficients(s, glm.log_link(table(s, d, "lineitem"), F.col("l_extendedprice") / 40000 + 0.5, [_one(), F.col("l_quantity") / 50], f, 30).coefficients, 5),
+        fits_sql.newton("SELECT l_quantity / 50 x, l_extendedprice / 40000 + 0.5::DOUBLE y FROM lineitem", "CASE WHEN y > 1 THEN ln(y) ELSE y - 1 END", "exp(e_)", _curve, 30),
+    )
+add(
+    "least_absolute",
+    lambda s, d: _coefficients(s, glm.least_absolute(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_one(), _step_x()], None, 10).coefficients, 3),
+    fits_sql.least_absolute("SELECT (l_quantity - 25) / 25 x, l_extendedprice / 1000 y, 1.0::DOUBLE w0 FROM lineitem", 10, 3),
+)
+add(
+    "least_absolute_weighted",
+    lambda s, d: _coefficients(s, glm.least_absolute(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_one(), _step_x()], F.col("l_tax") + 0.5, 10).coefficients, 3),
+    fits_sql.least_absolute("SELECT (l_quantity - 25) / 25 x, l_extendedprice / 1000 y, l_tax + 0.5::DOUBLE w0 FROM lineitem", 10, 3),
+)
 add("forward_stagewise", lambda s, d: _coefficients(s, glm.forward_stagewise(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_step_x(), "l_discount", "l_tax"], 30.0).coefficients, 5))
 add("forward_stagewise_bic", lambda s, d: _coefficients(s, glm.forward_stagewise(table(s, d, "lineitem"), F.col("l_extendedprice") / 1000, [_step_x(), "l_discount", "l_tax"]).coefficients, 5))
 
@@ -665,7 +689,7 @@ add("forward_stagewise_bic", lambda s, d: _coefficients(s, glm.forward_stagewise
 def _capture(n_lists: int) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
         rows = table(s, d, "customer").select(
-            ((F.col("c_acctbal") - 4500) / 5500).alias("x"), *[(F.pmod(F.xxhash64("c_custkey", F.lit(i)), F.lit(10)) < 6 - i).cast("double").alias(f"y{i}") for i in range(n_lists)]
+            ((F.col("c_acctbal") - 4500) / 5500).alias("x"), *[(uniform(i, "c_custkey") < 0.6 - 0.1 * i).cast("double").alias(f"y{i}") for i in range(n_lists)]
         )
         lists = [(f"y{i}", [_one(), F.col("x")]) for i in range(n_lists)]
         betas = glm.capture_recapture(rows, lists, 40, 0.05)
@@ -675,8 +699,9 @@ def _capture(n_lists: int) -> Query:
     return run
 
 
-add("capture_recapture_two", _capture(2))
-add("capture_recapture_three", _capture(3))
+for _name, _n in (("two", 2), ("three", 3)):
+    _on = ", ".join(f"({fits_sql.uniform(i, 'c_custkey')} < {0.6 - 0.1 * i!r}::DOUBLE)::INT::DOUBLE y{i}" for i in range(_n))
+    add(f"capture_recapture_{_name}", _capture(_n), fits_sql.capture_recapture(f"SELECT (c_acctbal - 4500) / 5500 x, {_on} FROM customer", _n, 40, 0.05, 0.01))
 
 # Linear algebra.
 
@@ -771,8 +796,12 @@ add(
     lambda s, d: _coefficients(s, timeseries.fit_ar(_epoch(_daily(s, d)), "x", "day", 1).ar),
     _DAYN + ', c AS (SELECT "day", x - (SELECT avg(x) FROM t) z FROM t), l AS (SELECT z, lag(z) OVER (ORDER BY "day") y FROM c) SELECT 0 AS term, round(sum(z * y) / sum(y * y), 6) + 0.0::DOUBLE AS coefficient FROM l WHERE y IS NOT NULL',
 )
-add("ar_3", lambda s, d: _coefficients(s, timeseries.fit_ar(_epoch(_daily(s, d)), "x", "day", 3).ar))
-add("ma_1", lambda s, d: _coefficients(s, timeseries.fit_ma(_epoch(_daily(s, d)), "x", "day", 1, 4).ma, 4))
+add("ar_3", lambda s, d: _coefficients(s, timeseries.fit_ar(_epoch(_daily(s, d)), "x", "day", 3).ar), fits_sql.three_lags(_DAYN))
+add(
+    "ma_1",
+    lambda s, d: _coefficients(s, timeseries.fit_ma(_epoch(_daily(s, d)), "x", "day", 1, 4).ma, 4),
+    _DAYN + ", c AS (SELECT \"day\", x - (SELECT avg(x) FROM t) z FROM t), " + ", ".join(fits_sql.moving_average("c", 4)) + " SELECT 0 AS term, round(q, 4) + 0.0::DOUBLE AS coefficient FROM h4",
+)
 
 
 def _arma(s: SparkSession, d: str) -> DataFrame:
@@ -780,7 +809,15 @@ def _arma(s: SparkSession, d: str) -> DataFrame:
     return _coefficients(s, np.concatenate([fit.ar, fit.ma]), 4)
 
 
-add("arma_1_1", _arma)
+add(
+    "arma_1_1",
+    _arma,
+    _DAYN
+    + """, k AS (SELECT "day", x - (SELECT avg(x) FROM t) z FROM t), y AS (SELECT "day", z, lag(z) OVER (ORDER BY "day") y FROM k),
+a AS MATERIALIZED (SELECT sum(z * y) / sum(y * y) p FROM y WHERE y IS NOT NULL), u AS (SELECT "day", z - p * y e FROM y, a WHERE y IS NOT NULL), c AS (SELECT "day", e - (SELECT avg(e) FROM u) z FROM u), """
+    + ", ".join(fits_sql.moving_average("c", 20))
+    + " SELECT 0 AS term, round(p, 4) + 0.0::DOUBLE AS coefficient FROM a UNION ALL SELECT 1, round(q, 4) + 0.0::DOUBLE FROM h20",
+)
 
 # Neighbours, smoothers, rank distances.
 
@@ -969,19 +1006,60 @@ def _units(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "customer").select("c_custkey", "c_acctbal", ((F.col("c_acctbal") + 1500) / 40000).alias("pik"))
 
 
-add("sample_with_replacement", lambda s, d: sampling.simple_with_replacement(_units(s, d), "c_custkey", 100, 1))
-add("sample_without_replacement", lambda s, d: sampling.simple_without_replacement(_units(s, d), "c_custkey", 100, 1))
-add("sample_poisson", lambda s, d: sampling.poisson(_units(s, d), "c_custkey", "pik", 1))
-add("sample_conditional_poisson", lambda s, d: sampling.conditional_poisson(_units(s, d), "c_custkey", "pik", 200, 1))
-add("sample_pareto", lambda s, d: sampling.pareto(_units(s, d), "c_custkey", "pik", 100, 1))
-add("sample_multinomial", lambda s, d: sampling.multinomial(_units(s, d), "c_custkey", "pik", 200, 1))
+_UNITS = "WITH u AS (SELECT c_custkey, c_acctbal, (c_acctbal + 1500) / 40000 AS pik FROM customer), "
+_u1 = fits_sql.uniform(1, "c_custkey")
+add(
+    "sample_with_replacement",
+    lambda s, d: sampling.simple_with_replacement(_units(s, d), "c_custkey", 100, 1),
+    _UNITS
+    + f"""n AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 t, count(*) OVER () n FROM u), d AS (SELECT floor({fits_sql.uniform(1, 'id')} * (SELECT count(*) FROM u)) t FROM range(0, 100) r(id))
+SELECT c_custkey, count(*) AS count FROM n JOIN d USING (t) GROUP BY 1""",
+)
+add("sample_without_replacement", lambda s, d: sampling.simple_without_replacement(_units(s, d), "c_custkey", 100, 1), _UNITS + f"v AS (SELECT *, {_u1} r FROM u ORDER BY r, c_custkey LIMIT 100) SELECT c_custkey, c_acctbal, pik FROM v")
+add("sample_poisson", lambda s, d: sampling.poisson(_units(s, d), "c_custkey", "pik", 1), _UNITS + f"v AS (SELECT * FROM u WHERE {_u1} < pik) SELECT * FROM v")
+
+
+def _twenty(s: SparkSession, d: str) -> DataFrame:
+    """Shares that add up to 20."""
+    rows = table(s, d, "customer").select("c_custkey", (F.col("c_acctbal") + 1500).alias("a"))
+    return rows.select("c_custkey", (F.col("a") * (20.0 / rows.agg(F.sum("a")).first()[0])).alias("pik"))
+
+
+add(
+    "sample_conditional_poisson",
+    lambda s, d: sampling.conditional_poisson(_twenty(s, d), "c_custkey", "pik", 20, 1).select("c_custkey"),
+    f"""WITH u AS (SELECT c_custkey, (c_acctbal + 1500) * (20.0::DOUBLE / (SELECT sum(c_acctbal + 1500) FROM customer)) pik FROM customer),
+v AS (SELECT t, c_custkey FROM u, range(0, 256) r(t) WHERE {fits_sql.uniform('4099 + t', 'c_custkey')} < pik)
+SELECT c_custkey FROM v WHERE t = (SELECT min(t) FROM (SELECT t FROM v GROUP BY t HAVING count(*) = 20))""",
+)
+add(
+    "sample_pareto",
+    lambda s, d: sampling.pareto(_units(s, d), "c_custkey", "pik", 100, 1),
+    _UNITS + f"v AS (SELECT *, {_u1} r FROM u), w AS (SELECT *, r * (1 - pik) / nullif(pik * (1 - r), 0) q FROM v) SELECT c_custkey, c_acctbal, pik FROM w WHERE q IS NOT NULL ORDER BY q, c_custkey LIMIT 100",
+)
+add(
+    "sample_multinomial",
+    lambda s, d: sampling.multinomial(_units(s, d), "c_custkey", "pik", 200, 1),
+    _UNITS
+    + f"""v AS (SELECT c_custkey, pik, sum(pik) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) hi FROM u WHERE pik > 0), d AS (SELECT {fits_sql.uniform(1, 'id')} * (SELECT sum(pik) FROM v) t FROM range(0, 200) r(id))
+SELECT c_custkey, count(*) AS count FROM v JOIN d ON t >= hi - pik AND t < hi GROUP BY 1""",
+)
 add(
     "sample_systematic",
-    lambda s, d: sampling.systematic(_units(s, d).withColumn("pik", F.lit(0.125)), "c_custkey", "pik", start=0.3).select("c_custkey"),
-    "WITH r AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) i FROM customer) SELECT c_custkey FROM r WHERE floor(i / 8 - 0.3::DOUBLE) > floor((i - 1) / 8 - 0.3::DOUBLE)",
+    lambda s, d: sampling.systematic(_units(s, d), "c_custkey", "pik", start=0.3).select("c_custkey"),
+    _UNITS + "v AS (SELECT c_custkey, pik, sum(pik) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) hi FROM u) SELECT c_custkey FROM v WHERE floor(hi - 0.3::DOUBLE) > floor(hi - pik - 0.3::DOUBLE)",
+)
+_ub = fits_sql.uniform(1, "c_custkey", "b")
+add(
+    "bootstrap_mean",
+    lambda s, d: rounded(sampling.bootstrap(table(s, d, "customer"), "c_custkey", "c_acctbal", 50, F.avg, 1), 4),
+    f"WITH v AS (SELECT b, c_acctbal x, {_ub} u FROM customer, range(0, 50) r(b)), n AS (SELECT b, x, {fits_sql.poisson_copies('u')} n FROM v) SELECT b::INT AS b, round(sum(n * x) / sum(n), 4) AS value FROM n GROUP BY b",
+)
+add(
+    "subsample_median",
+    lambda s, d: rounded(sampling.subsample(table(s, d, "customer"), "c_custkey", "c_acctbal", 256, 50, F.median, 1), 4),
+    f"SELECT b::INT AS b, round(median(c_acctbal), 4) AS value FROM customer, range(0, 50) r(b) WHERE {_ub} < 256 / (SELECT count(*) FROM customer)::DOUBLE GROUP BY b",
 )
-add("bootstrap_mean", lambda s, d: rounded(sampling.bootstrap(table(s, d, "customer"), "c_custkey", "c_acctbal", 50, F.avg, 1), 4))
-add("subsample_median", lambda s, d: rounded(sampling.subsample(table(s, d, "customer"), "c_custkey", "c_acctbal", 256, 50, F.median, 1), 4))
 add(
     "jackknife_mean",
     lambda s, d: rounded(sampling.jackknife_mean(table(s, d, "customer"), "c_acctbal"), 4),
@@ -1036,7 +1114,11 @@ add(
 SELECT n_nationkey, round(b * b, 6) AS identity, round(a * a, 6) AS x, round(a * a, 6) AS y, round(b * b, 6) AS z, round(0.5::DOUBLE, 6) AS sqrt_not, round(pow(a - b, 2) / 2, 6) AS hadamard,
 round(pow(b * cos(0.35), 2) + pow(a * sin(0.35), 2), 6) AS rx, round(pow(a * sin(0.35) + b * cos(0.35), 2), 6) AS ry, round(b * b, 6) AS rz, round(b * b, 6) AS phase FROM v""",
 )
-add("qubit_observation", lambda s, d: table(s, d, "nation").select("n_nationkey", qubit.observe(qubit.state(0.6, 0.0, 0.8, 0.0), 1, "n_nationkey").alias("seen")))
+add(
+    "qubit_observation",
+    lambda s, d: table(s, d, "nation").select("n_nationkey", qubit.observe(qubit.state(0.6, 0.0, 0.8, 0.0), 1, "n_nationkey").alias("seen")),
+    f"SELECT n_nationkey, ({fits_sql.uniform(1, 'n_nationkey')} < 0.8::DOUBLE * 0.8::DOUBLE)::INT AS seen FROM nation",
+)
 
 
 def _graph(s: SparkSession, d: str) -> DataFrame:
