@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .expr import erf, log_gamma, normal, num, uniform
+from .expr import bound, erf, log_gamma, normal, num, uniform
 
 Num = Column | float
 
@@ -40,16 +40,21 @@ def _sum_to(x: Column, term, first: Column | int = 0) -> Column:
 
 def _scan(p: Column, term, last: Column | float) -> Column:
     """Smallest whole number whose distribution function reaches ``p``."""
-    state = F.aggregate(
-        F.sequence(F.lit(0).cast("long"), num(last).cast("long")),
-        F.struct(F.lit(0.0).alias("s"), F.lit(-1.0).alias("q")),
-        lambda a, k: F.struct(
-            (a["s"] + term(k.cast("double"))).alias("s"),
-            F.when((a["q"] < 0) & (a["s"] + term(k.cast("double")) >= p - 1e-12), k.cast("double")).otherwise(a["q"]).alias("q"),
-        ),
-        lambda a: a["q"],
-    )
-    return _prob(p, F.when(state < 0, num(last)).otherwise(state))
+
+    def of(p: Column) -> Column:
+        def step(a: Column, k: Column) -> Column:
+            x = k.cast("double")
+            added = bound(a["s"] + term(x), lambda s: F.struct(s.alias("s"), F.when(s >= p - 1e-12, x).otherwise(F.lit(-1.0)).alias("q")))
+            return F.when(a["q"] >= 0, a).otherwise(added)
+
+        start = F.struct(F.lit(0.0).alias("s"), F.lit(-1.0).alias("q"))
+        return F.aggregate(F.sequence(F.lit(0).cast("long"), num(last).cast("long")), start, step, lambda a: a["q"])
+
+    def found(p: Column) -> Column:
+        state = bound(of(p), lambda q: F.when(q < 0, num(last)).otherwise(q))
+        return _prob(p, state)
+
+    return bound(p, found)
 
 
 # Bernoulli
@@ -284,17 +289,21 @@ def pcos(x: Num, m: Num, s: Num) -> Column:
 
 def qcos(p: Num, m: Num, s: Num, steps: int = 60) -> Column:
     """By halving the interval."""
-    p, m, s = num(p), num(m), num(s)
-    half = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.struct(F.lit(-math.pi).alias("a"), F.lit(math.pi).alias("b")),
-        lambda z, _: F.when(
-            math.pi + (z["a"] + z["b"]) / 2 + F.sin((z["a"] + z["b"]) / 2) < 2 * math.pi * p,
-            F.struct(((z["a"] + z["b"]) / 2).alias("a"), z["b"].alias("b")),
-        ).otherwise(F.struct(z["a"].alias("a"), ((z["a"] + z["b"]) / 2).alias("b"))),
-        lambda z: (z["a"] + z["b"]) / 2,
-    )
-    return _prob(p, m + s * half)
+    m, s = num(m), num(s)
+
+    def halved(p: Column) -> Column:
+        half = F.aggregate(
+            F.sequence(F.lit(1), F.lit(steps)),
+            F.struct(F.lit(-math.pi).alias("a"), F.lit(math.pi).alias("b")),
+            lambda z, _: F.when(
+                math.pi + (z["a"] + z["b"]) / 2 + F.sin((z["a"] + z["b"]) / 2) < 2 * math.pi * p,
+                F.struct(((z["a"] + z["b"]) / 2).alias("a"), z["b"].alias("b")),
+            ).otherwise(F.struct(z["a"].alias("a"), ((z["a"] + z["b"]) / 2).alias("b"))),
+            lambda z: (z["a"] + z["b"]) / 2,
+        )
+        return _prob(p, m + s * half)
+
+    return bound(num(p), halved)
 
 
 def rcos(m: Num, s: Num, seed: int, *keys) -> Column:
@@ -513,12 +522,18 @@ def rgamma(alpha: Num, beta: Num, seed: int, *keys, tries: int = 16) -> Column:
     a = num(alpha)
     d = F.when(a < 1, a + 1).otherwise(a) - 1 / 3
     c = 1 / F.sqrt(9 * d)
-    out = F.lit(None).cast("double")
-    for i in reversed(range(tries)):
-        z, u = normal(seed * 101 + i, *keys), F.greatest(uniform(seed * 103 + 7 * i + 1, *keys), F.lit(1e-300))
-        v = F.pow(1 + c * z, F.lit(3.0))
-        taken = (v > 0) & (F.log(u) < 0.5 * z * z + d - d * v + d * F.log(F.when(v > 0, v).otherwise(F.lit(1.0))))
-        out = F.when(taken, d * v).otherwise(out)
+
+    def candidate(i: Column) -> Column:
+        u = F.log(F.greatest(uniform(seed * 103 + 1 + 7 * i, *keys), F.lit(1e-300)))
+
+        def taken(z: Column) -> Column:
+            v = F.pow(1 + c * z, F.lit(3.0))
+            return F.when((v > 0) & (u < 0.5 * z * z + d - d * v + d * F.log(F.when(v > 0, v).otherwise(F.lit(1.0)))), d * v)
+
+        # the normal number is bound to a variable, else it is drawn at each place
+        return F.get(F.transform(F.array(normal(seed * 101 + i, *keys)), taken), 0)
+
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(tries - 1)), F.lit(None).cast("double"), lambda got, i: F.coalesce(got, candidate(i)))
     boost = F.when(a < 1, F.pow(F.greatest(uniform(seed * 107 + 3, *keys), F.lit(1e-300)), 1 / a)).otherwise(F.lit(1.0))
     return num(beta) * boost * F.coalesce(out, d)
 

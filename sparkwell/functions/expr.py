@@ -83,15 +83,21 @@ def erf(x: Column | float) -> Column:
     return F.when(z >= 6, F.signum(x)).otherwise(F.signum(x) * F.lit(2 / math.sqrt(math.pi)) * F.exp(-z * z) * step)
 
 
-def uniform(seed: int, *keys: Column | str) -> Column:
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once, wherever and how often ``f``,
+    or a loop in it, reads it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def uniform(seed: int | Column, *keys: Column | str) -> Column:
     """A uniform number in [0, 1) that depends on the keys and the seed only, not
     on how rows are partitioned: the first 52 bits of the MD5 digest of seed and
     keys as text, so that any SQL engine draws the same.  A null key is left out."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
+    text = F.concat_ws("|", seed.cast("string") if isinstance(seed, Column) else F.lit(str(seed)), *[col(k).cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long").cast("double") / float(1 << 52)
 
 
-def normal(seed: int, *keys: Column | str) -> Column:
+def normal(seed: int | Column, *keys: Column | str) -> Column:
     """A standard normal number, likewise."""
     u = F.greatest(uniform(2 * seed, *keys), F.lit(1e-300))
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * uniform(2 * seed + 1, *keys))

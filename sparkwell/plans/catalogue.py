@@ -560,63 +560,38 @@ add(
 
 def _draws(s: SparkSession, d: str) -> DataFrame:
     k = "event_id"
-    return table(s, d, "events").select(
-        k, D.rbern(0.3, 1, k).alias("bernoulli"), D.rbinom(20, 0.4, 2, k).alias("binomial"), D.rgeom(0.2, 3, k).alias("geometric"), D.rhyper(6, 7, 5, 4, k).alias("hypergeometric"),
-        D.rpois(3.0, 5, k).alias("poisson"), D.runif(1, 3, 6, k).alias("uniform"), D.rexp(2.0, 7, k).alias("exponential"), D.rlaplace(0, 1, 8, k).alias("laplace"), D.rlogis(0, 1, 9, k).alias("logistic"),
-        D.rcauchy(0, 1, 10, k).alias("cauchy"), D.rcos(0, 1, 11, k).alias("raised_cosine"), D.rtriang(0, 1, 12, k).alias("triangular"), D.rnorm(0, 1, 13, k).alias("normal"), D.rlnorm(0, 1, 14, k).alias("lognormal"),
-        D.rgamma(2.0, 1.5, 15, k).alias("gamma"), D.rbeta(2.0, 3.0, 16, k).alias("beta"), D.rdirichlet([1.0, 2.0], 17, k).alias("dirichlet"), D.runifsimplex(3, 18, k).alias("simplex"),
+    dirichlet, simplex = D.rdirichlet([1.0, 2.0], 17, k), D.runifsimplex(3, 18, k)
+    return rounded(
+        table(s, d, "events").select(
+            k, D.rbern(0.3, 1, k).alias("bernoulli"), D.rbinom(20, 0.4, 2, k).alias("binomial"), D.rgeom(0.2, 3, k).alias("geometric"), D.rhyper(6, 7, 5, 4, k).alias("hypergeometric"),
+            D.rpois(3.0, 5, k).alias("poisson"), D.runif(1, 3, 6, k).alias("uniform"), D.rexp(2.0, 7, k).alias("exponential"), D.rlaplace(0, 1, 8, k).alias("laplace"), D.rlogis(0, 1, 9, k).alias("logistic"),
+            D.pcauchy(D.rcauchy(0, 1, 10, k), 0, 1).alias("cauchy_share"), D.pcos(D.rcos(0, 1, 11, k), 0, 1).alias("raised_cosine_share"), D.rtriang(0, 1, 12, k).alias("triangular"), D.rnorm(0, 1, 13, k).alias("normal"), D.rlnorm(0, 1, 14, k).alias("lognormal"),
+            D.rgamma(2.0, 1.5, 15, k).alias("gamma"), D.rbeta(2.0, 3.0, 16, k).alias("beta"), *[F.get(dirichlet, i).alias(f"dirichlet_{i}") for i in range(2)], *[F.get(simplex, i).alias(f"simplex_{i}") for i in range(3)],
+        )
     )
 
 
-add("distribution_draws", _draws)
-
-# Special functions.
-
-add(
-    "special_functions",
-    lambda s, d: rounded(
-        _grid(s, d).select(
-            "q",
-            F.log(special.factorial(_c("q"))).alias("log_factorial"), (special.stirling(_c("q")) / special.factorial(_c("q"))).alias("stirling"), (special.gosper(_c("q")) / special.factorial(_c("q"))).alias("gosper"),
-            special.log_beta(_c("q"), 2.5).alias("log_beta"), F.log(special.binom_coefficient(60, _c("q"))).alias("log_binom"), log_gamma(_c("p")).alias("log_gamma"), erf(_c("x")).alias("erf"),
-            special.deriv1(F.exp, _c("p")).alias("slope"), special.deriv2(F.exp, _c("p"), 1e-3).alias("curve"), special.deriv(F.sin, _c("p"), 3).alias("third"),
-            special.cubic_basis(_c("x"), 0.3).alias("cubic"), special.bernstein_poly(_c("p"), lambda t: t * t, 10).alias("bernstein"),
-            special.eval_poly(_c("p"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))).alias("poly"), special.hard_clip(_c("x"), 0.5).alias("hard"), special.soft_clip(_c("x"), 0.5).alias("soft"),
-            special.jl_dimension(0.2, _c("q") + 1).alias("jl_dim"), special.jl_epsilon(100, _c("q") + 1).alias("jl_eps"),
-        ),
-        3,
-    ),
-    _Z + f"""SELECT q, round(lgamma(q + 1), 3) AS log_factorial, round(sqrt(2 * pi() * q) * pow(q / exp(1), q) / exp(lgamma(q + 1)), 3) AS stirling, round(sqrt((2 * q + 1.0::DOUBLE / 3) * pi()) * pow(q / exp(1), q) / exp(lgamma(q + 1)), 3) AS gosper,
-round(lgamma(q) + lgamma(2.5) - lgamma(q + 2.5), 3) AS log_beta, round({_LOGC.format('60', 'q')}, 3) AS log_binom, round(lgamma(p), 3) AS log_gamma, round({_ERF.format('x')}, 3) + 0.0::DOUBLE AS erf,
-round(exp(p), 3) AS slope, round(exp(p), 3) AS curve, round(-cos(p), 3) + 0.0::DOUBLE AS third, round(pow(greatest(0, x - 0.3), 3), 3) AS cubic, round(p * p + p * (1 - p) / 10, 3) AS bernstein,
-round(1 + p + p * p / 2, 3) AS poly, round(least(0.5, greatest(-0.5, x)), 3) + 0.0::DOUBLE AS hard, round(0.5 * tanh(x / 0.5), 3) + 0.0::DOUBLE AS soft, ceil(8 * ln(q + 1) / (0.2::DOUBLE * 0.2))::BIGINT AS jl_dim, round(sqrt(8 * ln(q + 1) / 100), 3) AS jl_eps FROM v""",
-)
-add(
-    "series_expansions",
-    lambda s, d: rounded(
-        _grid(s, d).select(
-            "q",
-            special.eval_power_series(_c("p"), special.maclaurin_coefficients(math.exp, 4)).alias("maclaurin"),
-            special.eval_power_series(_c("p"), special.taylor_coefficients(math.exp, 4, 0.5), 0.5).alias("taylor"),
-            special.eval_fourier(_c("x"), special.fourier_coefficients(lambda t: t * t, 5)).alias("fourier"),
-            sum((special.bspline_basis(_c("p"), i, 4, [0, 0, 0, 0, 0.5, 1, 1, 1, 1]) for i in range(5)), F.lit(0.0)).alias("bspline_unity"),
-            special.bspline_basis(_c("p"), 0, 2, [0, 0.5, 1]).alias("bspline_linear"),
-        ),
-        3,
-    ),
-    _Z + """SELECT q, round(1 + p + p * p / 2 + pow(p, 3) / 6 + pow(p, 4) / 24, 3) AS maclaurin,
-round(exp(0.5) * (1 + (p - 0.5) + pow(p - 0.5, 2) / 2 + pow(p - 0.5, 3) / 6 + pow(p - 0.5, 4) / 24), 3) AS taylor,
-round(pi() * pi() / 3 + list_sum(list_transform(range(1, 6), lambda k: 4 * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * cos(k * x) / (k * k))), 3) AS fourier,
-1.0::DOUBLE AS bspline_unity, round(CASE WHEN p < 0.5 THEN p / 0.5 ELSE (1 - p) / 0.5 END, 3) AS bspline_linear FROM v""",
-)
-
-# Linear models.
-
-
-def _coefficients(s: SparkSession, beta: np.ndarray, digits: int = 6) -> DataFrame:
-    return rounded(s.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "term int, coefficient double"), digits)
+def _draws_sql() -> str:
+    k = "event_id"
+    u = {n: fits_sql.uniform(n, k) for n in range(1, 15)}
+    z = {n: fits_sql.normal(n, k) for n in (13, 14)}
+    g = {n: fits_sql.gamma(a, n, k) for n, a in ((15, 2.0), (32, 2.0), (33, 3.0), (527, 1.0), (528, 2.0))}
+    e = [f"(-ln(1 - {fits_sql.uniform(18 * 31 + i, k)}))" for i in range(3)]
+    binomial = [math.comb(20, i) * 0.4**i * 0.6 ** (20 - i) for i in range(21)]
+    hyper = [math.comb(6, i) * math.comb(7, 5 - i) / math.comb(13, 5) for i in range(6)]
+    poisson = [math.exp(-3) * 3**i / math.factorial(i) for i in range(40)]
+    columns = {
+        "bernoulli": f"({u[1]} < 0.3::DOUBLE)::INT", "binomial": fits_sql.first_above(u[2], binomial), "geometric": f"greatest(0, ceil(ln(1 - {u[3]}) / ln(0.8::DOUBLE) - 1 - 1e-12))",
+        "hypergeometric": fits_sql.first_above(u[4], hyper), "poisson": fits_sql.first_above(u[5], poisson), "uniform": f"1 + 2 * {u[6]}", "exponential": f"-ln(1 - {u[7]}) / 2",
+        "laplace": f"-0.5::DOUBLE * sign({u[8]} - 0.5::DOUBLE) * ln(1 - 2 * abs({u[8]} - 0.5::DOUBLE))", "logistic": f"ln({u[9]} / (1 - {u[9]}))", "cauchy_share": u[10], "raised_cosine_share": u[11],
+        "triangular": f"CASE WHEN {u[12]} < 0.5 THEN sqrt(2 * {u[12]}) - 1 ELSE 1 - sqrt(2 * (1 - {u[12]})) END", "normal": z[13], "lognormal": f"exp({z[14]})", "gamma": f"1.5::DOUBLE * {g[15]}",
+        "beta": f"{g[32]} / ({g[32]} + {g[33]})", "dirichlet_0": f"{g[527]} / ({g[527]} + {g[528]})", "dirichlet_1": f"{g[528]} / ({g[527]} + {g[528]})", **{f"simplex_{i}": f"{x} / ({' + '.join(e)})" for i, x in enumerate(e)},
+    }
+    whole = ("bernoulli",)
+    return f"SELECT {k}, " + ", ".join(f"{x} AS {n}" if n in whole else f"round({x}, 6) + 0.0::DOUBLE AS {n}" for n, x in columns.items()) + " FROM events"
 
 
+add("distribution_draws", _draws, _draws_sql())
 
 
 def _one() -> Column:

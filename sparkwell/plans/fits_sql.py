@@ -122,3 +122,29 @@ def poisson_copies(u: str) -> str:
         step /= k
         steps.append(f"({u} >= {below!r}::DOUBLE)::INT")
     return " + ".join(steps)
+
+
+def normal(seed: int | str, *keys: str) -> str:
+    """The number that ``functions.expr.normal`` draws."""
+    first, second = (f"(2 * ({seed}) + {i})" for i in (0, 1))
+    return f"sqrt(-2 * ln(greatest({uniform(first, *keys)}, 1e-300::DOUBLE))) * cos(2 * pi() * {uniform(second, *keys)})"
+
+
+def gamma(shape: float, seed: int, *keys: str) -> str:
+    """Marsaglia and Tsang's first candidate that is taken, for a shape of one or
+    more and scale one."""
+    d = shape - 1 / 3
+    v = f"pow(1 + {1 / math.sqrt(9 * d)!r}::DOUBLE * r.z, 3)"
+    drawn = f"{{'z': {normal(f'{seed * 101} + i', *keys)}, 'u': greatest({uniform(f'({seed * 103 + 1} + 7 * i)', *keys)}, 1e-300::DOUBLE)}}"
+    taken = f"{v} > 0 AND ln(r.u) < 0.5 * r.z * r.z + {d!r}::DOUBLE - {d!r}::DOUBLE * {v} + {d!r}::DOUBLE * ln(CASE WHEN {v} > 0 THEN {v} ELSE 1 END)"
+    found = f"list_transform(list_filter(list_transform(range(0, 16), lambda i: {drawn}), lambda r: {taken}), lambda r: {d!r}::DOUBLE * {v})"
+    return f"coalesce({found}[1], {d!r}::DOUBLE)"
+
+
+def first_above(u: str, probabilities: list[float]) -> str:
+    """The smallest whole number whose distribution function reaches ``u``."""
+    below, total = [], 0.0
+    for p in probabilities[:-1]:
+        total += p
+        below.append(f"({u} > {total + 1e-12!r}::DOUBLE)::INT")
+    return "(" + " + ".join(below) + ")::DOUBLE"
