@@ -3,13 +3,20 @@ solves what is left, whose size is the number of columns."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clean, col
 
 
+#: Columns beyond which sums are not spelled out one by one.
+WIDE = 16
+
+
 def gram(df: DataFrame, columns: list[Column | str], weight: Column | str | None = None) -> np.ndarray:
     """Matrix of the (weighted) sums of products of the columns; rows with a
     missing value are left out.  ``p (p + 1) / 2`` sums in one job."""
@@ -17,6 +24,8 @@ def gram(df: DataFrame, columns: list[Column | str], weight: Column | str | None
     w = clean(weight) if weight is not None else F.lit(1.0)
     rows = df.select(*[c.alias(f"c{i}") for i, c in enumerate(parts)], w.alias("w")).dropna()
     p = len(parts)
+    if p > WIDE:
+        return _wide_gram(rows, p)
     sums = [F.sum(F.col("w") * F.col(f"c{i}") * F.col(f"c{j}")).alias(f"s{i}_{j}") for i in range(p) for j in range(i, p)]
     row = rows.agg(*sums).first()
     out = np.zeros((p, p))
@@ -26,6 +35,24 @@ def gram(df: DataFrame, columns: list[Column | str], weight: Column | str | None
     return out
 
 
+def _wide_gram(rows: DataFrame, p: int) -> np.ndarray:
+    """The same sums by matrix products of Arrow batches.  Each task adds up its
+    own and gives one row for each pair of columns."""
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((p, p))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            total += x[:, :p].T @ (x[:, :p] * x[:, p:])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(p * p), pa.int32()), pa.array(total.ravel())], ["k", "s"])
+
+    sums = rows.mapInArrow(summed, "k int, s double").groupBy("k").agg(F.sum("s").alias("s")).collect()
+    out = np.zeros(p * p)
+    for r in sums:
+        out[r["k"]] = r["s"]
+    return out.reshape(p, p)
+
+
 def matrix_frame(spark, m: np.ndarray) -> DataFrame:
     """``i``, ``j``, ``v`` of a small matrix."""
     m = np.atleast_2d(m)
@@ -51,9 +78,11 @@ def qr_q(df: DataFrame, columns: list[str], prefix: str = "q") -> DataFrame:
 
 def outer_product(df: DataFrame, key: str, columns: list[str], queries: DataFrame) -> DataFrame:
     """Rows of ``X X'`` for the rows of ``queries``: ``key``, ``query``, ``v``."""
-    other = queries.select(F.col(key).alias("query"), *[F.col(c).alias(f"_{c}") for c in columns])
-    product = sum((F.col(c) * F.col(f"_{c}") for c in columns), F.lit(0.0))
-    return df.crossJoin(other).select(key, "query", product.alias("v"))  # a stated query set against all rows
+    from .neighbors import pairs
+
+    other = queries.select(F.col(key).alias("query"), F.struct(*columns).alias("q"))
+    product = sum((F.col(c) * F.col("q")[c] for c in columns), F.lit(0.0))
+    return pairs(other, df).select(key, "query", product.alias("v"))
 
 
 def covariance(df: DataFrame, columns: list[str]) -> np.ndarray:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 Metric = Callable[[Column, Column], Column]
 #: Queries in a block that is sent to all executors.
 MOST_QUERIES = 10_000
+#: Nodes of a polynomial.
+MOST_NODES = 1000
 
 
 def _blocks(queries: DataFrame) -> list[DataFrame]:
@@ -23,6 +25,16 @@ def _blocks(queries: DataFrame) -> list[DataFrame]:
     return [queries.where(F.pmod(F.xxhash64("query"), F.lit(k)) == i) for i in range(k)] if k > 1 else [queries]
 
 
+def pairs(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """Every row with every query (``query``, ``q``), block by block: no more than
+    about ``MOST_QUERIES`` queries are sent to the executors at once."""
+    out = None
+    for block in _blocks(queries):
+        both = rows.crossJoin(F.broadcast(block.select("query", "q")))
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
 def nearest(queries: DataFrame, rows: DataFrame, k: int, metric: Metric, keep: list[str] | None = None) -> DataFrame:
     """``query``, ``id``, ``distance``, ``rank`` and ``keep`` of the ``k`` nearest
     rows; equal distances go by ``id``.
@@ -65,26 +77,21 @@ def knn_classification(queries: DataFrame, rows: DataFrame, k: int, metric: Metr
 
 def nearest_one(queries: DataFrame, rows: DataFrame, metric: Metric) -> DataFrame:
     """``query``, ``id``, ``distance`` of the nearest row, by a partial minimum."""
-    out = None
-    for block in _blocks(queries):
-        near = rows.crossJoin(F.broadcast(block.select("query", "q")))
-        near = near.select("query", F.struct(metric(F.col("x"), F.col("q")).alias("distance"), "id").alias("c"))
-        best = near.groupBy("query").agg(F.min("c").alias("c")).select("query", "c.id", "c.distance")
-        out = best if out is None else out.unionByName(best)
-    return out
+    near = pairs(queries, rows).select("query", F.struct(metric(F.col("x"), F.col("q")).alias("distance"), "id").alias("c"))
+    return near.groupBy("query").agg(F.min("c").alias("c")).select("query", "c.id", "c.distance")
 
 
 def local_average(queries: DataFrame, rows: DataFrame, kernel: Callable[[Column], Column], width: float, y: str = "y") -> DataFrame:
     """Nadaraya and Watson's estimate ``query``, ``prediction``.  Coordinates that
     are missing on either side are left out and the distance scaled up for them."""
-    pairs = rows.crossJoin(F.broadcast(queries.select("query", "q")))
+    both = pairs(queries, rows)
     d = F.zip_with("x", "q", lambda a, b: F.when(~F.isnan(a - b), (a - b) * (a - b)))
     usable = F.filter(d, lambda v: v.isNotNull())
     total = F.aggregate(usable, F.lit(0.0), lambda s, v: s + v)
     distance = F.sqrt(total * F.size("x") / F.nullif(F.size(usable), F.lit(0)))
     k = kernel(distance / width)
     return (
-        pairs.select("query", k.alias("k"), F.col(y).alias("y"))
+        both.select("query", k.alias("k"), F.col(y).alias("y"))
         .groupBy("query")
         .agg((F.sum(F.col("k") * F.col("y")) / F.nullif(F.sum("k"), F.lit(0.0))).alias("prediction"))
     )
@@ -92,10 +99,10 @@ def local_average(queries: DataFrame, rows: DataFrame, kernel: Callable[[Column]
 
 def local_linear(queries: DataFrame, rows: DataFrame, kernel: Callable[[Column], Column], width: float, x: str = "x", y: str = "y") -> DataFrame:
     """Local line at each query of one coordinate: ``query``, ``prediction``."""
-    pairs = rows.select(F.col(x).alias("x"), F.col(y).alias("y")).crossJoin(F.broadcast(queries.select("query", "q")))
+    both = pairs(queries, rows.select(F.col(x).alias("x"), F.col(y).alias("y")))
     z = F.col("x") - F.col("q")
     k = kernel(z / width)
-    s = pairs.select("query", k.alias("k"), z.alias("z"), "y").groupBy("query").agg(
+    s = both.select("query", k.alias("k"), z.alias("z"), "y").groupBy("query").agg(
         F.sum("k").alias("s0"),
         F.sum(F.col("k") * F.col("z")).alias("s1"),
         F.sum(F.col("k") * F.col("z") * F.col("z")).alias("s2"),
@@ -109,7 +116,10 @@ def local_linear(queries: DataFrame, rows: DataFrame, kernel: Callable[[Column],
 
 def lagrange(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Lagrange's polynomial through ``nodes`` (``x``, ``y``; a bounded set in
-    [-1, 1]) at ``queries`` (``query``, ``q``): ``query``, ``value``; null outside."""
+    [-1, 1]) at ``queries`` (``query``, ``q``): ``query``, ``value``; null outside.
+    ValueError if there are more than ``MOST_NODES``."""
+    if nodes.count() > MOST_NODES:
+        raise ValueError(f"more than {MOST_NODES} nodes")
     other = nodes.select(F.col("x").alias("x2"))
     basis = queries.crossJoin(F.broadcast(nodes)).crossJoin(F.broadcast(other)).where("x <> x2")
     term = basis.groupBy("query", "q", "x", "y").agg(F.product((F.col("q") - F.col("x2")) / (F.col("x") - F.col("x2"))).alias("l"))

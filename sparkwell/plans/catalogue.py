@@ -337,12 +337,22 @@ SELECT c_custkey, round((c_acctbal - m) / ((b - a) / 1.3489795003921634::DOUBLE)
 
 # Distances and norms of embeddings from the first one.
 
-_E = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) x FROM embeddings), p AS (SELECT x y FROM e WHERE vec_id = 0) "
+_E = "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) x FROM embeddings), p AS (SELECT vec_id query, x y FROM e WHERE vec_id % 20 = 0) "
 
 
 def _vectors(s: SparkSession, d: str) -> DataFrame:
+    """All vectors with every twentieth as the query."""
     e = table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
-    return e.crossJoin(F.broadcast(e.where("vec_id = 0").select(F.col("x").alias("y"))))  # one row
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("x").alias("q"))
+    return neighbors.pairs(queries, e).withColumnRenamed("q", "y")
+
+
+#: Queries on single vectors.
+_SINGLE = {"l0_norm", "l1_norm", "l2_norm", "linf_norm", "lp_norm", "vector_mean", "vector_normalize", "determinant_2x2", "determinant_3x3"}
+
+
+def _single(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
 
 
 def _sum2(body: str) -> str:
@@ -392,14 +402,14 @@ for _name, _col, _sql in (
 ):
     add(
         f"distance_{_name}" if "norm" not in _name and "vector" not in _name and "det" not in _name and "jl" not in _name else _name,
-        lambda s, d, c=_col: rounded(_vectors(s, d).select("vec_id", c().alias("value"))),
-        _E + f"SELECT vec_id, round({_sql}, 6) + 0.0::DOUBLE AS value FROM e, p",
+        lambda s, d, c=_col, n=_name: rounded(_single(s, d).select("vec_id", c().alias("value")) if n in _SINGLE else _vectors(s, d).select("vec_id", "query", c().alias("value"))),
+        _E + (f"SELECT vec_id, round({_sql}, 6) + 0.0::DOUBLE AS value FROM e" if _name in _SINGLE else f"SELECT vec_id, query, round({_sql}, 6) + 0.0::DOUBLE AS value FROM e, p"),
     )
 add(
     "distance_aitchison",
-    lambda s, d: rounded(_vectors(s, d).select("vec_id", _simplex(_c("x")).alias("x"), _simplex(_c("y")).alias("y")).select("vec_id", distances.aitchison(_c("x"), _c("y")).alias("value")), 5),
-    _E + f", z AS (SELECT vec_id, list_transform(list_zip({_SIMPLEX.format('x')}, {_SIMPLEX.format('y')}), lambda t: ln(t[1]) - ln(t[2])) x FROM e, p) "
-    f"SELECT vec_id, round(sqrt(greatest(0, len(x) * {_sum1('v * v')} - pow({_sum1('v')}, 2))), 5) + 0.0::DOUBLE AS value FROM z",
+    lambda s, d: rounded(_vectors(s, d).select("vec_id", "query", _simplex(_c("x")).alias("x"), _simplex(_c("y")).alias("y")).select("vec_id", "query", distances.aitchison(_c("x"), _c("y")).alias("value")), 5),
+    _E + f", z AS (SELECT vec_id, query, list_transform(list_zip({_SIMPLEX.format('x')}, {_SIMPLEX.format('y')}), lambda t: ln(t[1]) - ln(t[2])) x FROM e, p) "
+    f"SELECT vec_id, query, round(sqrt(greatest(0, len(x) * {_sum1('v * v')} - pow({_sum1('v')}, 2))), 5) + 0.0::DOUBLE AS value FROM z",
 )
 add(
     "distance_hamming_bits",
@@ -593,6 +603,54 @@ def _draws_sql() -> str:
 
 add("distribution_draws", _draws, _draws_sql())
 
+# Special functions.
+
+add(
+    "special_functions",
+    lambda s, d: rounded(
+        _grid(s, d).select(
+            "q",
+            F.log(special.factorial(_c("q"))).alias("log_factorial"), (special.stirling(_c("q")) / special.factorial(_c("q"))).alias("stirling"), (special.gosper(_c("q")) / special.factorial(_c("q"))).alias("gosper"),
+            special.log_beta(_c("q"), 2.5).alias("log_beta"), F.log(special.binom_coefficient(60, _c("q"))).alias("log_binom"), log_gamma(_c("p")).alias("log_gamma"), erf(_c("x")).alias("erf"),
+            special.deriv1(F.exp, _c("p")).alias("slope"), special.deriv2(F.exp, _c("p"), 1e-3).alias("curve"), special.deriv(F.sin, _c("p"), 3).alias("third"),
+            special.cubic_basis(_c("x"), 0.3).alias("cubic"), special.bernstein_poly(_c("p"), lambda t: t * t, 10).alias("bernstein"),
+            special.eval_poly(_c("p"), F.array(F.lit(1.0), F.lit(1.0), F.lit(1.0))).alias("poly"), special.hard_clip(_c("x"), 0.5).alias("hard"), special.soft_clip(_c("x"), 0.5).alias("soft"),
+            special.jl_dimension(0.2, _c("q") + 1).alias("jl_dim"), special.jl_epsilon(100, _c("q") + 1).alias("jl_eps"),
+        ),
+        3,
+    ),
+    _Z + f"""SELECT q, round(lgamma(q + 1), 3) AS log_factorial, round(sqrt(2 * pi() * q) * pow(q / exp(1), q) / exp(lgamma(q + 1)), 3) AS stirling, round(sqrt((2 * q + 1.0::DOUBLE / 3) * pi()) * pow(q / exp(1), q) / exp(lgamma(q + 1)), 3) AS gosper,
+round(lgamma(q) + lgamma(2.5) - lgamma(q + 2.5), 3) AS log_beta, round({_LOGC.format('60', 'q')}, 3) AS log_binom, round(lgamma(p), 3) AS log_gamma, round({_ERF.format('x')}, 3) + 0.0::DOUBLE AS erf,
+round(exp(p), 3) AS slope, round(exp(p), 3) AS curve, round(-cos(p), 3) + 0.0::DOUBLE AS third, round(pow(greatest(0, x - 0.3), 3), 3) AS cubic, round(p * p + p * (1 - p) / 10, 3) AS bernstein,
+round(1 + p + p * p / 2, 3) AS poly, round(least(0.5, greatest(-0.5, x)), 3) + 0.0::DOUBLE AS hard, round(0.5 * tanh(x / 0.5), 3) + 0.0::DOUBLE AS soft, ceil(8 * ln(q + 1) / (0.2::DOUBLE * 0.2))::BIGINT AS jl_dim, round(sqrt(8 * ln(q + 1) / 100), 3) AS jl_eps FROM v""",
+)
+add(
+    "series_expansions",
+    lambda s, d: rounded(
+        _grid(s, d).select(
+            "q",
+            special.eval_power_series(_c("p"), special.maclaurin_coefficients(math.exp, 4)).alias("maclaurin"),
+            special.eval_power_series(_c("p"), special.taylor_coefficients(math.exp, 4, 0.5), 0.5).alias("taylor"),
+            special.eval_fourier(_c("x"), special.fourier_coefficients(lambda t: t * t, 5)).alias("fourier"),
+            sum((special.bspline_basis(_c("p"), i, 4, [0, 0, 0, 0, 0.5, 1, 1, 1, 1]) for i in range(5)), F.lit(0.0)).alias("bspline_unity"),
+            special.bspline_basis(_c("p"), 0, 2, [0, 0.5, 1]).alias("bspline_linear"),
+        ),
+        3,
+    ),
+    _Z + """SELECT q, round(1 + p + p * p / 2 + pow(p, 3) / 6 + pow(p, 4) / 24, 3) AS maclaurin,
+round(exp(0.5) * (1 + (p - 0.5) + pow(p - 0.5, 2) / 2 + pow(p - 0.5, 3) / 6 + pow(p - 0.5, 4) / 24), 3) AS taylor,
+round(pi() * pi() / 3 + list_sum(list_transform(range(1, 6), lambda k: 4 * CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END * cos(k * x) / (k * k))), 3) AS fourier,
+1.0::DOUBLE AS bspline_unity, round(CASE WHEN p < 0.5 THEN p / 0.5 ELSE (1 - p) / 0.5 END, 3) AS bspline_linear FROM v""",
+)
+
+# Linear models.
+
+
+def _coefficients(s: SparkSession, beta: np.ndarray, digits: int = 6) -> DataFrame:
+    return rounded(s.createDataFrame([(i, float(b)) for i, b in enumerate(beta)], "term int, coefficient double"), digits)
+
+
+
 
 def _one() -> Column:
     return F.lit(1.0)
@@ -883,24 +941,24 @@ add(
 # Clusters, forests, trees, nets.
 
 
-def _points(s: SparkSession, d: str, n: int = 8) -> DataFrame:
-    return table(s, d, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, n).alias("x"), F.col("label").cast("double").alias("y"))
+def _points(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
 
 
 def _kmeans(s: SparkSession, d: str) -> DataFrame:
-    p = _points(s, d, 2)
-    c = cluster.k_means(p, "x", 2, 2, [[-0.1, 0.0], [0.1, 0.0]])
+    p = _points(s, d)
+    c = cluster.k_means(p, "x", 2, 2, [[-0.1] * 64, [0.1] * 64])
     return cluster.assign(p, "x", c).select("vec_id", F.col("cluster").cast("long").alias("cluster"))
 
 
-_ASSIGN = "CASE WHEN pow(a - {0}.a0, 2) + pow(b - {0}.b0, 2) <= pow(a - {0}.a1, 2) + pow(b - {0}.b1, 2) THEN 0 ELSE 1 END"
-_MEANS = "SELECT avg(a) FILTER (WHERE c = 0) a0, avg(b) FILTER (WHERE c = 0) b0, avg(a) FILTER (WHERE c = 1) a1, avg(b) FILTER (WHERE c = 1) b1 FROM"
+_NEAR = "CASE WHEN list_sum(list_transform(list_zip(x, c0), lambda t: pow(t[1] - t[2], 2))) <= list_sum(list_transform(list_zip(x, c1), lambda t: pow(t[1] - t[2], 2))) THEN 0 ELSE 1 END"
+_MEANS = "SELECT " + ", ".join(f"(SELECT list(v ORDER BY i) FROM (SELECT i, avg(x[i]) v FROM {{0}}, range(1, 65) r(i) WHERE c = {k} GROUP BY i)) c{k}" for k in (0, 1))
 add(
     "k_means",
     _kmeans,
-    f"""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE a, embedding[2]::DOUBLE b FROM embeddings), m0 AS (SELECT -0.1::DOUBLE a0, 0.0::DOUBLE b0, 0.1::DOUBLE a1, 0.0::DOUBLE b1),
-s1 AS (SELECT a, b, {_ASSIGN.format('m0')} c FROM e, m0), m1 AS ({_MEANS} s1), s2 AS (SELECT a, b, {_ASSIGN.format('m1')} c FROM e, m1), m2 AS ({_MEANS} s2)
-SELECT vec_id, ({_ASSIGN.format('m2')})::BIGINT AS cluster FROM e, m2""",
+    f"""WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) x FROM embeddings), m0 AS (SELECT list_transform(range(64), lambda i: -0.1::DOUBLE) c0, list_transform(range(64), lambda i: 0.1::DOUBLE) c1),
+s1 AS MATERIALIZED (SELECT x, {_NEAR} c FROM e, m0), m1 AS MATERIALIZED ({_MEANS.format('s1')}), s2 AS MATERIALIZED (SELECT x, {_NEAR} c FROM e, m1), m2 AS MATERIALIZED ({_MEANS.format('s2')})
+SELECT vec_id, ({_NEAR})::BIGINT AS cluster FROM e, m2""",
 )
 for _name, _kind, _how in (
     ("isolation_forest", "projection", "mean_depth"), ("isolation_forest_enhanced", "projection", "mean_score"), ("isolation_forest_gap", "gap", "mean_score"), ("isolation_forest_fuzzy", "gap", "conorm"),
@@ -949,8 +1007,8 @@ for _name, _rules in (("forest_model_constant", ("constant",)), ("forest_model_l
 
 
 def _link_net(s: SparkSession, d: str) -> DataFrame:
-    p = _points(s, d).select("vec_id", "y", *[F.get("x", i).alias(f"x{i}") for i in range(4)])
-    net = networks.fit_link_net(p, "y", [f"x{i}" for i in range(4)])
+    p = _points(s, d).select("vec_id", "y", *[F.get("x", i).alias(f"x{i}") for i in range(64)])
+    net = networks.fit_link_net(p, "y", [f"x{i}" for i in range(64)])
     return rounded(p.select("vec_id", net.predict().alias("prediction")), 5)
 
 
@@ -964,9 +1022,11 @@ SELECT i, j, round(avg(s), 6) + 0.0::DOUBLE AS w FROM b GROUP BY 1, 2""",
 
 
 def _recall(s: SparkSession, d: str) -> DataFrame:
-    patterns = s.createDataFrame([(0x0105,), (0x3801,), (0xFF00,), (0xA4D1,)], "p long")
+    """Patterns from the names of the regions; each is looked for with one bit wrong."""
+    patterns = table(s, d, "region").select("r_regionkey", (F.crc32("r_name") % 65536).alias("p"))
     net = networks.train_hopfield(patterns, "p", 16)
-    return rounded(s.createDataFrame([(0x0100, net.recall(0x0100), net.energy(net.recall(0x0100)))], "probe long, found long, energy double"))
+    probes = [(r["r_regionkey"], r["p"] ^ 1 << r["r_regionkey"]) for r in patterns.collect()]  # five rows
+    return rounded(s.createDataFrame([(k, p, net.recall(p), net.energy(net.recall(p))) for k, p in probes], "r_regionkey long, probe long, found long, energy double"))
 
 
 add("hopfield_recall", _recall)
@@ -1108,21 +1168,27 @@ add(
     """WITH e AS (SELECT c_nationkey src, c_nationkey % 5 dst FROM customer JOIN orders ON c_custkey = o_custkey)
 SELECT n_nationkey AS id, (SELECT count(*) FROM e WHERE src = n_nationkey) AS out_degree, (SELECT count(*) FROM e WHERE dst = n_nationkey) AS in_degree FROM nation""",
 )
+_RUNNING = {"arithmetic": "sum(value) OVER w", "geometric": "exp(avg(ln(value)) OVER w)", "harmonic": "1 / avg(1 / value) OVER w"}
 for _kind, _sql in (("arithmetic", "avg(value)"), ("geometric", "exp(avg(ln(value)))"), ("harmonic", "1 / avg(1 / value)")):
+    # logarithms and inverses need numbers above zero
+    _where = "true" if _kind == "arithmetic" else "value > 0"
+    # values are whole cents, whose means would often lie half-way between two
+    # rounded numbers: their sums do not
+    _shown = "mean * n" if _kind == "arithmetic" else "mean"
     add(
         f"online_mean_{_kind}",
-        lambda s, d, k=_kind: rounded(online.online_mean(table(s, d, "events").where("value > 0"), "value", ["event_type"], k)),
-        f"SELECT event_type, count(*) AS n, round({_sql}, 6) AS mean FROM events WHERE value > 0 GROUP BY 1",
+        lambda s, d, k=_kind, w=_where: rounded(online.online_mean(table(s, d, "events").where(w), "value", ["event_type"], k)),
+        f"SELECT event_type, count(*) AS n, round({_sql}, 6) + 0.0::DOUBLE AS mean FROM events WHERE {_where} GROUP BY 1",
     )
     add(
         f"running_mean_{_kind}",
-        lambda s, d, k=_kind: rounded(online.running_mean(table(s, d, "events").where("value > 0").select("event_id", "event_type", "value"), "value", ["event_id"], ["event_type"], k).select("event_id", "n", (F.col("mean") + 1e-10).alias("mean")), 8),
-        f"SELECT event_id, count(*) OVER w AS n, round({_sql.replace('(value)', '(value) OVER w') if _kind == 'arithmetic' else ('exp(avg(ln(value)) OVER w)' if _kind == 'geometric' else '1 / avg(1 / value) OVER w')} + 1e-10, 8) AS mean FROM events WHERE value > 0 WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
+        lambda s, d, k=_kind, w=_where, x=_shown: rounded(online.running_mean(table(s, d, "events").where(w).select("event_id", "event_type", "value"), "value", ["event_id"], ["event_type"], k).select("event_id", "n", F.expr(x).alias("mean")), 5),
+        f"SELECT event_id, count(*) OVER w AS n, round({_RUNNING[_kind]}, 5) + 0.0::DOUBLE AS mean FROM events WHERE {_where} WINDOW w AS (PARTITION BY event_type ORDER BY event_id)",
     )
 add(
     "online_mean_generalized",
-    lambda s, d: rounded(online.online_mean(table(s, d, "events").where("value > 0"), "value", ["event_type"], "generalized", F.sqrt, lambda m: m * m)),
-    "SELECT event_type, count(*) AS n, round(pow(avg(sqrt(value)), 2), 6) AS mean FROM events WHERE value > 0 GROUP BY 1",
+    lambda s, d: rounded(online.online_mean(table(s, d, "events"), "value", ["event_type"], "generalized", lambda v: F.exp(v / 100), lambda m: 100 * F.log(m))),
+    "SELECT event_type, count(*) AS n, round(100 * ln(avg(exp(value / 100))), 6) + 0.0::DOUBLE AS mean FROM events GROUP BY 1",
 )
 
 # Optimisers on an objective from data, models as tables, the data dictionary.
@@ -1183,9 +1249,9 @@ add("empirical_likelihood", _likelihood, "SELECT 1.0::DOUBLE AS mean_weight, 400
 
 
 def _model_table(s: SparkSession, d: str) -> DataFrame:
-    p = _points(s, d).select("vec_id", "y", *[F.get("x", i).alias(f"x{i}") for i in range(4)])
+    p = _points(s, d).select("vec_id", "y", *[F.get("x", i).alias(f"x{i}") for i in range(64)])
     path = f"{shared_folder(s)}/model-{uuid.uuid4().hex}"
-    save_model(s, networks.fit_link_net(p, "y", [f"x{i}" for i in range(4)]), path)
+    save_model(s, networks.fit_link_net(p, "y", [f"x{i}" for i in range(64)]), path)
     return rounded(p.select("vec_id", load_model(s, networks.LinkNet, path).predict().alias("prediction")), 5)
 
 

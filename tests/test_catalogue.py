@@ -38,7 +38,7 @@ def _rows(frame):
 
 def _close(a, b):
     if isinstance(a, float) and isinstance(b, float):
-        return abs(a - b) <= 1e-5 + 2e-6 * max(abs(a), abs(b)) + 0.011 * (abs(a - b) < 0.011)
+        return abs(a - b) <= 1e-5 + 2e-6 * max(abs(a), abs(b))
     return a == b
 
 
