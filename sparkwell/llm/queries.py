@@ -67,7 +67,8 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "similarity", "window_start")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,5 +123,40 @@ SELECT -page_id, NULL, NULL, 'extra', NULL, sha256(
     || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
     || 'Content-Length: 0' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10)), 1
 FROM pages WHERE page_id % 389 = 11
+""",
+    # All pages of the tables mark their article and hold only these tags in it.
+    "op6_html_main_text": r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*)</article>', 1, 's') t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+""",
+    # Every window of 200 bytes, compared by its MD5 digest.
+    "op8_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) x, strlen(coalesce(text, '')) n FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 400)) h FROM d, unnest(range(0, greatest(0, n - 199))) r(i)),
+m AS (SELECT doc_id, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+g AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER o <= 200 THEN 0 ELSE 1 END new FROM m WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) run FROM g),
+s AS (SELECT doc_id, run, min(i) a, max(i) + 200 e FROM k GROUP BY 1, 2),
+p AS (SELECT doc_id, run, a, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) f FROM s),
+c AS (SELECT doc_id, sum(e - a) gone, count(*) spans, max(e) last, string_agg(substr(x, 2 * f + 1, 2 * (a - f)), '' ORDER BY a) kept FROM p JOIN d USING (doc_id) GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c USING (doc_id)
+""",
+    # All windows of all documents that share a shingle with an item.
+    "op10_benchmark_decontamination": r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t-\r]+'), lambda x: x <> '') v FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[ \t-\r]+'), lambda x: x <> '') v FROM benchmark),
+t AS (SELECT doc_id, len(v) n_words, i - 1 pos, array_to_string(v[i:i + 4], ' ') s FROM d, unnest(range(1, len(v) - 3)) r(i)),
+u AS (SELECT item_id, len(v) n, array_to_string(v[i:i + 4], ' ') s FROM b, unnest(range(1, len(v) - 3)) r(i)),
+c AS (SELECT item_id, n, s, count(*) c FROM u GROUP BY 1, 2, 3),
+hit AS (SELECT doc_id, n_words, item_id, n, pos, s, c FROM t JOIN c USING (s)),
+win AS (SELECT doc_id, item_id, st FROM (SELECT DISTINCT doc_id, item_id, n_words, n FROM hit), unnest(range(0, greatest(0, n_words - n) + 1)) r(st)),
+shared AS (SELECT doc_id, item_id, st, s, any_value(n_words) n_words, any_value(n) n, least(count(*), any_value(c)) k FROM win JOIN hit USING (doc_id, item_id) WHERE pos BETWEEN st AND st + n - 5 GROUP BY 1, 2, 3, 4),
+sim AS (SELECT doc_id, item_id, st, sum(k) / (least(any_value(n_words), any_value(n)) - 4 + any_value(n) - 4 - sum(k)) j FROM shared GROUP BY 1, 2, 3)
+SELECT doc_id, item_id, j AS similarity, st::INT AS window_start FROM sim WHERE j >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY j DESC, st) = 1
 """,
 }
