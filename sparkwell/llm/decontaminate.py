@@ -210,7 +210,9 @@ def near_items(prints: DataFrame, known: DataFrame, longest: int) -> DataFrame:
         F.bit_count(_block(F.col("fp"), i).bitwiseXOR(_block(F.col("item_fp"), i))) <= RADIUS // BLOCKS for i in range(BLOCKS)
     ]
     first = F.array_position(F.array(*near), True) - 1
-    pairs = keyed.join(index, ["n", "block", "value"]).where(distance <= RADIUS).where(first == F.col("block"))
+    # a sort-merge join: the index grows with the benchmark, and no value is hot, for
+    # each side has every fingerprint once
+    pairs = keyed.hint("merge").join(index, ["n", "block", "value"]).where(distance <= RADIUS).where(first == F.col("block"))
     return pairs.select("n", "fp", "item_id", distance.alias("distance")).groupBy("n", "fp", "item_id").agg(F.min("distance").alias("distance"))
 
 
