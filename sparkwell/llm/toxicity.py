@@ -247,7 +247,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, label_col: str
     return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def learn_lexicon(rows: DataFrame, least: int = 5, lift: float = 3.0, chance: float = 1e-8, most: int = 100_000) -> Lexicon:
+def learn_lexicon(rows: DataFrame, least: int = 5, lift: float = 3.0, chance: float = 1e-8) -> Lexicon:
     """Words and prefixes that mark texts with label 1.
 
     Positive texts with the same smallest word hash, near copies for the most
@@ -271,8 +271,7 @@ def learn_lexicon(rows: DataFrame, least: int = 5, lift: float = 3.0, chance: fl
 
     groups = rows.where("label > 0").select("text").mapInArrow(tidy(positive), "pattern string, grp long").distinct()
     counts = groups.groupBy("pattern").agg(F.count("*").alias("n")).where(f"n >= {least} OR pattern = ''")
-    top = counts.orderBy(F.desc("n"), "pattern").limit(most).collect()
-    pos = {r["pattern"]: r["n"] for r in top}
+    pos = {r["pattern"]: r["n"] for r in counts.orderBy(F.desc("n"), "pattern").collect()}
 
     def negative(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n: Counter = Counter()

@@ -86,6 +86,8 @@ class ChunkedTokenizer:
         self._spaced = told["pre_tokenizer"]["type"] == "ByteLevel"  # a chunk there includes the space before it
         added = [re.escape(t["content"]) for t in told["added_tokens"]]
         self._added = re.compile("|".join(added) or r"(?!)", re.I)
+        # what all of them begin with, up to the first letter, is quickly looked for
+        self._sign = re.match(r"[^A-Za-z]*", os.path.commonprefix([t["content"] for t in told["added_tokens"]]))[0]
         self._model = self._library.model
         self._marks: dict[str, bytes] = {}
         self._copies: dict[bytes, bytes] = {}
@@ -141,7 +143,7 @@ class ChunkedTokenizer:
         return ids
 
     def _read(self, text: str) -> bytes:
-        if self._added.search(text):  # the library cuts such texts there first
+        if self._sign in text and self._added.search(text):  # the library cuts such texts there first
             return _packed(self._one(text))
         if not self._spaced:
             return b"".join(map(self._first.__getitem__, text.replace("\n", " ").split(" ")))
