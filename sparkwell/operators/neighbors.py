@@ -12,6 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import staged
+
 Metric = Callable[[Column, Column], Column]
 #: Queries in a block that is sent to all executors.
 MOST_QUERIES = 10_000
@@ -127,22 +129,22 @@ def lagrange(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return term.groupBy("query").agg(value.alias("value"))
 
 
-def _pair_signs(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Sums over pairs of distinct values, with their counts."""
-    cells = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna().groupBy("x", "y").agg(F.count("*").alias("c"))
-    other = cells.toDF("x2", "y2", "c2")
-    sign = F.signum(F.col("x") - F.col("x2")) * F.signum(F.col("y") - F.col("y2"))
-    return cells.join(other, (F.col("x") > F.col("x2"))).agg(F.sum(sign * F.col("c") * F.col("c2")).alias("s"))
-
-
 def kendall_distance(df: DataFrame, x: str, y: str, mode: str = "standard") -> DataFrame:
     """``kendall``: (1 - tau) / 2 for standard; the reference's 1 - 2 tau.
 
-    tau is the mean sign over pairs.  Pairs are formed of distinct points, which
-    is meant for columns with a bounded number of them."""
-    n = df.select(x, y).dropna().count()
-    tau = F.col("s") * 2 / F.lit(float(max(1, n * (n - 1))))
-    return _pair_signs(df, x, y).select((1 - 2 * tau if mode == "reference" else (1 - tau) / 2).alias("kendall"))
+    tau is the mean sign over pairs.  Equal points are counted first, and sums over
+    the points with a smaller ``x`` (``plans.ranks.lower_sums``) take the place
+    of pairs.  Rows with a null are left out; fewer than two rows have tau 0."""
+    from ..plans.ranks import lower_sums
+
+    rows = df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).dropna()
+    cells = staged(rows.groupBy("_x", "_y").agg(F.count("*").alias("_c")), "points")
+    n = cells.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    lower = lower_sums(cells, "_x", "_y", "_c").join(cells, ["_x", "_y"])
+    # smaller in both less smaller in x and greater in y; as doubles, n^2 may exceed a long
+    signs = (F.col("_below") + F.col("_upto") - F.col("_all")).cast("double") * F.col("_c")
+    tau = F.coalesce(F.sum(signs), F.lit(0.0)) * 2 / F.lit(max(1.0, float(n) * (n - 1)))
+    return lower.agg((1 - 2 * tau if mode == "reference" else (1 - tau) / 2).alias("kendall"))
 
 
 def spearman_distance(df: DataFrame, key: str, x: str, y: str, mode: str = "standard") -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clean
-from ..plans.ranks import global_rank, running_sum
+from ..plans.ranks import global_rank, lower_sums, running_sum
+from ..sources.store import staged
 
 
 def _ranked(df: DataFrame, x: str, by: list[str]) -> DataFrame:
@@ -100,32 +101,20 @@ def joint_ecdf_at(columns: list[str], point: list[float]) -> Column:
     return F.avg(F.coalesce(below, F.lit(False)).cast("double"))
 
 
-def dominated_share(df: DataFrame, key: str, x1: str, x2: str, bins: int = 64) -> DataFrame:
+def dominated_share(df: DataFrame, key: str, x1: str, x2: str) -> DataFrame:
     """``key``, ``share``: for each row the share of rows at or below it in both
     columns.
 
-    Not every pair is formed.  Rows fall into ``bins`` slices of ``x1``; of the
-    slices below a row's own, only counts of ``x2`` by distinct value are kept,
-    running sums over them answer all but the row's own slice, and pairs are
-    formed within slices alone.  Slices follow quantiles, so the pairs of one
-    slice are about ``n / bins`` for each row; ``bins`` should grow with the
-    square root of the rows.
+    Equal points are counted first; running sums over the digits of the ranks of
+    ``x1`` take the place of pairs (``plans.ranks.lower_sums``).
     """
     rows = df.select(F.col(key).alias("_k"), clean(x1).alias("_a"), clean(x2).alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
-    n = rows.count()
-    cuts = sorted(set(rows.approxQuantile("_a", [i / bins for i in range(1, bins)], 0.001))) if n else []
-    slices = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda s, c: s + F.when(F.col("_a") > c, 1).otherwise(0)) if cuts else F.lit(0)
-    rows = rows.withColumn("_s", slices)
-    counts = rows.groupBy("_s", "_b").agg(F.count("*").alias("_c"))
-    above = F.explode(F.sequence(F.col("_s") + 1, F.lit(len(cuts)))).alias("_s")
-    total = counts.where(F.col("_s") < len(cuts)).select(above, "_b", "_c", F.lit(None).alias("_k"))
-    asked = rows.select("_s", "_b", F.lit(0).cast("long").alias("_c"), "_k")
-    upto = Window.partitionBy("_s").orderBy("_b").rangeBetween(Window.unboundedPreceding, 0)
-    below = total.select("_s", "_b", "_c", F.col("_k").cast(df.schema[key].dataType)).unionByName(asked)
-    below = below.withColumn("_below", F.sum("_c").over(upto)).where("_k IS NOT NULL").select("_k", "_below")
-    other = rows.select("_s", F.col("_a").alias("_a2"), F.col("_b").alias("_b2"))
-    inside = rows.join(other, "_s").where("_a2 <= _a AND _b2 <= _b").groupBy("_k").agg(F.count("*").alias("_in"))
-    return below.join(inside, "_k").select(F.col("_k").alias(key), ((F.col("_below") + F.col("_in")) / F.lit(float(n or 1))).alias("share"))
+    cells = staged(rows.groupBy("_a", "_b").agg(F.count("*").alias("_c")), "points")
+    n = cells.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    same = running_sum(cells, ["_a"], ["_b"], "_c", "_in", "_t").select("_a", "_b", "_in")
+    lower = lower_sums(cells, "_a", "_b", "_c", strict=False).select("_a", "_b", "_upto")
+    counts = same.join(lower, ["_a", "_b"], "left").select("_a", "_b", (F.col("_in") + F.coalesce("_upto", F.lit(0))).alias("_n"))
+    return rows.join(counts, ["_a", "_b"]).select(F.col("_k").alias(key), (F.col("_n") / F.lit(float(n or 1))).alias("share"))
 
 
 def rank_share(df: DataFrame, key: str, columns: list[str], norm: str = "product") -> DataFrame:

@@ -40,3 +40,29 @@ def global_rank(df: DataFrame, order: list[str], name: str) -> DataFrame:
     """``df`` with the rows' numbers in ``order``, from 1 on."""
     one = df.withColumn("_one", F.lit(1).cast("long"))
     return running_sum(one, [], order, "_one", name, "_total").drop("_one", "_total")
+
+
+def lower_sums(cells: DataFrame, x: str, y: str, weight: str, strict: bool = True) -> DataFrame:
+    """``x``, ``y`` of each row of ``cells`` (which tell rows apart) with sums of
+    ``weight`` over the rows whose ``x`` is smaller: ``_all`` of them, ``_upto``
+    those with ``y`` no greater and, if ``strict``, ``_below`` those with ``y``
+    smaller.  Null where no row has a smaller ``x``.
+
+    No pairs are formed.  A row is filed once for each binary digit of the rank of
+    its ``x``, under the digits before it: the rows with a smaller ``x`` are those
+    with a zero under the same leading digits as one of its own ones.  So ``n``
+    rows become ``n log n``, and one running sum answers all.
+    """
+    ranks = staged(global_rank(cells.select(x).distinct(), [x], "_r").select(F.col(x).alias("_v"), (F.col("_r") - 1).alias("_d")), "dense-ranks")
+    digits = max(1, int(ranks.agg(F.coalesce(F.max("_d"), F.lit(0))).first()[0]).bit_length())
+    filed = cells.join(ranks, F.col(x) == F.col("_v")).select(x, y, weight, "_d", F.explode(F.sequence(F.lit(0), F.lit(digits - 1))).alias("_l"))
+    one = F.expr("shiftright(_d, _l) & 1") == 1
+    asks = F.array(F.lit(0), F.lit(2)) if strict else F.array(F.lit(2))
+    # equal y: a question for smaller ones, then what counts, then a question for no greater ones
+    filed = filed.select(x, y, weight, "_d", "_l", F.expr("shiftright(_d, _l + 1)").alias("_g"), F.explode(F.when(one, asks).otherwise(F.array(F.lit(1)))).alias("_m"))
+    filed = filed.withColumn("_w", F.when(F.col("_m") == 1, F.col(weight)).otherwise(F.lit(0)))
+    summed = running_sum(filed, ["_l", "_g"], [y, "_m", "_d"], "_w", "_hi", "_t").where("_m <> 1")
+    out = [F.sum(F.when(F.col("_m") == 2, F.col(c))).alias(n) for c, n in (("_t", "_all"), ("_hi", "_upto"))]
+    if strict:
+        out.append(F.sum(F.when(F.col("_m") == 0, F.col("_hi"))).alias("_below"))
+    return summed.groupBy(x, y).agg(*out)

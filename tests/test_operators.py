@@ -55,7 +55,7 @@ def test_dominated_share_is_exact_with_ties(spark):
     rng = np.random.default_rng(1)
     p = rng.integers(0, 9, size=(300, 2))
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "k long, a double, b double")
-    got = {r[0]: r[1] for r in quantiles.dominated_share(df, "k", "a", "b", 8).collect()}
+    got = {r[0]: r[1] for r in quantiles.dominated_share(df, "k", "a", "b").collect()}
     for i, v in enumerate(p):
         assert got[i] == pytest.approx((p <= v).all(1).mean())
 
@@ -164,6 +164,24 @@ def test_kendall_and_spearman_of_equal_orders(spark):
     assert neighbors.spearman_distance(df, "k", "x", "y").first()[0] == pytest.approx(0)
 
 
+def test_kendall_matches_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    p = rng.integers(-6, 7, size=(150, 2))
+    want = sum(np.sign(a[0] - b[0]) * np.sign(a[1] - b[1]) for i, a in enumerate(p) for b in p[:i]) * 2 / (150 * 149)
+    rows = [(float(a), float(b)) for a, b in p] + [(None, 1.0), (2.0, None)]
+    df = spark.createDataFrame(rows, "x double, y double")
+    assert neighbors.kendall_distance(df, "x", "y").first()[0] == pytest.approx((1 - want) / 2)
+    assert neighbors.kendall_distance(df.limit(0), "x", "y").first()[0] == pytest.approx(0.5)
+    assert neighbors.kendall_distance(spark.createDataFrame([(1.0, 1.0), (1.0, 2.0)], "x double, y double"), "x", "y").first()[0] == pytest.approx(0.5)
+
+
+def test_chisini_mean_of_sums_and_means(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(1, 40)] + [(None,)], "x double")
+    v = np.arange(1.0, 40)
+    assert descriptive.chisini_mean(df, "x", lambda c: F.sum(c * c)) == pytest.approx(np.sqrt((v * v).mean()))
+    assert descriptive.chisini_mean(df, "x", lambda c: F.avg(1 / c)) == pytest.approx(1 / (1 / v).mean())
+
+
 def test_k_means_keeps_empty_cells(spark):
     df = spark.createDataFrame([([0.0],), ([1.0],), ([10.0],), ([11.0],)], "x array<double>")
     c = cluster.k_means(df, "x", 3, 5, [[0.0], [12.0], [1000.0]])
