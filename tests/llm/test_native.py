@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from sparkwell.llm import decontaminate as D
 from sparkwell.llm import license_scan as LS
@@ -70,6 +71,45 @@ def test_ratio_matches_plain_python(spark):
         assert rows[i]["score"] == int(sum(weights[x] for x in b) / len(b))
 
 
+def plain_quality(docs, trusted, held):
+    """Verdicts from the definitions alone: buckets, ratios, scores, threshold."""
+
+    def grams(text):
+        w = [x.encode() for x in WORD.findall(text or "")]
+        one = [xxhash.xxh64_intdigest(x, 42) for x in w]
+        return [h % Q.N_BUCKETS for h in one] + [xxhash.xxh64_intdigest(x, h) % Q.N_BUCKETS for h, x in zip(one, w[1:])]
+
+    raw, good = Counter(), Counter()
+    for i, t in docs:
+        raw.update(grams(t))
+        good.update(grams(t) if i in trusted else [])
+    n_raw, n_good = raw.total() + Q.N_BUCKETS, good.total() + Q.N_BUCKETS
+    weight = lambda b: round((np.log((good[b] + 1) / n_good) - np.log((raw[b] + 1) / n_raw)) * Q.MICRO)
+    scores = {}
+    for i, t in docs:
+        g = grams(t)
+        scores[i] = int(sum(map(weight, g)) / len(g)) if g else 0
+    cut = Q.best_threshold([(scores[i], held[i]) for i, t in docs if i in held and not counts(t)[5]])
+    return {i: (scores[i], not counts(t)[5] and scores[i] >= cut) for i, t in docs}
+
+
+def test_verdicts_match_brute_force(spark):
+    r = random.Random(15)
+    word = lambda k: "".join(r.choice("abcdefgh") for _ in range(k))
+    ours, theirs = [word(4) for _ in range(60)], [word(5) for _ in range(60)]
+    # the share of raw words runs from none to all, so that scores lie on both sides of the threshold
+    mixed = [" ".join(r.choice(theirs if r.random() < i / 120 else ours) for _ in range(r.randrange(40, 200))) for i in range(120)]
+    docs = list(enumerate([*mixed, *texts(), None]))
+    labels = spark.createDataFrame([(i, int(i < 50)) for i in range(100)], "doc_id long, quality int")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    trusted, others = Q.labelled_ids(labels, 1000)
+    want = plain_quality(docs, {x["doc_id"] for x in trusted.collect()}, {x["doc_id"]: x["good"] for x in others.collect()})
+    got = {x["doc_id"]: (x["score"], x["kept"]) for x in Q.quality(df, labels).collect()}
+    assert {i: v[1] for i, v in got.items()} == {i: v[1] for i, v in want.items()}
+    assert all(abs(got[i][0] - want[i][0]) <= 1 for i in want)
+    assert 20 < sum(v[1] for v in got.values()) < 100
+
+
 def test_threshold():
     assert Q.best_threshold([]) == Q.THRESHOLD and Q.best_threshold([(5, True)]) == Q.THRESHOLD
     assert Q.best_threshold([(0, False), (2, False), (10, True), (11, True)]) == 6
@@ -216,6 +256,56 @@ def own(spark, texts, path="a/x.py", corpus=200):
     return [got[i] for i in range(len(texts))]
 
 
+def plain_own(texts, templates, threshold):
+    """Own licences and similarities by the cosine of every part with every template."""
+    df = Counter(w for t in texts for w in set(plain_words(t)))
+    idf = lambda w: np.log((len(texts) + 1) / (df[w] + 1)) + 1
+
+    def vector(words):
+        v = {w: c * idf(w) for w, c in Counter(words).items()}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    notices = [(name, vector(plain_words(t))) for name, t in templates]
+    most = 2 * max(len(t.split()) for _, t in templates)
+    out = {}
+    for k, text in enumerate(texts):
+        found = []
+        for block in re.split(LS.BREAK, text.lower()):
+            lines = [w for w in map(plain_words, block.split("\n")) if w]
+            for i in range(len(lines)):
+                for j in range(i + 1, len(lines) + 1):
+                    part = [w for line in lines[i:j] for w in line]
+                    if len(part) > most and j > i + 1 and j - i < len(lines):
+                        continue
+                    v = vector(part)
+                    found += [(-round(sum(x * t.get(w, 0) for w, x in v.items()), 9), name) for name, t in notices]
+        if found and min(found)[0] <= -threshold:
+            out[k] = min(found)
+    return out
+
+
+def test_licence_cosines_match_brute_force(spark):
+    r = random.Random(22)
+
+    def text():
+        words = r.choice(LS.TEMPLATES)[1].split()
+        for _ in range(r.randrange(4)):
+            words[r.randrange(len(words))] = r.choice([*WORDS, "the", "license", "GNU"])
+        notice = "".join(w + r.choice([" ", " ", " ", " ", "\n# "]) for w in words)
+        return "\n".join([sentence(r, r.randrange(8)), r.choice(["", sentence(r, 4)]), notice, r.choice(["", "--", sentence(r, 3)]), sentence(r, 20)])
+
+    texts = [text() for _ in range(150)] + ["", "\n\n", LS.TEMPLATES[3][1] + "\n" + LS.TEMPLATES[3][1]]
+    files = spark.createDataFrame(list(enumerate(texts)), "file_id long, text string")
+    got = {x["file_id"]: (x["licence"], x["similarity"]) for x in LS.own_licences(files, full=[]).collect()}
+    want = plain_own(texts, LS.TEMPLATES, LS.THRESHOLD)
+    assert 30 < len(want) < 150
+    sure = {k for k in range(len(texts)) if abs(-want.get(k, (0,))[0] - LS.THRESHOLD) > 1e-8}
+    assert {k for k in got if k in sure} == {k for k in want if k in sure}
+    for k in got:
+        assert got[k][1] == pytest.approx(-want[k][0], abs=2e-9) and got[k][0] == want[k][1], (k, got[k], want[k])
+
+
 def test_licence_document_frequencies_of_all_words(spark):
     texts = ["This file is licensed under the MIT License.", "This project is part of the file licensed under the MIT License"]
     assert own(spark, texts) == ["MIT", "MIT"]
