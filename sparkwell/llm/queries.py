@@ -11,13 +11,16 @@ from . import (
     decontaminate,
     html_text,
     license_scan,
+    line_dedup,
     packing,
     quality_rules,
     rans_tokens,
     simhash_dedup,
+    source_divergence,
     suffix_dedup,
     toxicity,
     warc_audit,
+    whitening,
 )
 
 
@@ -86,6 +89,18 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licences(files).withColumnRenamed("file_id", "doc_id")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(line_dedup.dedup(_table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_warc_fixity_audit": op2_warc_fixity_audit,
@@ -97,6 +112,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -158,5 +176,34 @@ win AS (SELECT doc_id, item_id, st FROM (SELECT DISTINCT doc_id, item_id, n_word
 shared AS (SELECT doc_id, item_id, st, s, any_value(n_words) n_words, any_value(n) n, least(count(*), any_value(c)) k FROM win JOIN hit USING (doc_id, item_id) WHERE pos BETWEEN st AND st + n - 5 GROUP BY 1, 2, 3, 4),
 sim AS (SELECT doc_id, item_id, st, sum(k) / (least(any_value(n_words), any_value(n)) - 4 + any_value(n) - 4 - sum(k)) j FROM shared GROUP BY 1, 2, 3)
 SELECT doc_id, item_id, j AS similarity, st::INT AS window_start FROM sim WHERE j >= 0.8 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY j DESC, st) = 1
+""",
+    # Every term with every group of its language.
+    "op11_source_divergence": r"""
+WITH d AS (SELECT coalesce(lang, '') lang, coalesce(source, '') source, row_number() OVER () r,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') t FROM documents),
+w AS (SELECT lang, source, r, unnest(regexp_extract_all(t, '[^\x00-\x60\x7B-\x7F]+')) term FROM d),
+k AS (SELECT lang, term FROM w GROUP BY 1, 2 HAVING count(DISTINCT r) >= 30),
+g AS (SELECT DISTINCT lang, source FROM d),
+v AS (SELECT lang, count(*) v FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*)::HUGEINT c FROM w JOIN k USING (lang, term) GROUP BY 1, 2, 3),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) c FROM g JOIN k USING (lang) LEFT JOIN c ON g.lang = c.lang AND g.source = c.source AND k.term = c.term),
+p AS (SELECT lang, source, term, c, 1 + (1000000000 * (c + 5)) // (sum(c) OVER (PARTITION BY lang, source)::HUGEINT + 5 * v) p FROM f JOIN v USING (lang)),
+lf AS (SELECT lang, term, sum(c)::HUGEINT c FROM f GROUP BY 1, 2),
+q AS (SELECT lang, term, 1 + (1000000000 * (c + 5)) // (sum(c) OVER (PARTITION BY lang)::HUGEINT + 5 * v) q FROM lf JOIN v USING (lang)),
+pv AS (SELECT a.lang, a.source, b.source item, sum(abs(a.p - b.p)) value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+pr AS (SELECT a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pv ON pv.lang = a.lang AND pv.source = a.source AND pv.item = b.source),
+tr AS (SELECT lang, source, 'term' part, term item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank
+FROM (SELECT * FROM pr UNION ALL SELECT * FROM tr) QUALIFY part = 'pair' OR rank <= 50
+""",
+    "op13_line_dedup": r"""
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) i FROM documents),
+k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') k FROM l),
+c AS (SELECT k, max(doc_id) last FROM k WHERE length(k) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+m AS (SELECT doc_id, i, line, coalesce(last <> doc_id, false) gone FROM k LEFT JOIN c USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY 1
 """,
 }
