@@ -2,18 +2,15 @@
 
 Single trees grow level by level: one aggregation over the data gives, for every
 open node, feature and bin, the sums that all split rules need, so a level is one
-job and rows never leave their tasks.  Forests of random trees grow one tree a
-group (Arrow) on a bounded, documented sample of rows, and score where rows lie.
+job and rows never leave their tasks.  Forests of random trees are in ``forests``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,135 +162,3 @@ def model_forest_predict(forest: list[Tree]) -> Column:
     for t in forest[1:]:
         total = total + t.predict()
     return total / len(forest)
-
-
-# Forests of random trees on arrays.
-
-
-@dataclass
-class ArrayTree:
-    feature: list = field(default_factory=list)  # index, or direction array
-    threshold: list = field(default_factory=list)
-    left: list = field(default_factory=list)
-    right: list = field(default_factory=list)
-    value: list = field(default_factory=list)  # mean of each target
-    spread: list = field(default_factory=list)  # variance of each target
-
-    def add(self, value: np.ndarray, spread: np.ndarray) -> int:
-        for part, v in zip((self.feature, self.threshold, self.left, self.right, self.value, self.spread), (None, 0.0, -1, -1, value, spread), strict=True):
-            part.append(v)
-        return len(self.value) - 1
-
-    def leaves(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), int)
-        todo = np.arange(len(x))
-        while len(todo):
-            inner = np.array([self.left[i] >= 0 for i in at[todo]])
-            todo = todo[inner]
-            for node in np.unique(at[todo]):
-                rows = todo[at[todo] == node]
-                f = self.feature[node]
-                v = x[rows] @ f if isinstance(f, np.ndarray) else x[rows, f]
-                at[rows] = np.where(v <= self.threshold[node], self.left[node], self.right[node])
-        return at
-
-
-def random_tree(x: np.ndarray, y: np.ndarray, w: np.ndarray, depth: int, least: int, kind: str, rng: np.random.Generator) -> ArrayTree:
-    """``kind``: ``random`` (random feature and cut), ``best`` (least squared error
-    over all cuts) or ``projection`` (random direction, triangular random rank)."""
-    tree = ArrayTree()
-
-    def stats(i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m = np.average(y[i], axis=0, weights=w[i])
-        return m, np.average((y[i] - m) ** 2, axis=0, weights=w[i])
-
-    def grow(i: np.ndarray, left: int) -> int:
-        node = tree.add(*stats(i))
-        if left == 0 or len(i) < 2 * least:
-            return node
-        if kind == "best":
-            best = (math.inf, None, 0.0)
-            for f in range(x.shape[1]):
-                o = i[np.argsort(x[i, f], kind="stable")]
-                ws = w[o][:, None]
-                s, q, n = np.cumsum(ws * y[o], 0), np.cumsum(ws * y[o] ** 2, 0), np.cumsum(ws, 0)
-                err = (q - s**2 / n + (q[-1] - q) - (s[-1] - s) ** 2 / np.maximum(n[-1] - n, 1e-12)).sum(1)
-                ok = np.zeros(len(o), bool)
-                ok[least - 1 : len(o) - least] = True
-                ok[:-1] &= x[o[1:], f] > x[o[:-1], f]
-                ok[-1] = False
-                if ok.any():
-                    k = int(np.argmin(np.where(ok, err, math.inf)))
-                    if err[k] < best[0]:
-                        best = (err[k], f, (x[o[k], f] + x[o[k + 1], f]) / 2)
-            if best[1] is None:
-                return node
-            f, cut = best[1], best[2]
-            v = x[i, f]
-        elif kind == "projection":
-            f = rng.normal(size=x.shape[1])
-            v = x[i] @ f
-            rank = int(round(rng.triangular(0, 0.5, 1) * (len(i) - 1)))
-            cut = np.sort(v)[min(max(rank, least - 1), len(i) - least - 1)]
-        else:
-            f = int(rng.integers(x.shape[1]))
-            v = x[i, f]
-            cut = rng.uniform(v.min(), v.max())
-        goes = v <= cut
-        if goes.sum() < least or (~goes).sum() < least:
-            return node
-        a, b = grow(i[goes], left - 1), grow(i[~goes], left - 1)
-        tree.feature[node], tree.threshold[node], tree.left[node], tree.right[node] = f, float(cut), a, b
-        return node
-
-    grow(np.arange(len(x)), depth)
-    return tree
-
-
-def grow_forest(df: DataFrame, key: str, x: str, y: list[str], trees: int = 20, depth: int = 8, least: int = 5, kind: str = "random", seed: int = 1, rows_per_tree: int = 20_000, weight: str | None = None) -> list[ArrayTree]:
-    """Each tree is a group: a task gets at most about ``rows_per_tree`` rows of it,
-    drawn by hashed keys, and grows it."""
-    share = min(1.0, rows_per_tree / max(1, df.count()))
-    drawn = df.select(key, x, *y, (clean(weight) if weight else F.lit(1.0)).alias("_w")).dropna().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    if share < 1:
-        drawn = drawn.where(uniform(seed, key, "t") < share)
-
-    def run(k: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-
-        p = p.sort_values(key)
-        rng = np.random.default_rng([seed, int(k[0])])
-        boot = rng.integers(len(p), size=len(p)) if kind != "best" else np.arange(len(p))
-        data = np.array(p[x].tolist(), float)[boot]
-        t = random_tree(data, p[y].to_numpy(float)[boot], p["_w"].to_numpy(float)[boot], depth, least, kind, rng)
-        return pd.DataFrame({"t": [int(k[0])], "tree": [pickle.dumps(t)]})
-
-    import pickle
-
-    grown = drawn.groupBy("t").applyInPandas(run, "t int, tree binary").orderBy("t").collect()  # one row a tree
-    return [pickle.loads(r["tree"]) for r in grown]
-
-
-def forest_predict(df: DataFrame, key: str, x: str, trees: list[ArrayTree], targets: list[str], weighting: str = "variance") -> DataFrame:
-    """``key`` and for each target its prediction and standard error.  Trees weigh
-    1 / sqrt(variance) of their leaf (``variance``), 1 / det of its diagonal
-    covariance (``determinant``) or the same (``equal``)."""
-    kind = df.schema[key].dataType.simpleString()
-    columns = ", ".join(f"{t} double, {t}_se double" for t in targets)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            data = np.array(p[x].tolist(), float).reshape(len(p), -1)
-            total, norm, var = np.zeros((len(p), len(targets))), np.zeros((len(p), 1)), np.zeros((len(p), len(targets)))
-            for t in trees:
-                leaf = t.leaves(data)
-                v, s = np.array(t.value)[leaf], np.array(t.spread)[leaf]
-                w = {"variance": 1 / np.sqrt(s.max(1) + 1e-9), "determinant": 1 / np.prod(s + 1e-3, axis=1), "equal": np.ones(len(p))}[weighting][:, None]
-                total, norm, var = total + w * v, norm + w, var + w * w * s
-            out = {key: p[key]}
-            for j, t in enumerate(targets):
-                out[t] = total[:, j] / norm[:, 0]
-                out[f"{t}_se"] = np.sqrt(var[:, j]) / norm[:, 0]
-            yield pd.DataFrame(out)
-
-    return df.select(key, x).where(F.col(x).isNotNull()).mapInPandas(run, f"{key} {kind}, {columns}")

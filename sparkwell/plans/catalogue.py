@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import distances, distributions, kernels, qubit, special, vectors
 from ..functions.expr import erf, log_gamma, uniform
-from ..operators import cluster, descriptive, glm, iforest, linear, neighbors, networks, optimize, quantiles, sampling, tables, textdist, timeseries, trees
+from ..operators import cluster, descriptive, forests, glm, iforest, linear, neighbors, networks, optimize, quantiles, sampling, tables, textdist, timeseries, trees
 from ..sources.dictionary import describe, dictionary
 from ..sources.store import Graph, load_model, save_model, shared_folder, table
 from ..streaming import online
-from . import fits_sql
+from . import fits_sql, forests_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -988,11 +988,29 @@ for _name, _rules, _slack in (("tree_constant", ("constant",), 3.0), ("tree_line
 
     add(_name, _tree)
 add("tree_weighted", lambda s, d: rounded(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", trees.grow_tree(table(s, d, "lineitem"), "l_extendedprice", _TREE, 3, 16, weight="l_quantity").predict().alias("prediction")), 2))
-for _name, _kind, _n, _how in (("forest_random", "random", 10, "variance"), ("tree_best_split", "best", 1, "equal"), ("tree_single_predictor", "random", 1, "equal"), ("forest_projection", "projection", 10, "variance"), ("forest_projection_determinant", "projection", 10, "determinant")):
+_FOREST_SQL = "SELECT l_orderkey * 16 + l_linenumber AS key, {} FROM lineitem"
 
-    def _forest(s: SparkSession, d: str, kind: str = _kind, n: int = _n, how: str = _how) -> DataFrame:
-        p = _points(s, d).withColumn("z", F.get("x", 0))
-        return rounded(trees.forest_predict(p, "vec_id", "x", trees.grow_forest(p, "vec_id", "x", ["y", "z"], n, 6, 5, kind), ["y", "z"], how), 5)
+
+def _line_forest(name: str, columns: list[str], target: str, kind: str, n: int, depth: int) -> None:
+    def query(s: SparkSession, d: str) -> DataFrame:
+        rows = table(s, d, "lineitem").select((F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("key"), F.array(*columns).alias("x"), target)
+        f = forests.grow_forest(rows, "key", "x", [target], n, depth, 5, kind)
+        return rounded(forests.forest_predict(rows, "key", "x", f, ["prediction"]), 3)
+
+    source = ", ".join([*(f"{c} AS x{i}" for i, c in enumerate(columns)), f"{target} AS target"])
+    add(name, query, forests_sql.forest(_FOREST_SQL.format(source), len(columns), n, depth, 5, kind))
+
+
+_line_forest("forest_random", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "random", 5, 2)
+_line_forest("tree_best_split", ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "best", 1, 2)
+_line_forest("tree_single_predictor", ["l_quantity"], "l_extendedprice", "random", 1, 2)
+
+for _name, _how, _weight, _boot in (("forest_projection", "precision", None, False), ("forest_projection_determinant", "determinant", None, True), ("forest_projection_weighted", "precision", "case", False)):
+
+    def _forest(s: SparkSession, d: str, how: str = _how, weight: str | None = _weight, boot: bool = _boot) -> DataFrame:
+        p = _points(s, d).select("vec_id", F.slice("x", 1, 63).alias("x"), "y", F.get("x", 63).alias("z"), (1 + F.pmod("vec_id", F.lit(3))).alias("case"))
+        f = forests.grow_forest(p, "vec_id", "x", ["y", "z"], 10, 6, 5, "projection", weight=weight, bootstrap=boot)
+        return rounded(forests.forest_predict(p, "vec_id", "x", f, ["y", "z"], how), 5)
 
     add(_name, _forest)
 

@@ -208,14 +208,6 @@ def test_trees_find_a_step_and_a_line(data, spark):
     assert df.select(F.avg(F.abs(line.predict() - F.col("y")))).first()[0] < 0.3
 
 
-@pytest.mark.parametrize("kind", ["random", "best", "projection"])
-def test_forests(data, kind):
-    df = data[0].withColumn("x", F.array("a", "b"))
-    f = trees.grow_forest(df, "id", "x", ["y"], 8, 8, 3, kind)
-    p = trees.forest_predict(df, "id", "x", f, ["y"]).withColumnRenamed("y", "p").join(df, "id")
-    assert p.select(F.corr("p", "y")).first()[0] > 0.8
-
-
 def test_nets_and_memory(data, spark, tmp_path):
     df = data[0]
     net = networks.fit_link_net(df, "y", ["a", "b"])
