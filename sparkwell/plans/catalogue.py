@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distances, distributions, kernels, qubit, special, vectors
 from ..functions.expr import erf, log_gamma, uniform
-from ..operators import cluster, descriptive, forests, glm, iforest, linear, neighbors, networks, optimize, quantiles, sampling, tables, textdist, timeseries, trees
+from ..operators import cluster, descriptive, forests, glm, iforest, linear, metric_index, neighbors, networks, optimize, quantiles, sampling, tables, textdist, timeseries, trees
 from ..sources.dictionary import describe, dictionary
 from ..sources.store import Graph, load_model, save_model, shared_folder, table
 from ..streaming import online
@@ -945,6 +945,36 @@ def _points(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.col("label").cast("double").alias("y"))
 
 
+def _indexed(s: SparkSession, d: str) -> DataFrame:
+    """The five nearest vectors of every twentieth, exactly, through the metric tree."""
+    p = _points(s, d).select(F.col("vec_id").alias("id"), "x")
+    index = metric_index.build_index(p, distances.euclidean)
+    queries = p.where(F.pmod("id", F.lit(20)) == 0).select(F.col("id").alias("query"), F.col("x").alias("q"))
+    return rounded(metric_index.nearest_indexed(index, queries, 5, distances.euclidean), 5)
+
+
+add(
+    "nearest_index",
+    _indexed,
+    """WITH p AS (SELECT vec_id, embedding::DOUBLE[] x FROM embeddings), d AS (SELECT q.vec_id AS query, p.vec_id AS id, list_distance(p.x, q.x) AS distance FROM p, p q WHERE q.vec_id % 20 = 0)
+SELECT query, id, round(distance, 5) + 0.0::DOUBLE AS distance, row_number() OVER (PARTITION BY query ORDER BY distance, id)::INT AS rank FROM d QUALIFY rank <= 5""",
+)
+
+
+def _index_recall(s: SparkSession, d: str) -> DataFrame:
+    """Recall of the ten nearest by 140 probes a level, with the share of distances."""
+    p = _points(s, d).select(F.col("vec_id").alias("id"), "x")
+    index = metric_index.build_index(p, distances.euclidean, branch=16, leaf=8)
+    queries = p.where(F.pmod("id", F.lit(20)) == 0).select(F.col("id").alias("query"), F.col("x").alias("q"))
+    found = metric_index.nearest_indexed(index, queries, 10, distances.euclidean, probe=140)
+    exact = metric_index.nearest_indexed(index, queries, 10, distances.euclidean)
+    one = metric_index.recall(found, exact).crossJoin(metric_index.search_work(index, queries, 10, distances.euclidean, 140))  # one row each
+    return rounded(one.crossJoin(metric_index.search_work(index, queries, 10, distances.euclidean).toDF("computed_exact", "share_exact")), 4)
+
+
+add("nearest_index_recall", _index_recall)
+
+
 def _kmeans(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d)
     c = cluster.k_means(p, "x", 2, 2, [[-0.1] * 64, [0.1] * 64])
