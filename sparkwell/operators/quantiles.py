@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import clean
-from ..plans.ranks import global_rank, lower_sums, running_sum
+from ..plans.ranks import dominated_counts, global_rank, lower_sums, running_sum
 from ..sources.store import staged
 
 
@@ -58,7 +58,7 @@ def weighted_quantile(df: DataFrame, x: str, w: str, prob: float, by: list[str]
     by = by or []
     sums = df.select(*by, clean(x).alias("_x"), clean(w).alias("_w")).where("_x IS NOT NULL").groupBy(*by, "_x").agg(F.sum("_w").alias("_w"))
     run = running_sum(sums, by, ["_x"], "_w", "_c", "_t")
-    return run.where(F.col("_c") >= F.lit(prob) * F.col("_t") - 1e-9).groupBy(*by).agg(F.min("_x").alias("quantile"))
+    return run.where(F.col("_c") >= F.lit(prob) * F.col("_t") - 1e-9 * F.abs("_t")).groupBy(*by).agg(F.min("_x").alias("quantile"))
 
 
 def weighted_median(df: DataFrame, x: str, w: str, by: list[str] | None = None) -> DataFrame:
@@ -117,6 +117,19 @@ def dominated_share(df: DataFrame, key: str, x1: str, x2: str) -> DataFrame:
     return rows.join(counts, ["_a", "_b"]).select(F.col("_k").alias(key), (F.col("_n") / F.lit(float(n or 1))).alias("share"))
 
 
+def dominated_share_of(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key``, ``share``: for each row the share of rows at or below it in all of
+    ``columns``, of any number.  Rows with a null or NaN there are left out.  Equal
+    points are counted first; nested blocks of ranks take the place of pairs
+    (``plans.ranks.dominated_counts``)."""
+    names = [f"_x{i}" for i in range(len(columns))]
+    rows = df.select(F.col(key).alias("_k"), *[clean(c).alias(n) for c, n in zip(columns, names, strict=True)]).dropna(subset=names)
+    cells = staged(rows.groupBy(*names).agg(F.count("*").alias("_c")), "points")
+    n = cells.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
+    counts = dominated_counts(cells, names, "_c")
+    return rows.join(counts, names).select(F.col("_k").alias(key), (F.col("_n") / F.lit(float(n or 1))).alias("share"))
+
+
 def rank_share(df: DataFrame, key: str, columns: list[str], norm: str = "product") -> DataFrame:
     """``key``, ``share``: each column's ``(rank - 1/2) / n`` combined by a t-norm,
     ``product`` or ``minimum``.  Ties are ranked by ``key``."""

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import clean
+from ..sources.store import staged
 
 
 def n_categories(x) -> Column:
@@ -56,23 +61,70 @@ def histogram(df: DataFrame, x: str, bins: int) -> DataFrame:
     return rows.groupBy(at.alias("bin")).agg(F.count("*").alias("count"), (F.count("*") / (n * width)).alias("density"))
 
 
-def penalised_likelihood(df: DataFrame, x: str, most_bins: int = 100) -> DataFrame:
-    """``bins``, ``likelihood``: Birge and Rozenholc's criterion for 1 to
-    ``most_bins`` equal bins.  The data are counted once on a grid fine enough to
-    tell all bins apart only by value, so values are first reduced to counts."""
+#: Values of a piece of the sorted values, and bin counts that a task takes at once.
+PIECE, BLOCK = 4096, 512
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted values and their counts, some at a time as arrays."""
+    for batch in batches:
+        for at in range(0, len(batch), PIECE):
+            z, c = (batch.column(k).slice(at, PIECE) for k in (0, 1))
+            offsets = pa.array([0, len(z)], pa.int32())
+            yield pa.record_batch([pa.ListArray.from_arrays(offsets, z), pa.ListArray.from_arrays(offsets, c)], ["z", "c"])
+
+
+def _binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each number of bins: the sum of c log c over bins that a piece holds whole
+    (``bin`` -1), and its counts in the first and the last bin, which others may share."""
+    for batch in batches:
+        for z, c, low, high in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            z, c = np.array(z), np.array(c, float)
+            bins = np.arange(low, high)
+            out: list[tuple[int, int, float]] = []
+            for b in bins.tolist():
+                at = np.minimum(np.floor(z * b), b - 1).astype(np.int64)
+                counts = np.bincount(at - at[0], c)
+                inner = counts[1:-1]
+                inner = inner[inner > 0]
+                out += [(b, -1, float((inner * np.log(inner)).sum())), (b, int(at[0]), float(counts[0]))]
+                if at[-1] > at[0]:
+                    out.append((b, int(at[-1]), float(counts[-1])))
+            cols = list(zip(*out, strict=True))
+            yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["bins", "bin", "v"])
+
+
+def penalised_likelihood(df: DataFrame, x: str, most_bins: int | None = None) -> DataFrame:
+    """``bins``, ``likelihood``: Birge and Rozenholc's criterion for 1 to ``most_bins``
+    equal bins between the extremes, by default to one fewer than there are rows.
+
+    Equal values are counted, sorted by ranges and cut into pieces; each piece meets
+    each block of bin counts in a task of its own, sums the bins that lie inside it and
+    hands on its counts in its first and last bin, which are added to its neighbours'.
+    The work is values times bin counts, the memory of a task one piece.  Nulls and NaN
+    are left out; equal values only, or fewer than two, give no rows.
+    """
     rows = df.select(clean(x).alias("x")).where("x IS NOT NULL").groupBy("x").agg(F.count("*").alias("c"))
     n, low, high = rows.agg(F.sum("c"), F.min("x"), F.max("x")).first()
     if not n or low == high:
         return df.sparkSession.createDataFrame([], "bins long, likelihood double")
+    most = most_bins or n - 1
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     z = (F.col("x") - low) / (high - low)
-    each = rows.select("c", z.alias("z"), F.explode(F.sequence(F.lit(1), F.lit(most_bins))).alias("bins"))
-    cells = each.groupBy("bins", F.least(F.floor(F.col("z") * F.col("bins")), F.col("bins") - 1).alias("b")).agg(F.sum("c").alias("c"))
+    ranged = rows.select(z.alias("z"), "c").repartitionByRange(parts, "z").sortWithinPartitions("z")
+    pieces = staged(ranged.mapInArrow(_pieces, "z array<double>, c array<long>"), "pieces")
+    starts = F.explode(F.sequence(F.lit(1), F.lit(most), F.lit(BLOCK))).alias("low")
+    blocks = pieces.select("z", "c", starts).withColumn("high", F.least(F.col("low") + BLOCK, F.lit(most + 1)))
+    parted = blocks.repartition(parts, F.xxhash64("low", F.get("z", 0))).mapInArrow(_binned, "bins long, bin long, v double")
+    whole = parted.where("bin < 0").groupBy("bins").agg(F.sum("v").alias("v"))
+    shared = parted.where("bin >= 0").groupBy("bins", "bin").agg(F.sum("v").alias("c"))
+    shared = shared.groupBy("bins").agg(F.sum(F.col("c") * F.log("c")).alias("v"))
     d = F.col("bins").cast("double")
     penalty = d - 1 + F.pow(F.log(d), F.lit(2.5))
-    fit = F.sum(F.col("c") * F.log(F.col("c") * F.col("bins") / F.lit(float(n))))
-    return cells.groupBy("bins").agg(fit.alias("f")).select(F.col("bins").cast("long"), (F.col("f") - penalty).alias("likelihood"))
+    fit = F.sum("v") + F.lit(float(n)) * F.log(d / F.lit(float(n)))
+    return whole.union(shared).groupBy("bins").agg(fit.alias("f")).select("bins", (F.col("f") - penalty).alias("likelihood"))
 
 
-def best_histogram(df: DataFrame, x: str, most_bins: int = 100) -> DataFrame:
+def best_histogram(df: DataFrame, x: str, most_bins: int | None = None) -> DataFrame:
     best = penalised_likelihood(df, x, most_bins).orderBy(F.desc("likelihood"), "bins").first()
     return histogram(df, x, best["bins"] if best else 1)

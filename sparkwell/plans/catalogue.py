@@ -246,6 +246,12 @@ add(
     """SELECT a.c_custkey, round(count(*) / (SELECT count(*) FROM customer)::DOUBLE, 9) AS share FROM customer a
 JOIN customer b ON b.c_acctbal <= a.c_acctbal AND b.c_nationkey <= a.c_nationkey GROUP BY 1""",
 )
+add(
+    "dominated_share_three",
+    lambda s, d: rounded(quantiles.dominated_share_of(table(s, d, "customer").withColumn("third", F.pmod("c_custkey", F.lit(11))), "c_custkey", ["c_acctbal", "c_nationkey", "third"]), 9),
+    """SELECT a.c_custkey, round(count(*) / (SELECT count(*) FROM customer)::DOUBLE, 9) AS share FROM customer a
+JOIN customer b ON b.c_acctbal <= a.c_acctbal AND b.c_nationkey <= a.c_nationkey AND b.c_custkey % 11 <= a.c_custkey % 11 GROUP BY 1""",
+)
 _FUZZ = """WITH r AS (SELECT c_custkey, (row_number() OVER (ORDER BY c_acctbal, c_custkey) - 0.5::DOUBLE) / count(*) OVER () a,
 (row_number() OVER (ORDER BY c_nationkey, c_custkey) - 0.5::DOUBLE) / count(*) OVER () b FROM customer) """
 add(
@@ -291,6 +297,13 @@ add(
 c AS (SELECT bins, least(floor(z * bins), bins - 1) i, count(*) c, any_value(n) n FROM v, range(1, 31) t(bins) GROUP BY 1, 2)
 SELECT bins, round(sum(c * ln(c * bins / n)) - (bins - 1 + pow(ln(bins), 2.5)), 3) + 0.0::DOUBLE AS likelihood FROM c GROUP BY bins""",
 )
+add(
+    "histogram_penalised_all_bins",
+    lambda s, d: rounded(tables.penalised_likelihood(table(s, d, "customer"), "c_acctbal"), 3),
+    """WITH k AS (SELECT min(c_acctbal) a, max(c_acctbal) b, count(*)::DOUBLE n FROM customer), v AS (SELECT (c_acctbal - a) / (b - a) z, n, count(*) m FROM customer, k GROUP BY 1, 2),
+c AS (SELECT bins, least(floor(z * bins), bins - 1) i, sum(m)::DOUBLE c, any_value(n) n FROM v, range(1, (SELECT count(*) FROM customer)) t(bins) GROUP BY 1, 2)
+SELECT bins, round(sum(c * ln(c * bins / n)) - (bins - 1 + pow(ln(bins), 2.5)), 3) + 0.0::DOUBLE AS likelihood FROM c GROUP BY bins""",
+)
 add(
     "histogram_best",
     lambda s, d: rounded(tables.best_histogram(table(s, d, "lineitem"), "l_quantity", 30)),
@@ -962,13 +975,13 @@ SELECT query, id, round(distance, 5) + 0.0::DOUBLE AS distance, row_number() OVE
 
 
 def _index_recall(s: SparkSession, d: str) -> DataFrame:
-    """Recall of the ten nearest by 140 probes a level, with the share of distances."""
+    """Recall of the ten nearest by 180 probes a level, with the share of distances."""
     p = _points(s, d).select(F.col("vec_id").alias("id"), "x")
     index = metric_index.build_index(p, distances.euclidean, branch=16, leaf=8)
     queries = p.where(F.pmod("id", F.lit(20)) == 0).select(F.col("id").alias("query"), F.col("x").alias("q"))
-    found = metric_index.nearest_indexed(index, queries, 10, distances.euclidean, probe=140)
+    found = metric_index.nearest_indexed(index, queries, 10, distances.euclidean, probe=180)
     exact = metric_index.nearest_indexed(index, queries, 10, distances.euclidean)
-    one = metric_index.recall(found, exact).crossJoin(metric_index.search_work(index, queries, 10, distances.euclidean, 140))  # one row each
+    one = metric_index.recall(found, exact).crossJoin(metric_index.search_work(index, queries, 10, distances.euclidean, 180))  # one row each
     return rounded(one.crossJoin(metric_index.search_work(index, queries, 10, distances.euclidean).toDF("computed_exact", "share_exact")), 4)
 
 

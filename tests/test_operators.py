@@ -60,6 +60,52 @@ def test_dominated_share_is_exact_with_ties(spark):
         assert got[i] == pytest.approx((p <= v).all(1).mean())
 
 
+@pytest.mark.parametrize("columns", [1, 2, 3, 4])
+def test_dominance_in_any_number_of_columns(spark, columns):
+    rng = np.random.default_rng(6)
+    p = rng.integers(0, 7, size=(150, columns)).astype(float)
+    rows = [(i, *map(float, r)) for i, r in enumerate(p)] + [(900, *[None] * columns), (901, *[float("nan")] * columns)]
+    names = [f"c{i}" for i in range(columns)]
+    df = spark.createDataFrame(rows, "k long, " + ", ".join(f"{c} double" for c in names))
+    got = {r[0]: r[1] for r in quantiles.dominated_share_of(df, "k", names).collect()}
+    assert got.keys() == {*range(150)}
+    for i, v in enumerate(p):
+        assert got[i] == pytest.approx((p <= v).all(1).mean())
+    assert quantiles.dominated_share_of(df.limit(0), "k", names).count() == 0
+
+
+def test_dominance_rows_grow_with_the_square_of_the_logarithm(spark):
+    """What is filed for n points of three columns, against n log^2 n."""
+    from sparkwell.plans import ranks
+
+    for n in (64, 1024):
+        digits = n.bit_length()
+        every, below = ranks._blocks(F.col("id"), digits)
+        sizes = spark.range(n).select(F.avg(F.size(every)), F.max(F.size(below))).first()
+        assert sizes[0] == digits and sizes[1] <= digits
+
+
+def test_histogram_over_all_bin_counts(spark, monkeypatch):
+    from sparkwell.operators import tables
+
+    monkeypatch.setattr(tables, "PIECE", 7)
+    monkeypatch.setattr(tables, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=60), rng.normal(8, 0.2, size=30), [8.0] * 10]).round(2)
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double").repartition(3)
+    got = {r[0]: r[1] for r in tables.penalised_likelihood(df, "x").collect()}
+    z = (x - x.min()) / (x.max() - x.min())
+    want = {}
+    for b in range(1, len(x)):
+        c = np.bincount(np.minimum(np.floor(z * b), b - 1).astype(int)).astype(float)
+        c = c[c > 0]
+        want[b] = (c * np.log(c * b / len(x))).sum() - (b - 1 + np.log(b) ** 2.5)
+    assert got == pytest.approx(want)
+    best = max(want, key=lambda b: (want[b], -b))
+    assert {r["bin"] for r in tables.best_histogram(df, "x").collect()} <= {*range(best)}
+    assert tables.penalised_likelihood(df.where("x = 8"), "x").count() == 0
+
+
 def test_least_squares(data):
     df, x, y, _, _ = data
     m = np.column_stack([np.ones(400), x])
