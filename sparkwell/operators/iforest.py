@@ -123,12 +123,12 @@ def grow(forest: Forest, x: np.ndarray, limit: int, rng: np.random.Generator) ->
     return Node(0, rule, float(threshold), grow(forest, x[left], limit - 1, rng), grow(forest, x[~left], limit - 1, rng))
 
 
-def isolation_forest(df: DataFrame, key: str, x: str, trees: int = 100, psi: int = 64, kind: str = "projection", limit: int | None = None, seed: int = 1, most: int = 100_000) -> Forest:
+def isolation_forest(df: DataFrame, key: str, x: str, trees: int = 100, psi: int = 64, kind: str = "projection", limit: int | None = None, seed: int = 1) -> Forest:
     """``kind``: ``projection`` (random direction, uniform cut), ``gap`` (cut inside
     the largest gap), ``prototype`` (distance from one row), ``steinhaus`` (far from
     two rows, by their distance) or ``deep`` (projections of a random complex net)."""
     n = max(1, df.count())
-    share = min(1.0, min(most, trees * psi) / n * 1.2)
+    share = min(1.0, trees * psi / n * 1.2)
     rows = df.where(uniform(seed, key) <= share).select(x).where(F.col(x).isNotNull()).collect()
     data = np.array([r[0] for r in rows], float)
     rng = np.random.default_rng(seed)

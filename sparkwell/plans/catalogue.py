@@ -11,12 +11,13 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distances, distributions, kernels, qubit, special, vectors
 from ..functions.expr import erf, log_gamma, uniform
-from ..operators import cluster, descriptive, forests, glm, iforest, linear, metric_index, neighbors, networks, optimize, quantiles, sampling, tables, textdist, timeseries, trees
+from ..operators import cluster, descriptive, forests, glm, iforest, linear, metric_index, neighbors, networks, optimize, quantiles, records, sampling, tables, textdist, timeseries, trees
 from ..sources.dictionary import describe, dictionary
 from ..sources.store import Graph, load_model, save_model, shared_folder, table
 from ..streaming import online
@@ -1015,6 +1016,40 @@ for _name, _kind, _how in (
     add(_name, _iso)
 
 
+def _part_metric(x: pa.StructArray, p: dict) -> np.ndarray:
+    """Difference in size over 50, and one for another brand."""
+    return np.abs(x.field("size").to_numpy(zero_copy_only=False) - p["size"]) / 50 + (np.array(x.field("brand").to_pylist()) != p["brand"])
+
+
+def _parts(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "part").select("p_partkey", F.struct(F.col("p_size").alias("size"), F.col("p_brand").alias("brand")).alias("x"))
+
+
+for _name, _kind in (("proximity_records_one", "one"), ("proximity_records_two", "two")):
+
+    def _proximity(s: SparkSession, d: str, kind: str = _kind) -> DataFrame:
+        p = _parts(s, d)
+        forest = records.proximity_forest(p, "p_partkey", "x", _part_metric, 25, 30, kind, 4)
+        return rounded(records.proximity_scores(p, "p_partkey", "x", forest, _part_metric))
+
+    add(_name, _proximity)
+
+
+def _record_mean(s: SparkSession, d: str) -> DataFrame:
+    p = _parts(s, d)
+    mean, value = records.record_mean(p, "x", _part_metric, records.drawn_candidates(p, "p_partkey", "x", 40))
+    return rounded(s.createDataFrame([(mean["size"], mean["brand"], value)], "size int, brand string, variance double"))
+
+
+add(
+    "frechet_mean_records",
+    _record_mean,
+    f"""WITH c AS (SELECT p_size, p_brand, row_number() OVER (ORDER BY {fits_sql.uniform(1, "p_partkey")}, p_partkey) i FROM part QUALIFY i <= 40),
+v AS (SELECT i, any_value(c.p_size) AS size, any_value(c.p_brand) AS brand, avg(pow(abs(part.p_size - c.p_size) / 50.0::DOUBLE + (part.p_brand <> c.p_brand)::INT, 2)) v FROM c, part GROUP BY 1)
+SELECT size, brand, round(v, 6) AS variance FROM v ORDER BY v, i LIMIT 1""",
+)
+
+
 def _self_smooth(s: SparkSession, d: str) -> DataFrame:
     p = _points(s, d).select("vec_id", *[F.get("x", i).alias(f"x{i}") for i in range(3)])
     return rounded(linear.matrix_frame(s, iforest.self_smoothing_matrix(p, "vec_id", ["x0", "x1", "x2"], 3)), 5)
