@@ -1,10 +1,12 @@
 """Main text of web pages as a maximum-scoring stretch of words and tags.
 
-A page is read as a line of events: words and tags.  Words score by the element
-that holds them, tags score below zero, both by weights learned from pages that
-mark their article.  One linear scan finds the contiguous stretch with the
-greatest sum; that stretch, less the elements inside it that weigh below ``CUT``
-(an advert between two paragraphs), is the text.
+A page is read as a line of events: words and tags.  Words score by the element that
+holds them and by the signs (element names, words of class, id and role) of all elements
+around them, tags score below zero, both by weights learned from pages that mark their
+article.  The mark itself is no weight, only a border that is dear to cross, so pages are
+read alike with and without marks.  One linear scan finds the contiguous stretch with the
+greatest sum; a second one, over the negated sums of the stretch's blocks, finds the parts
+inside it that are no text (an advert between two paragraphs).
 """
 
 from __future__ import annotations
@@ -36,20 +38,10 @@ PLAIN = frozenset(
     ul ol li dl dt dd table caption tbody thead tfoot tr td th br hr img figure figcaption details summary center abbr
     cite q s del ins mark time var kbd samp tt label picture""".split()
 )
-# What is known of parts of a page before any page is read, as names
-# of elements (first) and words of class, id and role attributes.  Each is worth
-# PRIOR words seen outside articles.
-KNOWN = frozenset(
-    """head nav aside footer form noscript template button select svg canvas object dialog menu audio video datalist
-    math""".split()
-)
-MARKS = frozenset(
-    """ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments
-    comentarios commentaires complementary consent contentinfo cookie cookies copyright dialog disqus footer form
-    kommentare legal login menu menubar modal nav navbar navigation newsletter notice notices pagination pager popup
-    promo promoted promotion recommended related replies respond search share sharing sidebar signup skip social sponsor
-    sponsored subscribe subscription toolbar topbar widget widgets""".split()
-)
+# Elements that the HTML standard sets apart from the main content, which
+# count as -SIGN until pages say otherwise, and elements that are not shown as text.
+APART = frozenset("nav aside footer form header dialog menu".split())
+UNSEEN = frozenset("head noscript template button select datalist svg math canvas object audio video".split())
 
 _NAME = re.compile(r"/?[a-zA-Z][^\s/><]*")
 _STOP = re.compile(r"""[<>]|"[^"<]*"|'[^'<]*'|["']""")
@@ -60,16 +52,16 @@ _HUGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{8,});?")
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _HOLDERS = frozenset("a li td th h1 h2 h3 h4 h5 h6 p pre blockquote figcaption".split())
 
-#: Of words of a kind never met, of tags never met, the best that a tag can have,
-#: and the bounds of weights.
-WORD, TAG, MILD, LOWEST, HIGHEST = 0.5, -0.25, -0.01, -3.0, 3.0
-#: Pseudo-words of ``KNOWN`` and ``MARKS``; weight below which a part is no text;
-#: least words that a learned weight rests on.
-PRIOR, CUT, LEAST = 100, -4.0, 20
+#: Of words of a kind never met, of tags never met, the best that a tag can have, the
+#: bounds of words' and tags' weights, that of signs', and the border of a marked article.
+WORD, TAG, MILD, LOWEST, HIGHEST, SIGN, BORDER = 0.5, -0.25, -0.01, -3.0, 3.0, 6.0, -20.0
+#: The most that parts without text between two pieces of text cost the stretch; sum of
+#: blocks below which they are cut out of it; least words that a learned weight rests on.
+PART, INNER, LEAST = -2.0, -2.0, 20
 
-#: An event: kind, words in it, text (None for tags), whether it ends a block,
-#: whether it is in an article element, and whether in a part that is no text.
-Event = tuple[str, int, str | None, bool, bool, bool]
+#: An event: kind, words in it, text (None for tags), whether it ends a block, whether
+#: it is in an article element, whether it is not shown, and the worth of its signs.
+Event = tuple[str, int, str | None, bool, bool, bool, float]
 
 
 def _unescaped(text: str) -> str:
@@ -96,8 +88,7 @@ def signs(name: str, raw: str, inside: bool) -> tuple[set[str], bool]:
 
 def prior(sign: str) -> float:
     """The weight of a sign of which no page says anything."""
-    known = sign in KNOWN or sign in ("header", ".header") or sign[0] == "." and sign[1:] in MARKS
-    return -math.log(PRIOR + 1) if known else 0.0
+    return -SIGN if sign in APART else 0.0
 
 
 class Parts:
@@ -128,8 +119,8 @@ class Parts:
 def events(page: str, weights: dict[str, float] | None = None, parts: Parts | None = None) -> list[Event]:
     """The page as words and tags in order, in one pass.
 
-    A part is no text if a sign of it weighs below ``CUT`` or it is hidden.  Raw
-    elements (scripts, styles) are tags without words.  A tag ends at the first
+    Hidden and ``UNSEEN`` elements are not shown.  Raw elements (scripts, styles) are
+    tags without words.  A tag ends at the first
     ``>`` outside quotes, or, if quotes or the next ``<`` do not allow that, at
     the first ``>``; without any to come all else is text.  Elements that
     nothing closes end with the element around them.  Each step moves on, or
@@ -138,14 +129,14 @@ def events(page: str, weights: dict[str, float] | None = None, parts: Parts | No
     """
     weights = weights or {}
     out: list[Event] = []
-    # of each open element: name, kind of words, part no text, signs
-    stack: list[tuple[str, str, bool, set[str]]] = []
+    # of each open element: name, kind of words, not shown, signs, worth of all signs
+    stack: list[tuple[str, str, bool, set[str], float]] = []
     count: Counter[str] = Counter()
     articles, at, end = 0, 0, len(page)
     last = page.rfind(">")
 
     def add(what: str, n: int, text: str | None, ends: bool, cut: bool) -> None:
-        out.append((what, n, text, ends, articles > 0, cut))
+        out.append((what, n, text, ends, articles > 0, cut, stack[-1][4] if stack else 0.0))
         if parts:
             parts.total[articles <= 0 or cut] += n
 
@@ -159,7 +150,7 @@ def events(page: str, weights: dict[str, float] | None = None, parts: Parts | No
     def close(depth: int) -> None:
         nonlocal articles
         while len(stack) > depth:
-            name, _, _, found = stack.pop()
+            name, _, _, found, _ = stack.pop()
             count[name] -= 1
             articles -= name in ("article", "main")
             if parts:
@@ -218,12 +209,13 @@ def events(page: str, weights: dict[str, float] | None = None, parts: Parts | No
             add(name, 0, None, name in BLOCKS, True)
             continue
         here, hidden = signs(name, raw, articles > 0)
-        cut = is_cut() or hidden or any(weights.get(s, prior(s)) < CUT for s in here)
+        cut = is_cut() or hidden or name in UNSEEN
         add(name, 0, " " if name == "br" else None, name in BLOCKS, cut)
         if name in VOID or raw.endswith("/") and name not in BLOCKS:
             continue
         kind = ("h" if name[0] == "h" else name) if name in _HOLDERS else stack[-1][1] if stack else "other"
-        stack.append((name, kind, cut, here))
+        worth = (stack[-1][4] if stack else 0.0) + sum(weights.get(s, prior(s)) for s in sorted(here))
+        stack.append((name, kind, cut, here, worth))
         count[name] += 1
         articles += name in ("article", "main")
         if parts:
@@ -247,45 +239,77 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
     return begin, end
 
 
+def maximal_stretches(values: list[float]) -> list[tuple[int, int]]:
+    """All maximal scoring stretches (Ruzzo and Tompa, 1999): the best one, then the best
+    of what is left on either side, and so on; in linear time."""
+    found: list[tuple[int, int, float, float]] = []  # begin, end, sum before it, sum with it
+    lower: list[int] = []  # of each, the last one before it with a smaller sum before it
+    total = 0.0
+    for i, x in enumerate(values):
+        total += x
+        if x <= 0:
+            continue
+        begin, before = i, total - x
+        while True:
+            j = len(found) - 1
+            while j >= 0 and found[j][2] >= before:
+                j = lower[j]
+            if j < 0 or found[j][3] >= total:
+                break
+            begin, before = found[j][0], found[j][2]
+            del found[j:], lower[j:]
+        found.append((begin, i + 1, before, total))
+        lower.append(j)
+    return [f[:2] for f in found]
+
+
+def word_score(kind: str, worth: float, weights: dict[str, float]) -> float:
+    return max(LOWEST, min(HIGHEST, weights.get(kind, WORD) + worth))
+
+
 def scores(seen: list[Event], weights: dict[str, float]) -> list[float]:
-    """A score for each event.
+    """A score for each event: words by kind and signs, tags by theirs, zero at most.
 
-    Words score the weight of their kind, tags theirs, zero at most.  A part
-    that is no text costs one tag, whatever its length, so that an advert does
-    not part an article.  On a page that marks an article the mark counts too:
-    words in it score ``HIGHEST`` and its tags ``MILD``; words outside it score
-    nothing.
+    What is not shown scores nothing.  Parts whose signs weigh against them cost
+    ``PART`` at most until text comes again, so that an advert does not part an article.
     """
-    marked = any(article and n and not cut for _, n, _, _, article, cut in seen)
     out: list[float] = []
-    was_cut = False
-    for kind, n, text, _, article, cut in seen:
-        if cut:
-            x = 0.0 if was_cut else TAG
-        elif kind.startswith("word:"):
-            x = n * ((HIGHEST if article else 0.0) if marked else weights.get(kind, WORD))
-        else:
-            x = MILD if article else min(MILD, weights.get("<" + kind, TAG))
+    left = PART
+    for kind, n, _, _, _, cut, worth in seen:
+        x = 0.0
+        if kind.strip("/") in ("article", "main"):
+            x = BORDER
+        elif not cut:
+            x = n * word_score(kind, worth, weights) if kind.startswith("word:") else min(MILD, weights.get("<" + kind, TAG))
+            if worth < 0 and x < 0:
+                x = max(x, left)
+                left -= x
+            elif x > 0:
+                left = PART
         out.append(x)
-        was_cut = cut
     return out
 
 
-def main_text(page: str, weights: dict[str, float], inner: bool = True) -> str:
-    """Blocks of the best stretch, white space made one space, joined by one.
-    Without ``inner`` parts of the stretch that are no text stay too."""
+def main_text(page: str, weights: dict[str, float], scan: bool = True, inner: bool = True) -> str:
+    """Blocks of the best stretch, white space made one space, joined by one.  Without
+    ``scan`` the stretch is the whole page, without ``inner`` nothing is cut out of it."""
     seen = events(page, weights)
-    begin, end = best_stretch(scores(seen, weights))
-    blocks: list[str] = []
-    part: list[str] = []
-    for _, _, text, ends, _, cut in seen[begin:end]:
+    begin, end = best_stretch(scores(seen, weights)) if scan else (0, len(seen))
+    blocks: list[list[str]] = [[]]
+    worth = [0.0]
+    for kind, n, text, ends, _, cut, signs_ in seen[begin:end]:
         if ends:
-            blocks.append("".join(part))
-            part = []
-        if text and not (cut and inner):
-            part.append(text)
-    blocks.append("".join(part))
-    return " ".join(x for b in blocks if (x := " ".join(b.split())))
+            blocks.append([])
+            worth.append(0.0)
+        if text and not cut:
+            blocks[-1].append(text)
+            worth[-1] += n * word_score(kind, signs_, weights)
+    gone: set[int] = set()
+    if inner:
+        for i, j in maximal_stretches([-w for w in worth]):
+            if sum(worth[i:j]) < INNER:
+                gone.update(k for k in range(i, j) if worth[k] < 0)  # text between two adverts stays
+    return " ".join(x for i, b in enumerate(blocks) if i not in gone and (x := " ".join("".join(b).split())))
 
 
 def _odds(rows: list[tuple[str, int, int]]) -> dict[str, float]:
@@ -299,23 +323,21 @@ def weights_of(counts: list[tuple[str, int, int]]) -> dict[str, float]:
     sign), how much of it lies in articles, and how much outside.
 
     Words and tags have the log-odds of their kind; words that do not mostly
-    lie outside have ``WORD`` at least.  A sign has the log-odds of the words
-    under it, known ones from ``PRIOR`` on.
+    lie outside have ``WORD`` at least.  A sign has the log-odds of the words under it.
     """
     tags = [r for r in counts if r[0].startswith("<")]
     held = [r for r in counts if r[0].startswith("word:")]
     out = _odds(tags) | {k: max(WORD, w) if a >= b else w for (k, a, b), w in zip(held, _odds(held).values(), strict=True)}
     for k, a, b in counts:
         if not k.startswith(("<", "word:")):
-            out[k] = prior(k) + math.log((a + 1) / (b + 1))
+            out[k] = max(-SIGN, min(SIGN, math.log((a + 1) / (b + 1))))
     return out
 
 
 def learn_weights(pages: DataFrame, most_pages: int = 2000) -> dict[str, float]:
     """Weights from pages that mark their article with an element of that name:
-    the words in it, but for parts known to be no text, are inside.  The mark
-    itself, and what lies in such parts, teaches nothing else, so the weights
-    serve pages without marks.
+    the words in it are inside, all others outside.  The mark itself teaches nothing
+    else, so the weights serve pages without marks.
 
     Of at most about ``most_pages`` pages, those with the smallest hashes.
     Kinds with fewer than ``LEAST`` words or tags are left out, which bounds
@@ -333,7 +355,7 @@ def learn_weights(pages: DataFrame, most_pages: int = 2000) -> dict[str, float]:
                 seen = events(page or "", None, parts)
                 if not any(x[4] and x[1] for x in seen):
                     continue
-                for kind, words, _, _, article, cut in seen:
+                for kind, words, _, _, article, cut, _ in seen:
                     if kind.startswith("word:"):
                         n[article][kind] += 0 if cut else words
                     elif not cut and kind.strip("/") not in ("article", "main"):
