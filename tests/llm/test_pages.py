@@ -162,7 +162,7 @@ def test_unmarked_menu_goes_by_its_tags():
 
 def test_weights_of_signs():
     w = H.weights_of([(".x", 0, 500), (".y", 10, 500), ("nav", 0, 30), ("word:p", 50, 0), ("word:a", 1, 9), ("<li", 2, 9)])
-    assert -H.SIGN == w[".x"] < w["nav"] < w[".y"] < 0 and w["word:p"] >= H.WORD > w["word:a"]
+    assert -H.SIGN == w[".x"] < w[".y"] < w["nav"] < 0 and w["word:p"] >= H.WORD > w["word:a"]
     assert H.main_text("<article><p>a b c</p><i class=x>no</i></article>", w) == "a b c"
     assert H.weights_of([]) == {}
 
