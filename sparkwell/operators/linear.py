@@ -76,6 +76,73 @@ def qr_q(df: DataFrame, columns: list[str], prefix: str = "q") -> DataFrame:
     )
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+
+
+def _triangle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """R of all rows of a task, one batch after the other, as rows."""
+    r = None
+    for batch in batches:
+        if len(batch):
+            x = _matrix(batch)
+            r = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
+    if r is not None:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in r.T], [f"c{j}" for j in range(r.shape[1])])
+
+
+#: Tasks of the second step of a reduction of triangles.
+FAN_IN = 64
+
+
+def _positive(r: np.ndarray) -> np.ndarray:
+    """R with a diagonal that is not negative."""
+    return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+
+
+def tall_skinny_r(df: DataFrame, columns: list[Column | str]) -> np.ndarray:
+    """R of the thin QR decomposition by Householder reflections, with a positive
+    diagonal: each task reduces its rows to a triangle, ``FAN_IN`` tasks reduce the
+    triangles, and the driver what they leave.  Unlike Cholesky's root of the Gram matrix
+    it does not square the condition number.  Rows with a missing value are left out;
+    fewer rows than columns give rows of zeros."""
+    p = len(columns)
+    rows = df.select(*[clean(c).alias(f"c{i}") for i, c in enumerate(columns)]).dropna()
+    shape = ", ".join(f"c{j} double" for j in range(p))
+    some = rows.mapInArrow(_triangle, shape).repartition(FAN_IN).mapInArrow(_triangle, shape)
+    left = np.array([list(r) for r in some.collect()], float).reshape(-1, p)  # p rows a task of the second step
+    r = np.linalg.qr(np.vstack([left, np.zeros((p, p))]), mode="r")
+    return _positive(r)
+
+
+def tall_skinny_qr(df: DataFrame, columns: list[str], prefix: str = "q") -> tuple[DataFrame, np.ndarray]:
+    """``df`` with the columns of Q, and R, of the thin QR decomposition.
+
+    X over R is orthogonal only as far as the condition number lets it; decomposing
+    that once more (its condition is near one) makes it so to the last digits.  Two
+    reductions, and one product where the rows lie.  Linearly dependent columns raise
+    a LinAlgError.
+    """
+    p = len(columns)
+    first = tall_skinny_r(df, [*columns])
+    names = [f"_{prefix}{j}" for j in range(p)]
+
+    def over(rows: DataFrame, r: np.ndarray, source: list[str], target: list[str]) -> DataFrame:
+        # forward substitution, as rounding errors of an inverse would stay in Q
+        if not (np.abs(np.diag(r)) > 100 * np.finfo(float).eps * np.abs(r).max()).all():
+            raise np.linalg.LinAlgError("columns are linearly dependent")
+        for j, t in enumerate(target):
+            value = col(source[j])
+            for i in range(j):
+                value = value - F.col(target[i]) * float(r[i, j])
+            rows = rows.withColumn(t, value / float(r[j, j]))
+        return rows
+
+    near = over(df, first, columns, names)
+    second = tall_skinny_r(near, [*names])
+    return over(near, second, names, [f"{prefix}{j}" for j in range(p)]).drop(*names), second @ first
+
+
 def outer_product(df: DataFrame, key: str, columns: list[str], queries: DataFrame) -> DataFrame:
     """Rows of ``X X'`` for the rows of ``queries``: ``key``, ``query``, ``v``."""
     from .neighbors import pairs

@@ -83,10 +83,36 @@ def nearest_one(queries: DataFrame, rows: DataFrame, metric: Metric) -> DataFram
     return near.groupBy("query").agg(F.min("c").alias("c")).select("query", "c.id", "c.distance")
 
 
-def local_average(queries: DataFrame, rows: DataFrame, kernel: Callable[[Column], Column], width: float, y: str = "y") -> DataFrame:
+def near_pairs(queries: DataFrame, rows: DataFrame, width: float, x: Column, q: Column) -> DataFrame:
+    """Rows with the queries whose number ``q`` is no more than ``width`` from their
+    ``x``, by a join on cells of that width: a query is dealt to its own cell and the two
+    beside it.  Nothing is sent to all tasks, and no pair further apart than two cells is
+    formed.  Pairs with a null or NaN on either side are left out."""
+    cell = width * (1 + 1e-9)  # so that rounding cannot part what is just in reach
+    at = lambda c: F.floor(c / cell)
+    dealt = queries.select("query", "q", q.alias("_q")).where(F.col("_q").isNotNull() & ~F.isnan("_q"))
+    dealt = dealt.withColumn("_cell", F.explode(F.array(*[at(F.col("_q")) + k for k in (-1, 0, 1)])))
+    placed = rows.withColumn("_x", x).where(F.col("_x").isNotNull() & ~F.isnan("_x")).withColumn("_cell", at(F.col("_x")))
+    return placed.join(dealt, "_cell").where(F.abs(F.col("_x") - F.col("_q")) <= cell).drop("_cell", "_x", "_q")
+
+
+def _smoothed(queries: DataFrame, rows: DataFrame, width: float, compact: bool) -> DataFrame:
+    """Pairs that a kernel may weigh.  With ``compact`` only those that the first
+    coordinate does not put out of reach, which distances with missing coordinates
+    scaled up do not bring nearer; where it is missing, all pairs."""
+    if not compact:
+        return pairs(queries, rows)
+    lost = lambda c: F.coalesce(F.isnan(F.get(c, 0)), F.lit(True))
+    near = near_pairs(queries, rows, width, F.get("x", 0), F.get("q", 0)).select(*rows.columns, "query", "q")
+    return near.unionByName(pairs(queries.where(lost("q")), rows)).unionByName(pairs(queries.where(~lost("q")), rows.where(lost("x"))))
+
+
+def local_average(queries: DataFrame, rows: DataFrame, kernel: Callable[[Column], Column], width: float, y: str = "y", compact: bool = False) -> DataFrame:
     """Nadaraya and Watson's estimate ``query``, ``prediction``.  Coordinates that
-    are missing on either side are left out and the distance scaled up for them."""
-    both = pairs(queries, rows)
+    are missing on either side are left out and the distance scaled up for them.
+    ``compact``: the kernel is zero beyond ``width``, and pairs beyond it are not
+    formed; a query without any then has no row."""
+    both = _smoothed(queries, rows, width, compact)
     d = F.zip_with("x", "q", lambda a, b: F.when(~F.isnan(a - b), (a - b) * (a - b)))
     usable = F.filter(d, lambda v: v.isNotNull())
     total = F.aggregate(usable, F.lit(0.0), lambda s, v: s + v)
@@ -99,15 +125,21 @@ def local_average(queries: DataFrame, rows: DataFrame, kernel: Callable[[Column]
     )
 
 
-def local_linear(queries: DataFrame, rows: DataFrame, kernel: Callable[[Column], Column], width: float, x: str = "x", y: str = "y") -> DataFrame:
-    """Local line at each query of one coordinate: ``query``, ``prediction``."""
-    both = pairs(queries, rows.select(F.col(x).alias("x"), F.col(y).alias("y")))
+def local_linear(queries: DataFrame, rows: DataFrame, kernel: Callable[[Column], Column], width: float, x: str = "x", y: str = "y", compact: bool = False) -> DataFrame:
+    """Local line at each query of one coordinate: ``query``, ``prediction``.
+    ``compact`` as for ``local_average``; rows of one ``x`` are then added up first."""
+    points = rows.select(F.col(x).alias("x"), F.col(y).alias("y"))
+    if compact:
+        sums = points.dropna().groupBy("x").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+        both = near_pairs(queries, sums, width, F.col("x"), F.col("q"))
+    else:
+        both = pairs(queries, points.withColumn("n", F.lit(1)))
     z = F.col("x") - F.col("q")
     k = kernel(z / width)
-    s = both.select("query", k.alias("k"), z.alias("z"), "y").groupBy("query").agg(
-        F.sum("k").alias("s0"),
-        F.sum(F.col("k") * F.col("z")).alias("s1"),
-        F.sum(F.col("k") * F.col("z") * F.col("z")).alias("s2"),
+    s = both.select("query", k.alias("k"), z.alias("z"), "y", "n").groupBy("query").agg(
+        F.sum(F.col("k") * F.col("n")).alias("s0"),
+        F.sum(F.col("k") * F.col("n") * F.col("z")).alias("s1"),
+        F.sum(F.col("k") * F.col("n") * F.col("z") * F.col("z")).alias("s2"),
         F.sum(F.col("k") * F.col("y")).alias("t0"),
         F.sum(F.col("k") * F.col("z") * F.col("y")).alias("t1"),
     )

@@ -783,6 +783,17 @@ add(
     """WITH k AS (SELECT sum(l_quantity * l_quantity) a, sum(l_quantity * l_discount) b, sum(l_discount * l_discount) c FROM lineitem)
 SELECT 0 AS i, 0 AS j, round(sqrt(a), 4) AS v FROM k UNION ALL SELECT 0, 1, round(b / sqrt(a), 4) FROM k UNION ALL SELECT 1, 0, 0.0::DOUBLE FROM k UNION ALL SELECT 1, 1, round(sqrt(c - b * b / a), 4) FROM k""",
 )
+def _tall_q(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *_XS[:2])
+    return rounded(linear.tall_skinny_qr(rows, _XS[:2])[0].select("l_orderkey", "l_linenumber", "q0", "q1"), 8)
+
+
+add(
+    "qr_tall_skinny",
+    _tall_q,
+    """WITH k AS (SELECT sum(l_quantity * l_quantity) a, sum(l_quantity * l_discount) b, sum(l_discount * l_discount) c FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(l_quantity / sqrt(a), 8) AS q0, round((l_discount - l_quantity * b / a) / sqrt(c - b * b / a), 8) + 0.0::DOUBLE AS q1 FROM lineitem, k""",
+)
 add(
     "qr_q",
     lambda s, d: rounded(linear.qr_q(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", *_XS[:2]), _XS[:2]).select("l_orderkey", "l_linenumber", "q0", "q1"), 8),
@@ -924,6 +935,26 @@ add(
     lambda s, d: rounded(neighbors.local_linear(*_series(s, d), kernels.gaussian, 0.8), 5),
     _SM + "SELECT query, round((sum(k * z * z) * sum(k * y) - sum(k * z) * sum(k * z * y)) / (sum(k) * sum(k * z * z) - pow(sum(k * z), 2)), 5) AS prediction FROM d GROUP BY query",
 )
+_BAND = """WITH r AS (SELECT l_extendedprice x, l_quantity y FROM lineitem), q AS (SELECT c_custkey AS query, c_acctbal * 10 q FROM customer WHERE c_custkey % 20 = 0),
+d AS (SELECT query, x - q z, y, 0.75::DOUBLE * (1 - pow((x - q) / 500.0::DOUBLE, 2)) k FROM r, q WHERE abs(x - q) <= 500) """
+
+
+def _band(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    q = table(s, d, "customer").where(F.pmod("c_custkey", F.lit(20)) == 0).select(F.col("c_custkey").alias("query"), (F.col("c_acctbal") * 10).alias("q"))
+    return q, table(s, d, "lineitem").select(F.col("l_extendedprice").alias("x"), F.col("l_quantity").cast("double").alias("y"))
+
+
+def _band_average(s: SparkSession, d: str) -> DataFrame:
+    q, r = _band(s, d)
+    return rounded(neighbors.local_average(q.withColumn("q", F.array("q")), r.withColumn("x", F.array("x")), kernels.epanechnikov, 500.0, compact=True))
+
+
+add("local_average_band", _band_average, _BAND + "SELECT query, round(sum(k * y) / sum(k), 6) AS prediction FROM d GROUP BY query")
+add(
+    "local_linear_band",
+    lambda s, d: rounded(neighbors.local_linear(*_band(s, d), kernels.epanechnikov, 500.0, compact=True), 5),
+    _BAND + "SELECT query, round((sum(k * z * z) * sum(k * y) - sum(k * z) * sum(k * z * y)) / nullif(sum(k) * sum(k * z * z) - pow(sum(k * z), 2), 0), 5) AS prediction FROM d GROUP BY query",
+)
 add(
     "lagrange",
     lambda s, d: rounded(neighbors.lagrange(table(s, d, "nation").select(F.col("n_nationkey").alias("query"), (F.col("n_nationkey") / 25).alias("q")), table(s, d, "region").select(((F.col("r_regionkey") - 2) / 2).alias("x"), F.exp((F.col("r_regionkey") - 2) / 2).alias("y")))),

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sparkwell.functions import kernels
 from sparkwell.operators import cluster, descriptive, glm, iforest, linear, neighbors, networks, optimize, quantiles, sampling, tables, textdist, timeseries, trees
 from sparkwell.functions import distances
 from sparkwell.sources.store import load_model, save_model
@@ -166,6 +167,43 @@ def test_matrices(data):
     assert s @ v == pytest.approx((v @ s @ v) * v) and (v @ s @ v) == pytest.approx(np.linalg.eigvalsh(s)[-1])
 
 
+def test_tall_skinny_decomposition_keeps_orthogonality(spark):
+    """Columns of condition 1e10: Cholesky's root of the Gram matrix fails on them."""
+    rng = np.random.default_rng(9)
+    u, _ = np.linalg.qr(rng.normal(size=(800, 5)))
+    v, _ = np.linalg.qr(rng.normal(size=(5, 5)))
+    x = (u * np.geomspace(1, 1e-10, 5)) @ v.T
+    names = [f"x{j}" for j in range(5)]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in names)).repartition(7)
+    found, r = linear.tall_skinny_qr(df, names)
+    q = np.array([[row[f"q{j}"] for j in range(5)] for row in found.orderBy("id").collect()])
+    assert np.abs(q.T @ q - np.eye(5)).max() < 1e-12
+    assert np.abs(q @ r - x).max() < 1e-14 and (np.diag(r) > 0).all() and np.allclose(r, np.triu(r))
+    want = np.linalg.qr(x, mode="r")
+    assert np.allclose(np.abs(np.diag(r)), np.abs(np.diag(want)), rtol=1e-4)
+    assert found.columns == ["id", *names, *(f"q{j}" for j in range(5))]
+    assert linear.tall_skinny_r(df.limit(0), names) == pytest.approx(np.zeros((5, 5)))
+    with pytest.raises(np.linalg.LinAlgError):
+        linear.tall_skinny_qr(df.withColumn("x1", F.col("x0")), names)
+
+
+@pytest.mark.parametrize("kernel", [kernels.epanechnikov, kernels.uniform])
+def test_band_join_smooths_as_all_pairs_do(spark, kernel):
+    rng = np.random.default_rng(10)
+    nan = float("nan")
+    rows = [([float(a), float(b)], float(c)) for a, b, c in rng.normal(size=(300, 3)).round(2)] + [([nan, 0.5], 3.0), ([0.1, nan], 2.0)] + [([0.25, 0.25], 1.0)] * 60
+    asks = [(i, [float(a), float(b)]) for i, (a, b) in enumerate(rng.normal(size=(30, 2)).round(2))] + [(50, [nan, 0.0]), (51, [9.0, 9.0]), (52, [0.25, nan])]
+    r, q = spark.createDataFrame(rows, "x array<double>, y double"), spark.createDataFrame(asks, "query long, q array<double>")
+    taken = lambda df: {k: v for k, v in df.collect() if v is not None}
+    near = taken(neighbors.local_average(q, r, kernel, 0.5, compact=True))
+    assert near == pytest.approx(taken(neighbors.local_average(q, r, kernel, 0.5))) and len(near) > 20
+    line, ask = r.select(F.get("x", 0).alias("x"), "y").where("not isnan(x)"), q.select("query", F.get("q", 0).alias("q")).where("not isnan(q)")
+    assert taken(neighbors.local_linear(ask, line, kernel, 0.5, compact=True)) == pytest.approx(taken(neighbors.local_linear(ask, line, kernel, 0.5)), rel=1e-6)
+    formed = neighbors.near_pairs(ask, line, 0.5, F.col("x"), F.col("q"))
+    assert formed.where(F.abs(F.col("x") - F.col("q")) > 0.5001).count() == 0
+    assert formed.count() < 0.5 * line.count() * ask.count()
+
+
 def test_series(spark):
     rng = np.random.default_rng(3)
     x = np.zeros(3000)
