@@ -314,7 +314,8 @@ def repeats(rows: DataFrame) -> DataFrame:
     texts = rows.join(wanted, _same_row(rows, wanted)).select(
         wanted["doc_id"], wanted["h"], F.explode(F.transform("at", cut)).alias("c")
     )
-    contexts = texts.select("doc_id", "h", "c.*").join(many.select("anchor", F.lit(True).alias("hot")), "anchor", "left")
+    # a row that is repeated gives each of its contexts once; its copies are marked above
+    contexts = texts.select("doc_id", "h", "c.*").dropDuplicates(["doc_id", "h", "anchor", "a"]).join(many.select("anchor", F.lit(True).alias("hot")), "anchor", "left")
     contexts = staged(contexts, "context-bytes")
     out = alike.union(copied).union(_indexed(contexts.where("hot IS NULL")))
     hot = contexts.where("hot")

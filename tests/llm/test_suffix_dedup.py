@@ -101,3 +101,29 @@ def test_cleaned_keeps_columns_and_whole_characters(spark):
     out = {r["doc_id"]: r for r in S.cleaned(df).collect()}
     assert S.cleaned(df).columns == df.columns
     assert out[1]["text"] == "ü" and out[1]["n_chars"] == 1 and out[3]["text"] == "alone"
+
+
+def test_a_row_that_is_repeated_sends_its_contexts_once(spark, monkeypatch):
+    """A third of all rows are one row without an id."""
+    from sparkwell.llm import suffix_dedup
+
+    counts = {}
+    plain = suffix_dedup.staged
+
+    def counted(df, tag):
+        out = plain(df, tag)
+        counts[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "staged", counted)
+    shared = "".join(chr(97 + i * i % 23) for i in range(500))
+    other = [(i, f"{i} only here " * 30) for i in range(20)]
+
+    def contexts(copies):
+        rows = [(None, "left " + shared + " right")] * copies + [(99, "begin " + shared + " end")] + other
+        got = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        removed = sorted({r["n_removed"] for r in got if r["doc_id"] is None or r["doc_id"] == 99})
+        return counts["context-bytes"], removed
+
+    one, removed = contexts(1)
+    assert contexts(12)[0] == one and min(removed) >= 500
