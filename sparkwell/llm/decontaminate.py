@@ -162,6 +162,8 @@ def _text_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         texts = texts.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")), "left_semi")
     there = wanted.select(F.col("doc_id").alias("hit_id"), F.col("h").alias("hit_h"), "places")
     texts = texts.hint("merge").join(there, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("h") == F.col("hit_h")))
+    # a row that is repeated is one text
+    texts = texts.dropDuplicates(["doc_id", "h"])
     # few documents with much work: as many tasks as the session has partitions
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = texts.repartition(parts, "doc_id", "h")
