@@ -4,7 +4,9 @@ A text is read as a string of word classes.  Five transducers are composed into
 one: insult and threat words, the targets they are aimed at, negation and
 reported speech.  The composed machine reads a clause and writes what it found
 there, so that an insult that is denied, quoted or aimed at someone is a
-different event from the bare word; a logistic layer weighs the events.
+different event from the bare word; a logistic layer weighs the events.  Words
+that tell little by themselves are hints: they pass the same machine, and what
+the different ones of a text weigh is added up.
 
 The insult lexicon, its weights and the weights of the events are learned from
 labelled rows; only the closed-class words below are given.
@@ -44,10 +46,11 @@ töten umbringen schlagen erschießen verbrennen ermorden
 tuer frapper brûler égorger assassiner poignarder
 matar golpear quemar asesinar apuñalar disparar""".split()
 
-OTHER, BREAK, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(8)
-N_CLASSES = 8
+OTHER, BREAK, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, HINT = range(9)
+N_CLASSES = 9
 #: What the composed machine writes.  ``AIMED`` comes on top of an insult.
-EVENTS = ["insult", "denied", "reported", "aimed", "threat", "softened_threat"]
+#: ``hint_rate`` is what ``hint`` comes to for a hundred different words.
+EVENTS = ["insult", "denied", "reported", "aimed", "threat", "softened_threat", "hint", "hint_rate"]
 _TOKEN = re.compile(r"[^\W_]+|[.!?;:\n\"«»„“”]")
 _MARKS = dict.fromkeys(".!?;:\n", BREAK) | dict.fromkeys("\"«»„“”", QUOTE)
 _GIVEN = {
@@ -58,7 +61,7 @@ _GIVEN = {
 #: Words after a negation that it still covers.
 NEGATION_SCOPE = 3
 #: Letters of the prefixes tried as lexicon arcs.
-PREFIXES = range(4, 8)
+PREFIXES = range(4, 12)
 #: Words whose class a worker remembers.
 MOST_WORDS = 100_000
 
@@ -93,10 +96,10 @@ class Transducer:
 
 
 def _negation() -> Transducer:
-    """Marks insults and threats up to NEGATION_SCOPE words after a negation."""
+    """Marks insults, threats and hints up to NEGATION_SCOPE words after a negation."""
 
     def step(left: int, x: int):
-        out = [(x, left > 0 and x in (INSULT, THREAT), False)]
+        out = [(x, left > 0 and x in (INSULT, THREAT, HINT), False)]
         if x == NEGATION:
             return NEGATION_SCOPE, out
         return 0 if x == BREAK else max(0, left - (x != QUOTE)), out
@@ -110,7 +113,7 @@ def _reported() -> Transducer:
 
     def step(state: int, x):
         kind, denied, _ = x
-        out = [(kind, denied, state > 0 and kind in (INSULT, THREAT))]
+        out = [(kind, denied, state > 0 and kind in (INSULT, THREAT, HINT))]
         if kind == REPORT:
             return max(state, 1), out
         if kind == QUOTE:
@@ -143,6 +146,8 @@ def _clause() -> Transducer:
                 out.append(4)
             else:
                 state |= 4
+        elif kind == HINT:
+            out += [] if denied or reported else [6]
         elif kind == TARGET:
             out += [3] * (state >> 1 & 1) + [4] * (state >> 2 & 1)
             state = 1
@@ -170,45 +175,58 @@ class Lexicon:
 
 
 class Reader:
-    """Reads texts with a lexicon; remembers the classes of words it has met."""
+    """Reads texts with a lexicon of insults and one of hints; remembers the
+    classes of words it has met."""
 
-    def __init__(self, lexicon: Lexicon) -> None:
+    def __init__(self, lexicon: Lexicon, hints: Lexicon | None = None) -> None:
         self.lexicon = lexicon
+        self.hints = hints or Lexicon()
         self._known: dict[str, int] = dict(_MARKS)
 
     def _class(self, word: str) -> int:
         kind = INSULT if self.lexicon.weight(word) else _GIVEN.get(word, OTHER)
+        if kind == OTHER and self.hints.weight(word):
+            kind = HINT
         if len(self._known) < MOST_WORDS and len(word) < 64:
             self._known[word] = kind
         return kind
 
     def events(self, text: str) -> list[float]:
         """For each kind of event, the weight of its occurrences; each clause
-        counts once with its heaviest."""
+        counts once with its heaviest.  A word is a hint once in a text."""
         total = [0.0] * len(EVENTS)
         words = _TOKEN.findall(text.lower())
         known = self._known
         kinds = [known[w] if w in known else self._class(w) for w in words]
-        if INSULT not in kinds and THREAT not in kinds:
+        if INSULT not in kinds and THREAT not in kinds and HINT not in kinds:
             return total
+        hints: set[str] = set()
         state, last = 0, 0.0
         clause = [0.0] * len(EVENTS)
         for word, kind in zip(words, kinds, strict=True):
             if kind == INSULT:
                 last = self.lexicon.weight(word)
             for e in WRITES[state][kind]:
+                if e == 6:
+                    hints.add(word)
+                    continue
                 clause[e] = max(clause[e], last if e < 4 else 1.0)
             state = ARCS[state][kind]
             if kind == BREAK and any(clause):
                 total = [a + b for a, b in zip(total, clause, strict=True)]
                 clause = [0.0] * len(EVENTS)
-        return [a + b for a, b in zip(total, clause, strict=True)]
+        total = [a + b for a, b in zip(total, clause, strict=True)]
+        if hints:
+            total[6] = sum(self.hints.weight(w) for w in sorted(hints))
+            total[7] = 100 * total[6] / len(set(words))
+        return total
 
 
 @dataclass
 class Model:
     lexicon: Lexicon
     weights: list[float]  # one for each event, then the constant
+    hints: Lexicon = field(default_factory=Lexicon)
 
     def probability(self, events: list[float]) -> float:
         z = self.weights[-1] + sum(w * math.log1p(e) for w, e in zip(self.weights, events, strict=False))
@@ -247,16 +265,44 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int, label_col: str
     return docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
 
-def learn_lexicon(rows: DataFrame, least: int = 5, lift: float = 3.0, chance: float = 1e-8) -> Lexicon:
-    """Words and prefixes that mark texts with label 1.
+def arcs(pos: dict[str, int], neg: dict[str, int], n_pos: int, n_neg: int, lift: float, chance: float) -> Lexicon:
+    """The patterns with log-odds of ``lift`` or more whose counts would come
+    about by chance with a probability below ``chance`` (Chernoff's bound).  A
+    prefix goes if a longer pattern covers nine tenths of its texts."""
+    base = n_pos / (n_pos + n_neg)
+    weight: dict[str, float] = {}
+    for p, k in pos.items():
+        m = neg.get(p, 0)
+        odds = math.log((k + 0.5) / (n_pos + 1)) - math.log((m + 0.5) / (n_neg + 1))
+        q = k / (k + m)
+        far = k * math.log(q / base) + (m * math.log((1 - q) / (1 - base)) if m else 0)
+        if odds >= lift and far > -math.log(chance):
+            weight[p] = odds
+    covered: set[str] = set()
+    for p in weight:
+        word = p.rstrip("*")
+        covered.update(
+            c
+            for k in PREFIXES
+            if k < len(word) or (k == len(word) and not p.endswith("*"))
+            if (c := word[:k] + "*") in weight and pos[p] >= 0.9 * pos[c]
+        )
+    kept = {p: w for p, w in weight.items() if p not in covered}
+    return Lexicon(
+        {p: w for p, w in kept.items() if not p.endswith("*")}, {p[:-1]: w for p, w in kept.items() if p.endswith("*")}
+    )
+
+
+def learn_lexicon(
+    rows: DataFrame, least: int = 5, lift: float = 3.0, hint_lift: float = 1.5, chance: float = 1e-8
+) -> tuple[Lexicon, Lexicon]:
+    """Words and prefixes that mark texts with label 1: those of insults
+    (log-odds of ``lift`` or more) and hints (``hint_lift`` or more).
 
     Positive texts with the same smallest word hash, near copies for the most
     part, count as one, so that the words of a text that was copied often do
-    not look like insults.  The ``most`` patterns that occur in most positive
-    texts (``least`` or more) are held against the negative texts.  Taken are
-    those with log-odds of ``lift`` or more whose counts would come about by
-    chance with a probability below ``chance`` (Chernoff's bound).  A prefix
-    goes if a longer pattern covers nine tenths of its texts.
+    not look like insults.  All patterns in ``least`` or more positive texts
+    are held against the negative texts.
     """
 
     def positive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,29 +331,8 @@ def learn_lexicon(rows: DataFrame, least: int = 5, lift: float = 3.0, chance: fl
     neg = {r["pattern"]: r["n"] for r in sums.agg(F.sum("n").alias("n")).collect()}
     n_pos, n_neg = pos.pop("", 0), neg.pop("", 0)
     if not n_pos or not n_neg:
-        return Lexicon()
-    base = n_pos / (n_pos + n_neg)
-    weight: dict[str, float] = {}
-    for p, k in pos.items():
-        m = neg.get(p, 0)
-        odds = math.log((k + 0.5) / (n_pos + 1)) - math.log((m + 0.5) / (n_neg + 1))
-        q = k / (k + m)
-        far = k * math.log(q / base) + (m * math.log((1 - q) / (1 - base)) if m else 0)
-        if odds >= lift and far > -math.log(chance):
-            weight[p] = odds
-    covered: set[str] = set()
-    for p in weight:
-        word = p.rstrip("*")
-        covered.update(
-            c
-            for k in PREFIXES
-            if k < len(word) or (k == len(word) and not p.endswith("*"))
-            if (c := word[:k] + "*") in weight and pos[p] >= 0.9 * pos[c]
-        )
-    kept = {p: w for p, w in weight.items() if p not in covered}
-    return Lexicon(
-        {p: w for p, w in kept.items() if not p.endswith("*")}, {p[:-1]: w for p, w in kept.items() if p.endswith("*")}
-    )
+        return Lexicon(), Lexicon()
+    return arcs(pos, neg, n_pos, n_neg, lift, chance), arcs(pos, neg, n_pos, n_neg, hint_lift, chance)
 
 
 def fit_events(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> list[float]:
@@ -331,20 +356,20 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000) -> Model:
     positive labels (0 if there are none)."""
     narrow_batches(docs.sparkSession)
     rows = staged(training_rows(docs, labels, most_rows), "training")
-    lexicon = learn_lexicon(rows)
+    lexicon, hints = learn_lexicon(rows)
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(lexicon)
+        reader = Reader(lexicon, hints)
         for batch in batches:
             found = [reader.events(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), batch.column(1)], ["x", "y"])
 
     got = rows.select("text", F.col("label").cast("double")).mapInArrow(tidy(events), "x array<double>, y double").toPandas()
     if got.empty or got["y"].min() > 0:
-        return Model(lexicon, [0.0] * len(EVENTS) + [math.inf if len(got) else -math.inf])
+        return Model(lexicon, [0.0] * len(EVENTS) + [math.inf if len(got) else -math.inf], hints)
     if got["y"].max() <= 0:
-        return Model(lexicon, [0.0] * len(EVENTS) + [-math.inf])
-    return Model(lexicon, fit_events(np.array(got["x"].tolist()), (got["y"] > 0).to_numpy(float)))
+        return Model(lexicon, [0.0] * len(EVENTS) + [-math.inf], hints)
+    return Model(lexicon, fit_events(np.array(got["x"].tolist()), (got["y"] > 0).to_numpy(float)), hints)
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
@@ -352,7 +377,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     narrow pass; nothing is shuffled."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model.lexicon)
+        reader = Reader(model.lexicon, model.hints)
         for batch in batches:
             found = [model.probability(reader.events(t or "")) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*batch.schema.names, name])
