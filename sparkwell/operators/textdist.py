@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import lzma
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import staged
+
+#: Phrases of the stated queries that one block sends to the tasks.
+MOST_PHRASES = 200_000
+#: Rows of a result batch.
+BATCH = 10_000
+
 
 def lz_phrases(data: bytes) -> set[bytes]:
     """Phrases of the Lempel-Ziv parse: each the shortest not met before."""
@@ -65,3 +74,85 @@ def ncd_z(a, b) -> Column:
 
 def ncd_x(a, b) -> Column:
     return as_udf(ncd_lzma)(a, b)
+
+
+def phrase_table(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key`` and ``phrases`` (null of a null text), each text parsed once, in
+    time that grows with its length."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                found = [None if t is None else _parse(t.encode()) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.binary()))], ["key", "phrases"])
+
+    kind = dict(df.dtypes)[key]
+    return df.select(F.col(key).alias("key"), F.col(text).alias("t")).mapInArrow(rows, f"key {kind}, phrases array<binary>")
+
+
+def _parse(data: bytes) -> list[bytes]:
+    """The phrases of ``lz_phrases`` by a walk down their trie."""
+    trie: dict[tuple[int, int], int] = {}
+    out: list[bytes] = []
+    node = start = 0
+    for end, byte in enumerate(data, 1):
+        below = trie.get((node, byte))
+        if below is None:
+            out.append(data[start:end])
+            trie[node, byte] = len(out)
+            node, start = 0, end
+        else:
+            node = below
+    return out
+
+
+def lz_jaccard_to(df: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key``, ``query``, ``value``: the Lempel-Ziv Jaccard distance of each row
+    of ``df`` to each row of ``queries``, whole texts.
+
+    Phrases are found once a text and kept as a table.  Queries go to the tasks
+    in blocks of about ``MOST_PHRASES`` phrases (one longer text is a block by
+    itself) as an index from phrase to queries; a row counts its phrases against
+    all queries of a block at once, so that a phrase that all texts share makes
+    no pairs of rows and nothing is shuffled.  The result has rows times queries
+    rows, as asked.  A null text has a null distance; empty texts are 0 apart;
+    repeated rows come out as often as they occur; other columns are ignored.
+    """
+    rows = staged(phrase_table(df, key, text), "phrases")
+    asked = staged(phrase_table(queries, key, text), "queries")
+    kind = dict(df.dtypes)[key]
+    total = asked.agg(F.sum(F.greatest(F.size("phrases"), F.lit(1)))).first()[0] or 0
+    k = max(1, -(-total // MOST_PHRASES))
+    out = None
+    for i in range(k):
+        block = asked.where(F.pmod(F.xxhash64("key"), F.lit(k)) == i).toArrow()
+        part = rows.mapInArrow(_against(key, block.column("key"), block.column("phrases").to_pylist()), f"`{key}` {kind}, query {kind}, value double")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _against(key: str, names, phrases: list[list[bytes] | None]):
+    """The task that holds rows against one block of queries."""
+    names = names.combine_chunks()
+    sizes = np.array([-1 if p is None else len(p) for p in phrases])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index: dict[bytes, list[int]] = {}
+        for q, found in enumerate(phrases):
+            for x in found or []:
+                index.setdefault(x, []).append(q)
+        for batch in batches:
+            for i in range(batch.num_rows if len(names) else 0):
+                mine = batch.column(1)[i].as_py()
+                hits = [q for x in mine or [] for q in index.get(x, ())]
+                both = np.bincount(np.array(hits, np.int64), minlength=len(names))
+                union = len(mine or []) + sizes - both
+                value = np.where(union > 0, 1 - both / np.maximum(union, 1), 0.0)
+                missing = (sizes < 0) | (mine is None)
+                ids = pa.array([batch.column(0)[i].as_py()] * len(names), batch.schema.field(0).type)
+                whole = pa.RecordBatch.from_arrays([ids, names, pa.array(value, mask=missing)], [key, "query", "value"])
+                for at in range(0, len(names), BATCH):
+                    yield whole.slice(at, BATCH)
+
+    return run

@@ -1259,6 +1259,14 @@ add("ncd_lzma", lambda s, d: _texts(s, d, textdist.ncd_x))
 add("lzjd", lambda s, d: _texts(s, d, textdist.lzjd))
 
 
+def _documents_lzjd(s: SparkSession, d: str) -> DataFrame:
+    docs = table(s, d, "documents")
+    return rounded(textdist.lz_jaccard_to(docs, docs.where("doc_id % 20 = 0")))
+
+
+add("lzjd_documents", _documents_lzjd)
+
+
 def _qubits(s: SparkSession, d: str) -> DataFrame:
     a = F.col("n_nationkey") / 25
     q = qubit.state(F.cos(a), 0.0, F.sin(a), 0.0)

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -404,3 +405,34 @@ def test_windowed_stream(spark, tmp_path):
     query = online.windowed_mean(stream, "x", "t", "1 minute", "1 minute", ["g"]).writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted((r["n"], r["mean"]) for r in spark.table("windows").collect()) == [(1, 8.0), (2, 3.0)]
+
+
+@pytest.mark.parametrize("most", [200_000, 40])
+def test_lz_jaccard_of_tables(spark, monkeypatch, most):
+    r = random.Random(21)
+    monkeypatch.setattr(textdist, "MOST_PHRASES", most)
+    texts = ["".join(r.choice("abc é") for _ in range(r.randrange(0, 80))) for _ in range(30)] + ["", None, "a" * 3000, "", "ab"]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, "abc", "x"), (4, texts[4], "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, query string").repartition(3)
+    out = textdist.lz_jaccard_to(df, df.where("doc_id % 3 = 0"))
+    assert out.columns == ["doc_id", "query", "value"]
+    got = sorted(out.collect(), key=str)
+    want = []
+    for i, a, _ in rows:
+        for j, b, _ in rows:
+            if j is not None and j % 3 == 0:
+                value = None if a is None or b is None else textdist.lz_jaccard(a.encode(), b.encode())
+                want.append((i, j, value))
+    assert len(got) == len(want)
+    assert [(x[0], x[1]) for x in sorted(got, key=lambda x: (str(x[0]), x[1]))] == [(x[0], x[1]) for x in sorted(want, key=lambda x: (str(x[0]), x[1]))]
+    exact = {(x[0], x[1]): x[2] for x in want}
+    assert all(x[2] == pytest.approx(exact[x[0], x[1]]) if x[2] is not None else exact[x[0], x[1]] is None for x in got)
+    assert textdist.lz_jaccard_to(df.limit(0), df).count() == 0 and textdist.lz_jaccard_to(df, df.limit(0)).count() == 0
+
+
+def test_phrases_by_trie():
+    r = random.Random(22)
+    for _ in range(200):
+        data = bytes(r.choice(b"ab\0c") for _ in range(r.randrange(200)))
+        assert set(textdist._parse(data)) == textdist.lz_phrases(data)
+        assert len(textdist._parse(data)) == len(textdist.lz_phrases(data))
