@@ -65,3 +65,28 @@ def test_nearest_by_blocks(spark, vectors, monkeypatch):
     copies = spark.range(300).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("x"))
     one = neighbors.nearest(copies.where("id = 5").select(F.col("id").alias("query"), F.col("x").alias("q")), copies, 4, distances.manhattan)
     assert [r["id"] for r in one.orderBy("rank").collect()] == [0, 1, 2, 3]
+
+
+def test_smoothers_form_a_pair_once_for_copies(spark):
+    """Copies of rows and queries are added up before pairs are formed."""
+    from sparkwell.functions import kernels
+
+    asked = []
+
+    def kernel(u):
+        asked.append(u)
+        return kernels.epanechnikov(u)
+
+    rows = spark.range(4000).select(F.pmod("id", F.lit(40)).cast("double").alias("x"), F.pmod("id", F.lit(7)).cast("double").alias("y"))
+    queries = spark.range(600).select(F.col("id").alias("query"), (F.pmod("id", F.lit(30)) + 0.5).alias("q"))
+    pairs = neighbors.near_pairs(neighbors._different(queries), rows.groupBy("x").agg(F.count("*").alias("n")), 2.0, F.col("x"), F.col("q"))
+    assert pairs.count() == 4 * 30 - 1 and {r["n"] for r in pairs.collect()} == {100}
+    line = {r["query"]: r["prediction"] for r in neighbors.local_linear(queries, rows, kernel, 2.0, compact=True).collect()}
+    mean = neighbors.local_average(queries.withColumn("q", F.array("q")), rows.withColumn("x", F.array("x")), kernel, 2.0, compact=True)
+    mean = {r["query"]: r["prediction"] for r in mean.collect()}
+    assert len(line) == len(mean) == 600 and asked
+    for q in (0, 29, 31, 599):
+        at = q % 30 + 0.5
+        got = [(i % 40, i % 7) for i in range(4000) if abs(i % 40 - at) < 2]
+        k = [0.75 * (1 - ((x - at) / 2) ** 2) for x, _ in got]
+        assert mean[q] == pytest.approx(sum(w * y for w, (_, y) in zip(k, got, strict=True)) / sum(k))
