@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranks import global_rank, running_sum
 from .store import staged
 from .words import word_array
 
@@ -85,16 +86,17 @@ def _grams(rows: DataFrame, *keep: str, outer: bool = False) -> DataFrame:
     )
 
 
-def labelled_ids(labels: DataFrame, most: int, label_col: str = "quality") -> tuple[DataFrame, DataFrame]:
+def labelled_ids(labels: DataFrame, most: int | None = None, label_col: str = "quality") -> tuple[DataFrame, DataFrame]:
     """Ids to learn from: trusted ones (label 1, an even hash) for the counts, and
-    ``doc_id``, ``good`` of those with an odd hash for the threshold.  If there are
-    more than ``most`` labelled documents, those with the smallest hashes, about
-    that many; this bounds what is sent to the executors."""
+    ``doc_id``, ``good`` of those with an odd hash for the threshold.  All labelled
+    documents count; only if the caller gives ``most`` are those with the smallest
+    hashes taken, about that many."""
     known = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         (F.min(label_col) > 0).alias("good")
     )
-    share = min(1.0, most / max(1, known.count()))
-    known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
+    if most is not None:
+        share = min(1.0, most / max(1, known.count()))
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     even = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
     return known.where(even & F.col("good")).select("doc_id"), known.where(~even)
 
@@ -103,13 +105,12 @@ def gram_weights(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """``bucket``, ``weight``: micro-nats of the log-likelihood ratio between the
     trusted texts and the whole corpus, for all ``N_BUCKETS`` buckets.
 
-    Corpus counts cover all documents.  ``trusted``: a bounded table of ids.
+    Corpus counts cover all documents.  ``trusted``: a table of different ids.
     Both multinomials have one count added to each bucket.  Counts are added up
     before the shuffle, so hot words cost one row a task.
     """
-    rows = docs.select("doc_id", word_array(F.col("text")).alias("w")).join(
-        F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left"
-    )
+    marked = docs.select("doc_id", "text").join(trusted.select("doc_id", F.lit(1).alias("trusted")), "doc_id", "left")
+    rows = marked.select("trusted", word_array(F.col("text")).alias("w"))
     grams = _grams(rows, "trusted").select("trusted", F.explode(F.array("b1", "b2")).alias("bucket"))
     counts = staged(
         grams.where("bucket IS NOT NULL")
@@ -163,7 +164,24 @@ def best_threshold(scores: list[tuple[int, bool]], default: int = THRESHOLD) ->
     return best[1] if best and best[0][0] > 1 else default
 
 
-def quality(docs: DataFrame, labels: DataFrame, threshold: int | None = None, most_labels: int = 50_000) -> DataFrame:
+def learned_threshold(scores: DataFrame, default: int = THRESHOLD) -> int:
+    """``best_threshold`` of a table of ``score``, ``good``: equal scores are counted,
+    and running counts over the different ones are worked out by ranges."""
+    one = F.when(F.col("good"), 1).otherwise(0).cast("long")
+    cells = staged(scores.groupBy("score").agg(F.sum(one).alias("n_good"), F.sum(1 - one).alias("n_bad")), "scores")
+    good = running_sum(cells, [], ["score"], "n_good", "below_good", "all_good").select("score", "below_good", "all_good")
+    bad = running_sum(cells, [], ["score"], "n_bad", "below_bad", "all_bad").select("score", "below_bad", "all_bad")
+    placed = staged(global_rank(good.join(bad, "score"), ["score"], "place"), "placed-scores")
+    after = placed.select((F.col("place") - 1).alias("place"), F.col("score").alias("following"))
+    share = (F.col("all_good") - F.col("below_good")) / F.col("all_good") + F.col("below_bad") / F.col("all_bad")
+    cut = placed.where("all_good > 0 AND all_bad > 0").join(after, "place")
+    best = cut.agg(F.max(F.struct(share.alias("share"), (F.col("following") - F.col("score")).alias("gap"), (-F.col("score")).alias("low"))).alias("m")).first()["m"]
+    if best is None or best["share"] <= 1:
+        return default
+    return (best["gap"] - 2 * best["low"]) // 2
+
+
+def quality(docs: DataFrame, labels: DataFrame, threshold: int | None = None, most_labels: int | None = None) -> DataFrame:
     """``doc_id``, ``n_words``, the four counts, ``base_failed``, ``kept`` and
     ``score`` of every row.
 
@@ -175,11 +193,11 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: int | None = None, mo
     kinds the threshold is ``THRESHOLD``.  An empty table gives no rows.  Other
     columns are ignored.
     """
-    trusted, others = labelled_ids(labels, most_labels)
+    # as tables, whose size tells Spark whether to send them
+    trusted, others = (staged(ids, "labelled") for ids in labelled_ids(labels, most_labels))
     weights = gram_weights(docs, trusted)
     if threshold is None:
-        held = docs.select("doc_id", "text").join(F.broadcast(others), "doc_id")
-        rows = _scored(held, weights, "good").where("NOT base_failed").select("score", "good").collect()
-        threshold = best_threshold([(r["score"], r["good"]) for r in rows])
+        held = staged(docs.select("doc_id", "text").join(others, "doc_id").select("text", "good"), "held")
+        threshold = learned_threshold(_scored(held, weights, "good").where("NOT base_failed").select("score", "good"))
     kept = ~F.col("base_failed") & (F.col("score") >= threshold)
     return _scored(docs, weights, "doc_id").select("doc_id", *_COUNTS, kept.alias("kept"), "score")
