@@ -83,3 +83,25 @@ def test_edges(spark):
     assert taken(mi.nearest_indexed(index, ask, 3, distances.euclidean)) == {1: [(5, pytest.approx(2**0.5))] * 2}
     with pytest.raises(ValueError):
         mi.nearest_indexed(index, ask, 4, distances.euclidean)
+
+
+def test_pieces_meet_blocks_of_queries(spark, points, monkeypatch):
+    """No pair of vectors is a row of a join; pieces and blocks smaller than a leaf's share, ids
+    as text, infinite queries and queries of another length keep the rows."""
+    monkeypatch.setattr(mi, "PIECE", 50)
+    monkeypatch.setattr(mi.blocks, "BLOCK", 100)
+    df, _ = points
+    named = df.select(F.format_string("%05d", "id").alias("id"), "x")
+    queries = named.where("id % 50 = 0").select(F.col("id").alias("query"), F.col("x").alias("q"))
+    odd = spark.createDataFrame([("inf", [float("inf")] + [0.0] * 5), ("short", [0.0])], "query string, q array<double>")
+    queries = queries.unionByName(odd)
+    index = mi.build_index(named, distances.euclidean, branch=4, leaf=40, most=10)
+    found = mi.nearest_indexed(index, queries, 7, distances.euclidean)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
+    plain = mi.build_index(named, lambda a, b: distances.euclidean(a, b), branch=4, leaf=40, most=10)
+    assert index.pieces is not None and plain.pieces is None
+    for probe in (None, 5):
+        got, want = (taken(mi.nearest_indexed(i, queries, 7, m, probe)) for i, m in ((index, distances.euclidean), (plain, lambda a, b: distances.euclidean(a, b))))
+        assert got.keys() == want.keys() and "inf" in got and "short" not in got
+        assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in got)
