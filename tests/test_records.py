@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkwell.operators import records
 from sparkwell.operators.iforest import c_factor
+from sparkwell.plans import catalogue
 
 SCHEMA = "id long, x struct<size: double, name: string>"
 
@@ -112,3 +113,20 @@ def test_few_rows_of_many_are_offered(spark):
     df = spark.range(20_000).select("id", F.struct(F.col("id").cast("double").alias("size"), F.lit("a").alias("name")).alias("x"))
     drawn = records._drawn(df, "id", "x", 10, 16, 1).groupBy("tree").count().collect()
     assert sorted(r["count"] for r in drawn) == [16] * 10
+
+
+def test_scores_of_a_small_file_are_dealt_out(spark, monkeypatch):
+    """Tasks by rows, not by bytes; the same scores however they are dealt."""
+    df = spark.range(0, 90, 1, 1).select("id", F.struct((F.col("id") % 7).cast("int").alias("size"), F.concat(F.lit("b"), F.col("id") % 3).alias("brand")).alias("x"))
+    forest = records.proximity_forest(df, "id", "x", catalogue._part_metric, 5, 20, "two", 4)
+    whole = {r["id"]: r["score"] for r in records.proximity_scores(df, "id", "x", forest, catalogue._part_metric).collect()}
+    monkeypatch.setattr(records, "PART", 20, raising=False)
+    dealt = records.proximity_scores(df, "id", "x", forest, catalogue._part_metric)
+    assert dealt.rdd.getNumPartitions() == 5
+    assert {r["id"]: r["score"] for r in dealt.collect()} == whole and len(whole) == 90
+
+
+def test_part_metric_of_nulls():
+    x = pa.array([{"size": 10, "brand": "a"}, {"size": 20, "brand": None}, {"size": 30, "brand": "b"}])
+    assert list(catalogue._part_metric(x, {"size": 10, "brand": "a"})) == pytest.approx([0.0, 1.2, 1.4])
+    assert list(catalogue._part_metric(x, {"size": 20, "brand": None})) == pytest.approx([1.2, 0.0, 1.2])
