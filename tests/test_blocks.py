@@ -90,3 +90,20 @@ def test_smoothers_form_a_pair_once_for_copies(spark):
         got = [(i % 40, i % 7) for i in range(4000) if abs(i % 40 - at) < 2]
         k = [0.75 * (1 - ((x - at) / 2) ** 2) for x, _ in got]
         assert mean[q] == pytest.approx(sum(w * y for w, (_, y) in zip(k, got, strict=True)) / sum(k))
+
+
+@pytest.mark.parametrize("name", ["canberra", "chebyshev_reference", "clark", "euclidean", "fuzzy_hamming", "hassanat", "minkowski", "soergel", "vector_dot"])
+def test_blocks_are_worked_out_in_place(name):
+    """A coordinate makes no arrays of pairs of its own: the result, two buffers, and what
+    ends the distance."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(size=(64, 8)), rng.normal(size=(512, 8))
+    metric = catalogue._BLOCK_VALUES[name]
+    metric(x, q)
+    tracemalloc.start()
+    metric(x, q)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4.7 * 64 * 512 * 8
