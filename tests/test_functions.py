@@ -151,3 +151,32 @@ def test_gates_keep_the_norm(spark):
     twice = qubit.apply(qubit.SQRT_NOT, qubit.apply(qubit.SQRT_NOT, q))
     a, b = (spark.range(1).select(v.alias("q")).first()[0] for v in (twice, qubit.apply(qubit.X, q)))
     assert list(a) == pytest.approx(list(b))
+
+
+def test_draws_take_listed_steps_and_draw_once(spark):
+    """Draws of whole numbers with stated parameters do not add up probabilities for each
+    row, and shares draw each of their parts once."""
+    from sparkwell.functions import distributions as D
+    from sparkwell.functions.expr import uniform
+
+    ids = spark.range(3000)
+    listed = {"binomial": D.rbinom(20, 0.4, 2, "id"), "hypergeometric": D.rhyper(6, 7, 5, 4, "id"), "poisson": D.rpois(3.0, 5, "id"), "none": D.rbinom(0, 0.4, 2, "id"), "few": D.rhyper(2, 9, 10, 6, "id")}
+    scanned = {
+        "binomial": D.qbinom(uniform(2, "id"), 20, 0.4), "hypergeometric": D.qhyper(uniform(4, "id"), 6, 7, 5), "poisson": D.qpois(uniform(5, "id"), 3.0),
+        "none": D.qbinom(uniform(2, "id"), 0, 0.4), "few": D.qhyper(uniform(6, "id"), 2, 9, 10),
+    }
+    got, want = (ids.select("id", *[c.alias(n) for n, c in x.items()]) for x in (listed, scanned))
+    assert got.collect() == want.collect()
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan(got) and "aggregate(" in plan(want)
+    assert plan(ids.select(D.runifsimplex(3, 18, "id").alias("s"))).count("md5(") == 3
+    shares = ids.select(D.runifsimplex(3, 18, "id").alias("s"), D.rdirichlet([1.0, 2.0], 17, "id").alias("d"), D.rbeta(2.0, 3.0, 16, "id").alias("b")).collect()
+    assert all(abs(sum(r["s"]) - 1) < 1e-12 and abs(sum(r["d"]) - 1) < 1e-12 and 0 < r["b"] < 1 for r in shares)
+
+
+def test_distribution_draws_are_dealt_out(spark, tmp_path):
+    """A table of one row group is drawn in many tasks."""
+    from sparkwell.plans import catalogue
+
+    spark.range(50_000).select(F.col("id").alias("event_id")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert catalogue.QUERIES["distribution_draws"](spark, str(tmp_path)).rdd.getNumPartitions() == 3
