@@ -436,3 +436,23 @@ def test_phrases_by_trie():
         data = bytes(r.choice(b"ab\0c") for _ in range(r.randrange(200)))
         assert set(textdist._parse(data)) == textdist.lz_phrases(data)
         assert len(textdist._parse(data)) == len(textdist.lz_phrases(data))
+
+
+def test_dominated_counts_nest_the_columns_of_few_values(spark, monkeypatch):
+    """The rows that are filed hang on the values of the columns, not on their order."""
+    from sparkwell.plans import ranks
+
+    filed = []
+
+    def counted(df, by, order, *names):
+        if by:
+            filed.append(df.count())
+        return plain(df, by, order, *names)
+
+    plain = ranks.running_sum
+    monkeypatch.setattr(ranks, "running_sum", counted)
+    cells = spark.range(600).select(F.col("id").cast("double").alias("a"), F.pmod(F.col("id") * 7, F.lit(3)).alias("b"), F.pmod("id", F.lit(5)).alias("c"), F.lit(1).cast("long").alias("w"))
+    got = [{(r["a"], r["b"], r["c"]): r["_n"] for r in ranks.dominated_counts(cells, names, "w").collect()} for names in (["a", "b", "c"], ["b", "c", "a"])]
+    assert got[0] == got[1] and len(got[0]) == 600 and filed[0] == filed[1] < 600 * 15
+    rows = [(i, i * 7 % 3, i % 5) for i in range(600)]
+    assert all(got[0][r] == sum(all(x <= y for x, y in zip(o, r, strict=True)) for o in rows) for r in rows[::37])
