@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkwell.functions import distances
+from sparkwell.functions import block_distances, distances
 from sparkwell.operators import blocks, neighbors
 from sparkwell.plans import catalogue
 
@@ -107,3 +107,43 @@ def test_blocks_are_worked_out_in_place(name):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 4.7 * 64 * 512 * 8
+
+
+def _vectors_of(kind):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return {
+        "unit": (x, x[::4]),
+        "copies": (np.repeat(x[:20], 10, 0), x[:20]),
+        "near": (x + rng.normal(size=x.shape) * 1e-7, x[:50]),
+        "zero": (np.vstack([np.zeros((3, 8)), x]), np.vstack([np.zeros((2, 8)), x[:50]])),
+        "huge": (x * 1e200, x[:50] * 1e200),
+        "tiny": (x * 1e-180, x[:50]),
+        "mixed": (x * 10.0 ** rng.integers(-200, 200, size=(200, 1)), x[:50]),
+        "ties": (rng.integers(0, 3, size=(200, 4)) / 8.0, rng.integers(0, 3, size=(60, 4)) / 8.0),
+        "halves": (rng.integers(-2000000, 2000000, size=(200, 1)) / 2e6, np.ones((3, 1))),
+    }[kind]
+
+
+KINDS = ["unit", "copies", "near", "zero", "huge", "tiny", "mixed", "ties", "halves"]
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("name", ["euclidean", "cosine", "vector_dot", "jl_bounds"])
+def test_products_round_as_the_distance_itself(name, kind):
+    """What a product's bound leaves open is worked out again: the same rounded values."""
+    x, q = _vectors_of(kind)
+    metric = catalogue._BLOCK_VALUES[name]
+    with np.errstate(all="ignore"):
+        got, lost = blocks.rounded_values(metric, x, q, 6)
+        want = blocks.half_up(metric(x, q), 6)
+    assert lost is None and np.array_equal(got, want, equal_nan=True)
+
+
+@pytest.mark.parametrize("name", ["euclidean", "cosine", "vector_dot", "jl_bounds"])
+def test_products_take_the_place_of_coordinates(name, monkeypatch):
+    """No coordinate's column is added up for ordinary vectors."""
+    x, q = _vectors_of("unit")
+    monkeypatch.setattr(block_distances, "total2", lambda *_: pytest.fail("by coordinates"))
+    blocks.rounded_values(catalogue._BLOCK_VALUES[name], x[1::4], q, 6)
