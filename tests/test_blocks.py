@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,3 +148,23 @@ def test_products_take_the_place_of_coordinates(name, monkeypatch):
     x, q = _vectors_of("unit")
     monkeypatch.setattr(block_distances, "total2", lambda *_: pytest.fail("by coordinates"))
     blocks.rounded_values(catalogue._BLOCK_VALUES[name], x[1::4], q, 6)
+
+
+@pytest.mark.parametrize("kind", KINDS)
+@pytest.mark.parametrize("k", [1, 5, 300])
+def test_nearest_by_products(kind, k):
+    """The same rows in the same order as by the distances themselves."""
+    x, q = _vectors_of(kind)
+    ids = pa.array(np.random.default_rng(7).permutation(len(x)))
+    with np.errstate(all="ignore"):
+        r, c, value = blocks._nearest(block_distances.euclidean, x, q, ids, k)
+        all_values = block_distances.euclidean(x, q)
+    rows, columns = blocks._least(all_values, ids, k)
+    assert np.array_equal(r, rows) and np.array_equal(c, columns) and np.array_equal(value, all_values[rows, columns])
+
+
+def test_nearest_works_out_few_pairs(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, q = rng.normal(size=(2000, 8)), rng.normal(size=(30, 8))
+    monkeypatch.setattr(block_distances, "total2", lambda *_: pytest.fail("all pairs"))
+    assert len(blocks._nearest(block_distances.euclidean, x, q, pa.array(np.arange(2000)), 5)[0]) == 150
