@@ -168,3 +168,17 @@ def test_nearest_works_out_few_pairs(monkeypatch):
     x, q = rng.normal(size=(2000, 8)), rng.normal(size=(30, 8))
     monkeypatch.setattr(block_distances, "total2", lambda *_: pytest.fail("all pairs"))
     assert len(blocks._nearest(block_distances.euclidean, x, q, pa.array(np.arange(2000)), 5)[0]) == 150
+
+
+def test_fuzzy_hamming_of_small_numbers(monkeypatch):
+    """Where no two numbers exceed one together, the greater is all there is to it."""
+    rng = np.random.default_rng(9)
+    x, q = rng.uniform(-0.5, 0.5, size=(90, 6)), rng.uniform(-0.5, 0.49, size=(40, 6))
+    a, b = np.clip(x, 0, 1)[:, None], np.clip(q, 0, 1)
+    want = np.zeros((90, 40))
+    for j in range(6):
+        want += np.maximum(np.minimum(a[..., j], 1 - b[:, j]), np.minimum(1 - a[..., j], b[:, j]))
+    of, calls = block_distances._of, []
+    monkeypatch.setattr(block_distances, "_of", lambda *v: calls.append(v[0]) or of(*v))
+    assert np.array_equal(block_distances.fuzzy_hamming(x, q), want)
+    assert calls == [np.maximum] * 12
