@@ -49,6 +49,6 @@ def test_gauss_smoothers_without_any_y(spark):
 
 def test_smoothers_form_no_pairs(spark):
     q, r = _two(spark, DATA)
-    for found in [neighbors.local_average(*_arrays(q, r), kernels.gaussian, 0.8)]:
+    for found in (neighbors.local_average(*_arrays(q, r), kernels.gaussian, 0.8), neighbors.local_linear(q, r, kernels.gaussian, 0.8)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
