@@ -47,8 +47,17 @@ def test_gauss_smoothers_without_any_y(spark):
     assert _taken(neighbors.local_linear(q, r.limit(0), kernels.gaussian, 0.8)) == {}
 
 
+@pytest.mark.parametrize("kernel", [kernels.uniform, kernels.epanechnikov, kernels.quartic, kernels.triweight])
+def test_polynomial_smoothers_equal_the_pairs(spark, kernel):
+    q, r = _two(spark, DATA + ODD)
+    near = neighbors.local_average(*_arrays(q, r), kernel, 1.5, compact=True)
+    _same(_taken(near), _taken(neighbors.local_average(*_arrays(q, r), lambda z: kernel(z), 1.5, compact=True)))
+
+
 def test_smoothers_form_no_pairs(spark):
     q, r = _two(spark, DATA)
     for found in (neighbors.local_average(*_arrays(q, r), kernels.gaussian, 0.8), neighbors.local_linear(q, r, kernels.gaussian, 0.8)):
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
+    near = neighbors.local_average(*_arrays(q, r), kernels.epanechnikov, 1.5, compact=True)
+    assert "_cell" in near._jdf.queryExecution().toString() and "n0" in near._jdf.queryExecution().toString()
