@@ -456,3 +456,22 @@ def test_dominated_counts_nest_the_columns_of_few_values(spark, monkeypatch):
     assert got[0] == got[1] and len(got[0]) == 600 and filed[0] == filed[1] < 600 * 15
     rows = [(i, i * 7 % 3, i % 5) for i in range(600)]
     assert all(got[0][r] == sum(all(x <= y for x, y in zip(o, r, strict=True)) for o in rows) for r in rows[::37])
+
+
+def test_bins_of_a_piece_are_runs():
+    """A block of bin counts over one piece, its counts looked up or not."""
+    rng = np.random.default_rng(3)
+    z = np.unique(np.concatenate([[0.0, 1.0], rng.random(80).round(3)]))
+    c = rng.integers(1, 9, len(z))
+    flog = lambda v: np.where(v > 0, v * np.log(np.maximum(v, 1)), 0.0)
+    assert tables._block_starts(5000)[0] == 1 and tables._block_starts(5000)[-1] == 5001
+    for part in (slice(0, len(z)), slice(0, 30), slice(30, len(z))):
+        zs, cs = z[part], c[part]
+        for known in (flog(np.arange(cs.sum() + 1)), None):
+            out = tables._block(zs, cs, np.diff(zs), float(flog(cs).sum()), known, 1, 1500).to_pylist()
+            for b in (1, 2, 3, 17, 400, 1499):
+                bins = np.minimum(np.floor(zs * b), b - 1).astype(int)
+                want = np.bincount(bins, weights=cs)
+                mine = {r["bin"]: r["v"] for r in out if r["bins"] == b}
+                assert mine.pop(-1) == pytest.approx(flog(want).sum() - flog(want[[bins[0]]]).sum() - (flog(want[[bins[-1]]]).sum() if bins[-1] > bins[0] else 0), abs=1e-9)
+                assert mine == {int(i): want[i] for i in {bins[0], bins[-1]}}
