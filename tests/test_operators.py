@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -475,3 +476,24 @@ def test_bins_of_a_piece_are_runs():
                 mine = {r["bin"]: r["v"] for r in out if r["bins"] == b}
                 assert mine.pop(-1) == pytest.approx(flog(want).sum() - flog(want[[bins[0]]]).sum() - (flog(want[[bins[-1]]]).sum() if bins[-1] > bins[0] else 0), abs=1e-9)
                 assert mine == {int(i): want[i] for i in {bins[0], bins[-1]}}
+
+
+def test_lz_jaccard_common_and_rare_phrases(spark, monkeypatch):
+    """Phrases counted by the product, by the index in pieces, and rounded as Spark rounds."""
+    r = random.Random(23)
+    texts = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(60))) for _ in range(50)]
+    sets = [textdist.lz_phrases(t.encode()) for t in texts]
+    for common, hits in ((4096, 1 << 20), (3, 5), (0, 1)):
+        monkeypatch.setattr(textdist, "COMMON", common)
+        monkeypatch.setattr(textdist, "HITS", hits)
+        index = textdist._Index(pa.array([list(s) for s in sets], pa.list_(pa.binary())))
+        number = {p: i for i, p in enumerate(index.known.to_pylist())}
+        ids = np.array([number[p] for s in sets for p in s])
+        at = np.repeat(np.arange(50), [len(s) for s in sets])
+        assert index.shared(ids, at, 50).tolist() == [[len(a & b) for b in sets] for a in sets]
+    values = [1 - i / n for n in (64, 128, 640, 3200, 20000, 999) for i in range(0, n, 3)]
+    spark_rounds = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").select("i", F.round("v", 6).alias("v")).orderBy("i").collect()
+    assert textdist._rounded(np.array(values)[:, None], 6)[:, 0].tolist() == [r["v"] for r in spark_rounds]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plan = textdist.lz_jaccard_to(df, df, digits=6)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan
