@@ -182,3 +182,9 @@ def test_fuzzy_hamming_of_small_numbers(monkeypatch):
     monkeypatch.setattr(block_distances, "_of", lambda *v: calls.append(v[0]) or of(*v))
     assert np.array_equal(block_distances.fuzzy_hamming(x, q), want)
     assert calls == [np.maximum] * 12
+
+
+def test_pairs_are_made_of_arrays(spark):
+    """Python hands over a row for each vector and block of queries, not one for each pair."""
+    plan = catalogue.QUERIES["distance_mahalanobis"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate posexplode" in plan
